@@ -124,29 +124,32 @@ def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]] if len(offs) else data[:0], offs - (offs[0] if len(offs) else 0)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, head: int = 0, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows, A-Z lower-cased, and the row of each word.
 
-    Works on about `piece` bytes at a time, cut at white space, so that memory does not follow the length of a text.
+    With head, the hash of only the first `head` bytes of a word. Works on about `piece` bytes at a time, cut at a byte
+    of `space`, so that memory does not follow the length of a text.
     """
     hashes, rows, lo, n = [], [], 0, len(data)
     heads = offs[:-1]
     while lo < n:
         hi = min(n, lo + piece)
         while hi < n:
-            gap = np.flatnonzero(SPACE[data[lo:hi]])
+            gap = np.flatnonzero(space[data[lo:hi]])
             if len(gap):
                 hi = lo + int(gap[-1]) + 1
                 break
             hi = min(n, hi + piece)
         part = LOWER[data[lo:hi]]
-        solid = ~SPACE[part]
+        solid = ~space[part]
         cut = np.zeros(len(part) + 1, bool)
         cut[heads[np.searchsorted(heads, lo) : np.searchsorted(heads, hi)] - lo] = True
         before = np.r_[False, solid[:-1]]
         starts = np.flatnonzero(solid & (~before | cut[:-1]))
         after = np.r_[solid[1:], False]
         ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
+        if head:
+            ends = np.minimum(ends, starts + head)
         up, down = _power_tables(len(part) + 1)
         sums = np.r_[np.uint64(0), np.cumsum(_BYTE[part] * up[: len(part)])]
         hashes.append(mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))

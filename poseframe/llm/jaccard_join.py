@@ -37,6 +37,7 @@ SPARE = 1.25
 HEAVY_SHARE, HEAVY_LEAST = 0.001, 8
 #: Frequent features that are left out at most: a bound for what goes to every task; leaving out fewer is as exact.
 HEAVY_MOST = 200_000
+SKETCH = 256
 #: Bands up to sets of about 10**9 features.
 TOPS = [SMALL * 3 // 2]
 while TOPS[-1] < 10**9:
@@ -137,22 +138,47 @@ def _emit(heavy: np.ndarray):
     return run
 
 
+def _sketch(u: np.ndarray) -> bytes:
+    """How many features lie in each of SKETCH ranges of the domain, 255 at most."""
+    return np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        names, sets = [], []
+        names, sketches, sets = [], [], []
         for u in shingle_sets(b.column(1), WIDTH):
             names.append(class_of(u))
+            sketches.append(_sketch(u))
             sets.append(u)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), _lists(sets)], ["want", "cls", "features"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), _lists(sets)], ["want", "cls", "n", "sketch", "features"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose counts by range differ by no more than similar sets may."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (4, 5))
+        n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+        keep = (np.abs(x - y).sum(axis=1) <= (n + m) // 7) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+        yield b.select([0, 1]).filter(pa.array(keep))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of classes whose similarity is 3/4 or more."""
+    """Those of pairs (a, b) of classes whose similarity is 3/4 or more; stored.
+
+    The counts by range are compared first: a sum of differences above the allowed one rules a pair out for certain, and
+    they are much shorter than the sets.
+    """
+    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long")
+    near = stored(near, "join-near")
     a = sets.select(F.col("cls").alias("a"), F.col("features").alias("fa"))
     b = sets.select(F.col("cls").alias("b"), F.col("features").alias("fb"))
     both = F.size(F.array_intersect("fa", "fb"))
-    near = F.least(F.size("fa"), F.size("fb")) * 4 >= F.greatest(F.size("fa"), F.size("fb")) * 3
-    return pairs.join(a, "a").join(b, "b").where(near).where(both * 175 >= (F.size("fa") + F.size("fb")) * 75).select("a", "b")
+    out = stored(near.join(a, "a").join(b, "b").where(both * 175 >= (F.size("fa") + F.size("fb")) * 75).select("a", "b"), "join-edges")
+    drop_stored(near)
+    release_shuffles(pairs.sparkSession)
+    return out
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -170,7 +196,7 @@ def _open(rows: DataFrame) -> DataFrame:
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Components (node, comp) of the classes in shared (sig, cls, center); None if nothing links."""
     first = shared.where("cls != center").groupBy("cls").agg(F.min("center").alias("b")).select(F.col("cls").alias("a"), "b")
-    edges = [stored(_linked(first, sets), "join-edges")]
+    edges = [_linked(first, sets)]
     tested = [first]
     comp = components(edges[0])
     rows = shared.select("sig", "cls")
@@ -195,7 +221,7 @@ def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
             new = new.join(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         new = stored(new, "join-pairs")
         tested.append(new)
-        edges.append(stored(_linked(new, sets), "join-edges"))
+        edges.append(_linked(new, sets))
         merged = not edges[-1].isEmpty()
         if merged:
             every = edges[0]
@@ -232,7 +258,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     wanted = names.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
     texts = src.join(wanted, "id").select(F.col("cls").alias("want"), "text")
-    sets = texts.mapInArrow(_full_sets, "want long, cls long, features array<long>").where("want = cls").select("cls", "features")
+    sets = texts.mapInArrow(_full_sets, "want long, cls long, n long, sketch binary, features array<long>").where("want = cls").drop("want")
     sets = stored(sets.dropDuplicates(["cls"]) if _repeats(names) else sets, "join-sets")
     release_shuffles(spark)
 

@@ -8,12 +8,13 @@ them can differ, so two sets that are similar enough share one. A set takes part
 if its partners reach into it.
 
 Features in very many documents (shared passages) make signatures that say little. Leaving features out can only lower
-the difference of two sets, so those that are frequent within a part of the input are left out; sets with too few
-ranges left emit the signatures over all features also, and small sets the shingles of a prefix filter.
+the difference of two sets, so those that are frequent within a part of the input are left out. Small sets, sets with too
+few ranges left, and sets that meet many unlike ones in a signature are dense: they are joined among themselves by a
+prefix filter, whose features are ordered by how many dense sets have them, the rarest first.
 
 Documents with the same signature are candidates. Inside a signature only pairs across components are compared: stars
 around one member first, then what is left once the stars are merged, so that a group of copies never becomes all of
-its pairs. Equality of full sets decides.
+its pairs. The full sets decide.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from poseframe.llm.common import components, drop_stored, mix64, release_shuffles, shingle_sets, stored
 
 WIDTH = 5
-#: Sets of up to SMALL features use a prefix filter; partners of those have up to SMALL * 4 // 3.
+#: Sets of up to SMALL features have no bands; partners of those have up to SMALL * 4 // 3.
 SMALL = 24
+#: Components in one signature above which its sets are dense.
+CROWD = 8
 #: Ranges for each allowed difference, so that enough of them aren't empty.
 SPARE = 1.25
 #: A feature is frequent if this share of the documents of an Arrow batch, and HEAVY_LEAST of them, have it.
@@ -45,12 +48,7 @@ while TOPS[-1] < 10**9:
 NO_ID = -(2**63)
 
 
-def _prefix(u: np.ndarray) -> np.ndarray:
-    """The features in which two sets of similarity 3/4 must meet when both list theirs in order."""
-    return mix64(u[: len(u) - (3 * len(u) + 3) // 4 + 1] ^ np.uint64(0xA0761D6478BD642F))
-
-
-def _ranges(v: np.ndarray, mixed: np.ndarray, band: int, k: int, family: int) -> tuple[np.ndarray, bool]:
+def _ranges(v: np.ndarray, mixed: np.ndarray, band: int, k: int) -> tuple[np.ndarray, bool]:
     """The signatures of the first k + 1 ranges of a band that aren't empty, and if there were so many."""
     if not len(v):
         return v, False
@@ -58,35 +56,27 @@ def _ranges(v: np.ndarray, mixed: np.ndarray, band: int, k: int, family: int) ->
     part = ((v >> np.uint64(32)) * n) >> np.uint64(32)
     heads = np.r_[0, np.flatnonzero(np.diff(part)) + 1]
     sums = np.add.reduceat(mixed, heads)[: k + 1]
-    salt = part[heads[: k + 1]] * np.uint64(64) + np.uint64(band * 2 + family + (1 << 40))
+    salt = part[heads[: k + 1]] * np.uint64(64) + np.uint64(band + (1 << 40))
     return mix64(sums ^ mix64(salt)), len(heads) > k
 
 
 def signatures(u: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The signatures of one set: sorted distinct features in, 64-bit values out."""
+    """The signatures of one set: sorted distinct features in, 64-bit values out; 0 among them marks a dense set."""
     s, out = len(u), []
-    if not s:
-        return u
-    if s <= SMALL * 4 // 3:
-        out.append(_prefix(u))
+    dense = 0 < s <= SMALL * 4 // 3
     if s > SMALL:
-        mixed = mix64(u)
         light = np.ones(s, bool)
         if len(heavy):
             at = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
             light = heavy[at] != u
+        v, mixed = u[light], mix64(u[light])
         most = s * 4 // 3
         own = next(i for i, top in enumerate(TOPS) if s <= top)
         for band in [own] if most <= TOPS[own] else [own, own + 1]:
-            k = (s + min(most, TOPS[band])) // 7
-            sig, enough = _ranges(u[light], mixed[light], band, k, 0)
+            sig, enough = _ranges(v, mixed, band, (s + min(most, TOPS[band])) // 7)
             out.append(sig)
-            if not enough:
-                sig, enough = _ranges(u, mixed, band, k, 1)
-                out.append(sig)
-                if not enough:
-                    out.append(_prefix(u))
-    return np.unique(np.concatenate(out))
+            dense |= not enough
+    return np.concatenate([*out, np.zeros(int(dense), np.uint64)])
 
 
 def class_of(u: np.ndarray) -> int | None:
@@ -193,44 +183,76 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(still, "sig", "left_semi")
 
 
-def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Components (node, comp) of the classes in shared (sig, cls, center); None if nothing links."""
-    first = shared.where("cls != center").groupBy("cls").agg(F.min("center").alias("b")).select(F.col("cls").alias("a"), "b")
-    edges = [_linked(first, sets)]
-    tested = [first]
-    comp = components(edges[0])
-    rows = shared.select("sig", "cls")
-    merged, turn = True, 0
-    while True:
-        turn += 1
-        rows = stored(_open(_with_comp(rows.select("sig", "cls"), comp)), "join-open")
-        per = rows.groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-        n, pairs = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0.0))).first()
-        if not n:
-            break
-        last = pairs <= 4 * n or not merged
-        if last:
-            left = rows.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-            right = rows.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-            new = left.join(right, "sig").where("a < b and ca != cb").select("a", "b")
-        else:
-            mid = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(turn))).alias("m"))
-            new = rows.join(mid, "sig").where("comp != m.comp").select(F.least("cls", "m.cls").alias("a"), F.greatest("cls", "m.cls").alias("b"))
-        new = new.distinct()
-        for t in tested:
-            new = new.join(t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+class _Links:
+    """Links found so far between classes, the pairs that were compared, and the components."""
+
+    def __init__(self, sets: DataFrame):
+        self.sets, self.comp, self.edges, self.tested = sets, None, [], []
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compare pairs (a, b) that weren't compared yet, and merge those that link."""
+        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for t in self.tested:
+            new = new.join(t, ["a", "b"], "left_anti")
         new = stored(new, "join-pairs")
-        tested.append(new)
-        edges.append(_linked(new, sets))
-        merged = not edges[-1].isEmpty()
-        if merged:
-            every = edges[0]
-            for e in edges[1:]:
+        self.tested.append(new)
+        found = _linked(new, self.sets)
+        if not found.isEmpty():
+            self.edges.append(found)
+            every = self.edges[0]
+            for e in self.edges[1:]:
                 every = every.union(e)
-            comp = components(every)
-        if last:
-            break
-    return comp
+            self.comp = components(every)
+
+    def stars(self, shared: DataFrame) -> None:
+        """Compare the sets of each signature with its center: first one center for each set, then what is still apart."""
+        self.compare(shared.where("cls != center").groupBy("cls").agg(F.min("center").alias("b")).select(F.col("cls").alias("a"), "b"))
+        rows = _with_comp(shared.where("cls != center"), self.comp)
+        if self.comp is None:
+            rows = rows.withColumn("c_comp", F.col("center"))
+        else:
+            named = self.comp.select(F.col("node").alias("center"), F.col("comp").alias("c_comp"))
+            rows = rows.join(named, "center", "left").withColumn("c_comp", F.coalesce("c_comp", "center"))
+        self.compare(rows.where("comp != c_comp").select(F.col("cls").alias("a"), F.col("center").alias("b")))
+
+    def across(self, rows: DataFrame) -> None:
+        """Compare all pairs of different components in the signatures of rows (sig, cls, comp)."""
+        left = rows.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
+        right = rows.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"))
+        self.compare(left.join(right, "sig").where("a < b and ca != cb").select("a", "b"))
+
+
+def _centered(rows: DataFrame) -> DataFrame:
+    """Rows (sig, cls, center) of the signatures that more than one class has, from (sig, cls) without repeats."""
+    w = Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = rows.select("sig", "cls", F.first("cls").over(w).alias("center"), F.last("cls").over(w).alias("far"))
+    return seen.where("center != far").select("sig", "cls", "center")
+
+
+def rare_first(dense: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (sig, cls, center): for each dense class the features in which it must meet a similar one.
+
+    Of s features, s - ceil(3 s / 4) + 1 in an order that all sets share hold one of any partner's.
+    """
+    feats = sets.join(dense, "cls", "left_semi").select("cls", "n", F.explode("features").alias("sig"))
+    seen = feats.groupBy("sig").agg(F.count("*").alias("df"))
+    ranked = feats.join(seen, "sig").withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("df", "sig")))
+    return stored(_centered(ranked.where("df > 1 and place <= n - ceil(3 * n / 4) + 1").select("sig", "cls")), "join-rare")
+
+
+def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Components (node, comp) of the classes in shared (sig, cls, center, dense); None if nothing links."""
+    links = _Links(sets)
+    real = shared.where("not dense").select("sig", "cls", "center")
+    links.stars(real)
+    rows = stored(_open(_with_comp(real.select("sig", "cls"), links.comp)), "join-open")
+    crowded = rows.groupBy("sig").agg(F.countDistinct("comp").alias("n")).where(F.col("n") > CROWD).select("sig")
+    dense = shared.where("dense").select("cls").union(rows.join(crowded, "sig", "left_semi").select("cls")).distinct()
+    rare = rare_first(stored(dense, "join-dense"), sets)
+    links.across(rows.join(crowded, "sig", "left_anti"))
+    links.stars(rare)
+    links.across(stored(_open(_with_comp(rare.select("sig", "cls"), links.comp)), "join-open"))
+    return links.comp
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,11 +271,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heavy = np.sort(heavy.column(0).to_numpy().astype(np.int64).view(np.uint64))
     names = counted.select("id", "n", "cls")
 
-    sigs = src.mapInArrow(_emit(heavy), "cls long, sigs array<long>").select("cls", F.explode("sigs").alias("sig"))
+    sigs = src.mapInArrow(_emit(heavy), "cls long, sigs array<long>").select("cls", F.explode("sigs").alias("s"))
+    # a mark of a dense set is a row of its own
+    sigs = sigs.select("cls", (F.col("s") == 0).alias("dense"), F.when(F.col("s") == 0, F.xxhash64("cls")).otherwise(F.col("s")).alias("sig"))
     w = Window.partitionBy("sig").orderBy("cls")
-    every = Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = sigs.select("sig", "cls", F.lag("cls").over(w).alias("prev"), F.first("cls").over(every).alias("center"), F.last("cls").over(every).alias("far"))
-    shared = stored(seen.where("center != far and (prev is null or prev != cls)").select("sig", "cls", "center"), "join-shared")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = sigs.select("sig", "cls", "dense", F.lag("cls").over(w).alias("prev"), F.first("cls").over(every).alias("center"), F.last("cls").over(every).alias("far"))
+    shared = seen.where("(dense or center != far) and (prev is null or prev != cls)").select("sig", "cls", "center", "dense")
+    shared = stored(shared, "join-shared")
     release_shuffles(spark)
 
     wanted = names.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))

@@ -61,7 +61,7 @@ def test_signatures_meet_whenever_sets_are_similar(spark):
         both = len(np.intersect1d(u, v))
         if both and 100 * both >= 75 * (len(u) + len(v) - both):
             heavy = np.sort(rng.permutation(u)[: rng.integers(0, len(u) + 1)])
-            for h in (none, heavy):
+            for h in (none, heavy):  # 0 marks both as dense
                 assert len(np.intersect1d(jaccard_join.signatures(u, h), jaccard_join.signatures(v, h)))
 
 

@@ -12,7 +12,7 @@ def asof_join(
     """left with the row of right that matches in time: columns of left, then of right with the prefix r_ (and r_<on>).
 
     direction: nearest, backward (last at or before) or forward (first at or after). tie: which of two equally near rows.
-    Of right rows at one time the first by `order` counts. clamp: forward takes the last row where none follows. Rows
+    Of right rows at one time the first by `order` (a number) counts. clamp: forward takes the last row where none follows. Rows
     beyond the tolerance, and without any match, get nulls. block cuts a long series of one key into spans of that many
     units; the nearest rows outside a span are carried in, so no task needs a whole recording. One shuffle by the keys
     (and block). A left row without a time matches nothing.
@@ -23,15 +23,15 @@ def asof_join(
     l = left.withColumn("_row", F.struct(*left.columns)).select(*by, F.col(on).alias("_t"), F.lit(None).cast(packed.schema["_r"].dataType).alias("_r"), "_row", F.lit(1).alias("_side"))
     r = packed.select(*by, "_t", "_r", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_side"))
     rows = l.unionByName(r)
+    rank = F.col(f"_r.r_{order}") if order else F.lit(0)
     if block:
         keys = [*by, "_block"]
         rows = rows.withColumn("_block", F.floor(F.col("_t") / block))
-        per = rows.groupBy(*keys).agg(F.min_by(F.struct("_t", "_r"), F.when(F.col("_side") == 0, F.col("_t"))).alias("lo"), F.max_by(F.struct("_t", "_r"), F.when(F.col("_side") == 0, F.col("_t"))).alias("hi"))
+        per = rows.groupBy(*keys).agg(F.min_by(F.struct("_t", "_r"), F.when(F.col("_side") == 0, F.struct("_t", rank))).alias("lo"), F.max_by(F.struct("_t", "_r"), F.when(F.col("_side") == 0, F.struct("_t", -rank))).alias("hi"))
         along = Window.partitionBy(*by).orderBy("_block")
         per = per.withColumn("before", F.last("hi", True).over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("lo", True).over(along.rowsBetween(1, Window.unboundedFollowing)))
         carried = per.select(*keys, F.inline(F.array_compact(F.array("before", "after")))).withColumn("_row", F.lit(None).cast(l.schema["_row"].dataType)).withColumn("_side", F.lit(0))
         rows = rows.unionByName(carried)
-    rank = F.col(f"_r.r_{order}") if order else F.lit(0)
     w = Window.partitionBy(*keys).orderBy("_t", "_side", rank.desc())
     # at one time right rows stand first, the one that counts last of them
     prev = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -111,7 +111,7 @@ def test_turn_has_one_break_and_keeps_apart(spark):
 
 
 def test_spikes_are_the_outliers(spark):
-    rows = [("L", i, 0.1 * i + (5.0 if i in (30, 60, 90) else 0.01 * (i * 7 % 5)), 0.0) for i in range(120)]
+    rows = [("L", i, 0.002 * i + (5.0 if i in (30, 60, 90) else 0.01 * (i * 7 % 5)), 0.0) for i in range(120)]
     out = series.outliers_blanked(frame(spark, rows, "foot string, i int, x double, y double"), ["foot"], "i", ["x", "y"])
     assert sorted(r["i"] for r in out.where("outlier").collect()) == [30, 60, 90]
 

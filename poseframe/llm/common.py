@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -37,10 +38,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like stored(), in as many buckets of `key` as a shuffle has partitions: joins on the key don't move this table."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    back.stored_at, back.stored_as = path, name
+    return back
+
+
 def drop_stored(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote and nothing reads any more."""
+    """Delete tables that stored() or bucketed() wrote and nothing reads any more."""
     for df in tables:
         path = getattr(df, "stored_at", None)
+        if getattr(df, "stored_as", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stored_as}")
         if path:
             sc = df.sparkSession.sparkContext
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,8 +63,10 @@ def drop_stored(*tables: DataFrame) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are out of use; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python holds, the second of what that held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -160,6 +176,19 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, h
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about `most` bytes of the column `text`, a row at least; an empty batch as it is."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+        if not b.num_rows:
+            yield b
+
+
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 

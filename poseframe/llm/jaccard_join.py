@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poseframe.llm.common import components, drop_stored, mix64, release_shuffles, shingle_sets, stored
+from poseframe.llm.common import bucketed, components, drop_stored, mix64, pieces, release_shuffles, shingle_sets, stored
 
 WIDTH = 5
 #: Sets of up to SMALL features have no bands; partners of those have up to SMALL * 4 // 3.
@@ -40,7 +40,7 @@ SPARE = 1.25
 HEAVY_SHARE, HEAVY_LEAST = 0.001, 8
 #: Frequent features that are left out at most: a bound for what goes to every task; leaving out fewer is as exact.
 HEAVY_MOST = 200_000
-SKETCH = 256
+SKETCH_BITS = (6, 20)
 #: Bands up to sets of about 10**9 features.
 TOPS = [SMALL * 3 // 2]
 while TOPS[-1] < 10**9:
@@ -93,14 +93,16 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sizes, names, every = [], [], []
-        for u in shingle_sets(b.column(1), WIDTH):
-            sizes.append(len(u))
-            names.append(class_of(u))
-            every.append(u)
+        for part in pieces(iter([b]), 1):
+            for u in shingle_sets(part.column(1), WIDTH):
+                sizes.append(len(u))
+                names.append(class_of(u))
+                every.append(u)
         least = max(HEAVY_LEAST, HEAVY_SHARE * len(sizes))
         heavy = np.zeros(0, np.uint64)
         if every:
             seen = np.concatenate(every)
+            every.clear()
             seen.sort()
             step = int(np.ceil(least)) - 1
             heavy = np.unique(seen[step:][seen[step:] == seen[: len(seen) - step]])
@@ -111,7 +113,7 @@ def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task emit once
-        for b in batches:
+        for b in pieces(batches, 1):
             names, sigs = [], []
             for u in shingle_sets(b.column(1), WIDTH):
                 name = class_of(u)
@@ -129,12 +131,13 @@ def _emit(heavy: np.ndarray):
 
 
 def _sketch(u: np.ndarray) -> bytes:
-    """How many features lie in each of SKETCH ranges of the domain, 255 at most."""
-    return np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many features lie in each of some ranges of the domain, 255 at most; a power of two of them, for 2 to 4 features each."""
+    bits = min(max(len(u).bit_length() - 2, SKETCH_BITS[0]), SKETCH_BITS[1])
+    return np.minimum(np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, 1):
         names, sketches, sets = [], [], []
         for u in shingle_sets(b.column(1), WIDTH):
             names.append(class_of(u))
@@ -143,12 +146,27 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), _lists(sets)], ["want", "cls", "n", "sketch", "features"])
 
 
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as rows of `width` ranges; a range of the shorter kind is a run of ranges of the longer one."""
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), width, -1)
+    return np.minimum(x.sum(axis=2, dtype=np.int32), 255)
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose counts by range differ by no more than similar sets may."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (4, 5))
         n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
-        keep = (np.abs(x - y).sum(axis=1) <= (n + m) // 7) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+        keep = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+        kinds: dict[tuple[int, int], list[int]] = {}
+        for i in np.flatnonzero(keep):
+            kinds.setdefault((len(x[i]), len(y[i])), []).append(i)
+        for both, rows in kinds.items():
+            step = max(1, (1 << 21) // max(both))
+            for lo in range(0, len(rows), step):
+                at = rows[lo : lo + step]
+                apart = np.abs(_folded([x[i] for i in at], min(both)) - _folded([y[i] for i in at], min(both))).sum(axis=1)
+                keep[at] = apart <= (n[at] + m[at]) // 7
         yield b.select([0, 1]).filter(pa.array(keep))
 
 
@@ -282,9 +300,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     release_shuffles(spark)
 
     wanted = names.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    texts = src.join(wanted, "id").select(F.col("cls").alias("want"), "text")
+    texts = src.join(wanted, "id").select(F.col("cls").alias("want"), "text").repartition("want")
     sets = texts.mapInArrow(_full_sets, "want long, cls long, n long, sketch binary, features array<long>").where("want = cls").drop("want")
-    sets = stored(sets.dropDuplicates(["cls"]) if _repeats(names) else sets, "join-sets")
+    sets = bucketed(sets.dropDuplicates(["cls"]) if _repeats(names) else sets, "cls", "join_sets")
     release_shuffles(spark)
 
     comp = link_classes(shared, sets)

@@ -140,7 +140,7 @@ def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]] if len(offs) else data[:0], offs - (offs[0] if len(offs) else 0)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, head: int = 0, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, head: int = 0, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows, A-Z lower-cased, and the row of each word.
 
     With head, the hash of only the first `head` bytes of a word. Works on about `piece` bytes at a time, cut at a byte
@@ -176,7 +176,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE, h
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of batches in slices of about `most` bytes of the column `text`, a row at least; an empty batch as it is."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

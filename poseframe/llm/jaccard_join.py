@@ -46,6 +46,8 @@ TOPS = [SMALL * 3 // 2]
 while TOPS[-1] < 10**9:
     TOPS.append(TOPS[-1] * 3 // 2)
 NO_ID = -(2**63)
+#: In the first feature that two similar sets share, by an order of all features, each still has enough of them to come.
+FIRST_MET = "7 * (1 + least(n_a - place_a, n_b - place_b)) >= 3 * (n_a + n_b)"
 
 
 def _ranges(v: np.ndarray, mixed: np.ndarray, band: int, k: int) -> tuple[np.ndarray, bool]:
@@ -233,29 +235,29 @@ class _Links:
             rows = rows.join(named, "center", "left").withColumn("c_comp", F.coalesce("c_comp", "center"))
         self.compare(rows.where("comp != c_comp").select(F.col("cls").alias("a"), F.col("center").alias("b")))
 
-    def across(self, rows: DataFrame) -> None:
-        """Compare all pairs of different components in the signatures of rows (sig, cls, comp)."""
-        left = rows.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-        right = rows.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-        self.compare(left.join(right, "sig").where("a < b and ca != cb").select("a", "b"))
+    def across(self, rows: DataFrame, first_met: str = "true") -> None:
+        """Compare pairs of different components in the signatures of rows (sig, cls, comp, more): all that meet first_met."""
+        left = rows.withColumnsRenamed({"cls": "a", **{c: f"{c}_a" for c in rows.columns if c not in ("sig", "cls")}})
+        right = rows.withColumnsRenamed({"cls": "b", **{c: f"{c}_b" for c in rows.columns if c not in ("sig", "cls")}})
+        self.compare(left.join(right, "sig").where("a < b and comp_a != comp_b").where(first_met).select("a", "b"))
 
 
 def _centered(rows: DataFrame) -> DataFrame:
-    """Rows (sig, cls, center) of the signatures that more than one class has, from (sig, cls) without repeats."""
+    """Rows of the signatures that more than one class has with the smallest as center, from (sig, cls, more) without repeats."""
     w = Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = rows.select("sig", "cls", F.first("cls").over(w).alias("center"), F.last("cls").over(w).alias("far"))
-    return seen.where("center != far").select("sig", "cls", "center")
+    seen = rows.withColumns({"center": F.first("cls").over(w), "far": F.last("cls").over(w)})
+    return seen.where("center != far").drop("far")
 
 
 def rare_first(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (sig, cls, center): for each dense class the features in which it must meet a similar one.
+    """Rows (sig, cls, n, place, center): for each dense class the features in which it must meet a similar one.
 
     Of s features, s - ceil(3 s / 4) + 1 in an order that all sets share hold one of any partner's.
     """
     feats = sets.join(dense, "cls", "left_semi").select("cls", "n", F.explode("features").alias("sig"))
     seen = feats.groupBy("sig").agg(F.count("*").alias("df"))
     ranked = feats.join(seen, "sig").withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("df", "sig")))
-    return stored(_centered(ranked.where("df > 1 and place <= n - ceil(3 * n / 4) + 1").select("sig", "cls")), "join-rare")
+    return stored(_centered(ranked.where("df > 1 and place <= n - ceil(3 * n / 4) + 1").select("sig", "cls", "n", "place")), "join-rare")
 
 
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -268,8 +270,8 @@ def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
     dense = shared.where("dense").select("cls").union(rows.join(crowded, "sig", "left_semi").select("cls")).distinct()
     rare = rare_first(stored(dense, "join-dense"), sets)
     links.across(rows.join(crowded, "sig", "left_anti"))
-    links.stars(rare)
-    links.across(stored(_open(_with_comp(rare.select("sig", "cls"), links.comp)), "join-open"))
+    links.stars(rare.select("sig", "cls", "center"))
+    links.across(stored(_open(_with_comp(rare.drop("center"), links.comp)), "join-open"), FIRST_MET)
     return links.comp
 
 

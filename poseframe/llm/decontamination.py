@@ -53,23 +53,25 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, UNIT, NAME)
 
 
-def _windows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, at, h, slots): each window's place, the hash of its template, what its placeholders stood for."""
+def _windows(df: DataFrame, keys: list[str], counted: bool = False) -> DataFrame:
+    """Rows (keys, at, h, slots): each window's place, the hash of its template, what its placeholders stood for.
+
+    counted adds width and n_slots, words and placeholders of a window, which only the benchmark's windows need.
+    """
     df = df.withColumn("filled", F.zip_with("tokens", "words", lambda t, w: F.when(_is_slot(t), w)))
-    one = lambda i: F.struct(
-        i.alias("at"),
-        F.xxhash64(F.slice("tokens", i + 1, WINDOW)).alias("h"),
-        F.array_join(F.slice("filled", i + 1, WINDOW), _SEP).alias("slots"),
-        F.size(F.filter(F.slice("filled", i + 1, WINDOW), lambda s: s.isNotNull())).alias("n_slots"),
-        F.least(F.lit(WINDOW), F.size("tokens")).alias("width"),
-    )
+    part = lambda name, i: F.slice(name, i + 1, WINDOW)
+
+    def one(i: Column) -> Column:
+        more = [F.size(F.filter(part("filled", i), lambda s: s.isNotNull())).alias("n_slots"), F.least(F.lit(WINDOW), F.size("tokens")).alias("width")]
+        return F.struct(i.alias("at"), F.xxhash64(part("tokens", i)).alias("h"), F.array_join(part("filled", i), _SEP).alias("slots"), *(more if counted else []))
+
     places = F.sequence(F.lit(0), F.greatest(F.size("tokens") - WINDOW, F.lit(0)))
     return df.where("n > 0").select(*keys, F.inline(F.transform(places, one)))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Rows (h, item_id, item_at, item_slots, item_windows) of the windows that say enough; stored."""
-    w = _windows(_templates(benchmark.select("item_id", "text"), "text"), ["item_id"]).where(F.col("width") - F.col("n_slots") >= F.least(F.lit(LITERALS), F.col("width") - 2))
+    w = _windows(_templates(benchmark.select("item_id", "text"), "text"), ["item_id"], counted=True).where(F.col("width") - F.col("n_slots") >= F.least(F.lit(LITERALS), F.col("width") - 2))
     total = w.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
     return stored(w.join(total, "item_id").select("h", "item_id", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "item_windows").distinct(), "bench-windows")
 

@@ -122,6 +122,22 @@ def test_urls_by_rule_and_by_template(spark):
     assert {said[i] for i in range(20, 30)} == {"block"} and {said[i] for i in range(120, 130)} == {"allow"}
 
 
+def test_urls_without_a_rule_are_judged_by_their_tree(spark):
+    urls = [f"http://a.com/en/{i}" for i in range(20)] + ["http://a.com/fr/1", "http://a.com/fr/x/y", "http://b.com/fr/1"]
+    urls += [f"http://c.org/es/{i}" for i in range(9)] + ["http://c.org/fr/1"]
+    got = {r["path"] if r["host"] == "a.com" else r["host"] + r["path"]: r for r in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got["/fr/1"]["rule"] is None and [got[p]["verdict"] for p in ("/fr/1", "/fr/x/y", "b.com/fr/1", "c.org/fr/1")] == ["block", "block", "allow", "allow"]
+
+
+def test_variable_segments_are_found_at_every_depth(spark):
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(1000 + i))
+    urls = [f"http://u.example/user/{name(i)}/{kind}" for kind in ("spam", "post") for i in range(60)] + ["http://u.example/user/zoe/spam", "http://u.example/user/zoe/post"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 60) for i in [*range(30), *range(60, 90)]], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in url_filter.url_verdicts(pages, labels).collect()}
+    assert (got[120]["verdict"], got[121]["verdict"]) == ("block", "allow") and got[120]["template"] == "u.example/user/*/spam"
+
+
 def test_main_text_of_pages(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n  two<p>three <b>four</b></article><div class='comments'>no</div><script>x</script></body></html>"
     rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), (4, "x", "<p>a<br>b</p>&lt;c")] + [(10 + i, "http://s/p", f"<div class=x>same on all</div><p>body {i}</p>") for i in range(10)]

@@ -400,22 +400,28 @@ _MESH = """WITH e AS (SELECT vec_id, [v::DOUBLE FOR v IN embedding] AS e FROM em
 
 @query(_MESH + "SELECT rid, round(min(t), 6) AS t, count(*) AS n_hits FROM h WHERE u >= 0 AND v >= 0 AND u + v <= 1 AND t > 1e-9 GROUP BY rid")
 def ray_triangle_hits(spark, sf):
-    """Rays against triangles: nearest hit and hits (J16, J17). The mesh side has a checked size; larger ones go by ray_hits."""
+    """Every fifth ray, as the SQL has it, against all triangles: nearest hit and hits (J16, J17). all_ray_hits casts all rays."""
+    rays, tri = _rays_and_mesh(spark, sf)
+    return spatial.mesh_hits(rays.where("rid % 5 = 0"), tri).select("rid", r6("t").alias("t"), "n_hits")
+
+
+@query(_MESH.replace(" WHERE vec_id % 5 = 0", "") + "SELECT rid, round(min(t), 6) AS t, count(*) AS n_hits FROM h WHERE u >= 0 AND v >= 0 AND u + v <= 1 AND t > 1e-9 GROUP BY rid")
+def all_ray_hits(spark, sf):
+    """All rays against all triangles: nearest hit and hits (J16, J17). Slab, samples and radius follow the triangles' bounds."""
+    rays, tri = _rays_and_mesh(spark, sf)
+    return spatial.mesh_hits(rays, tri).select("rid", r6("t").alias("t"), "n_hits")
+
+
+def _rays_and_mesh(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(11)])
     c = F.col
     tri = e.select(
         c("vec_id").alias("fid"), (4 * c("e1")).alias("x0"), (4 * c("e2")).alias("y0"), c("e3").alias("z0"), (4 * c("e1") + 1).alias("x1"), (4 * c("e2") + c("e4")).alias("y1"), (c("e3") + c("e5")).alias("z1"),
         (4 * c("e1") + c("e6")).alias("x2"), (4 * c("e2") + 1).alias("y2"), (c("e3") + c("e7")).alias("z2"),
     )
-    tri = tri.withColumns({f"c{x}": (c(f"{x}0") + c(f"{x}1") + c(f"{x}2")) / 3 for x in "xyz"}).withColumn("nz", F.lit(1.0))
-    rays = e.where("vec_id % 5 = 0").select(c("vec_id").alias("rid"), (4 * c("e8")).alias("ox"), (4 * c("e9")).alias("oy"), F.lit(5.0).alias("oz"), c("e10").alias("dx"), c("e11").alias("dy"), F.lit(-1.0).alias("dz"))
-    # corners reach at most 1 from the first corner and rays drift less than that between samples
-    met = spatial.radius_join(
-        spatial.slab_samples(rays, -2.0, 2.0, 9).select("rid", F.col("sx").alias("px"), F.col("sy").alias("py")), tri.select("fid", F.col("cx").alias("px"), F.col("cy").alias("py")), ["px", "py"], 2.0
-    ).select("rid", F.col("r_fid").alias("fid")).distinct()
-    t = V.ray_triangle(V.vec("ox", "oy", "oz"), V.vec("dx", "dy", "dz"), *[V.vec(f"x{k}", f"y{k}", f"z{k}") for k in range(3)])
-    hit = met.join(rays, "rid").join(tri, "fid").withColumn("t", t).where("t is not null")
-    return hit.groupBy("rid").agg(r6(F.min("t")).alias("t"), F.count("*").alias("n_hits"))
+    tri = tri.withColumns({f"c{x}": (c(f"{x}0") + c(f"{x}1") + c(f"{x}2")) / 3 for x in "xyz"})
+    rays = e.select(c("vec_id").alias("rid"), (4 * c("e8")).alias("ox"), (4 * c("e9")).alias("oy"), F.lit(5.0).alias("oz"), c("e10").alias("dx"), c("e11").alias("dy"), F.lit(-1.0).alias("dz"))
+    return rays, tri
 
 
 _Q = "WITH e AS (SELECT vec_id, [v::DOUBLE FOR v IN embedding] AS e FROM embeddings), q AS (SELECT vec_id, e, sqrt(e[1]**2 + e[2]**2 + e[3]**2 + e[4]**2) AS n FROM e), u AS (SELECT vec_id, e, e[1]/n AS x, e[2]/n AS y, e[3]/n AS z, e[4]/n AS w FROM q) "
@@ -519,11 +525,19 @@ def confidence_and_sides(spark, sf):
 
 @query("SELECT g.i AS frame, o_custkey FROM (SELECT unnest(range(0, 500)) AS i) g LEFT JOIN orders ON o_orderkey = g.i")
 def dense_frames(spark, sf):
-    """All frame numbers, whether or not a row exists."""
+    """The first 500 frame numbers, as the SQL has them, whether or not a row exists (J9, J10). all_frames spans all."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), "o_custkey")
     return spark.range(500).select(F.col("id").alias("frame")).join(o, "frame", "left")
 
 
+@query("SELECT g.i AS frame, o_custkey FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1 FROM orders))) AS i) g LEFT JOIN orders ON o_orderkey = g.i")
+def all_frames(spark, sf):
+    """All frame numbers up to the last one, whether or not a row exists."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), "o_custkey")
+    last = o.agg(F.max("frame").alias("last")).first()["last"]
+    return spark.range(0 if last is None else last + 1).select(F.col("id").alias("frame")).join(o, "frame", "left")
+
+
 @query(
     """SELECT count(*) AS probes, count(o_orderkey) AS met, count(*) FILTER (o_orderkey IS NULL) AS no_row, count(*) FILTER (o_totalprice < 1000) AS low
     FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F'"""
@@ -583,10 +597,16 @@ def seeded_sample(spark, sf):
 
 @query("SELECT s_nationkey, arg_max(s_suppkey, s_acctbal) AS best FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY s_nationkey")
 def best_by_score(spark, sf):
-    """The best of each group, every third row only."""
+    """Stride sampling, as the SQL has it: the best of every third row in each group (T8). best_of_all reads all rows."""
     return table(spark, sf, "supplier").where("s_suppkey % 3 = 0").groupBy("s_nationkey").agg(F.max_by("s_suppkey", "s_acctbal").alias("best"))
 
 
+@query("SELECT s_nationkey, arg_max(s_suppkey, s_acctbal) AS best FROM supplier GROUP BY s_nationkey")
+def best_of_all(spark, sf):
+    """The best of each group over all rows."""
+    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.max_by("s_suppkey", "s_acctbal").alias("best"))
+
+
 @query("SELECT a.i, a.r_name, b.n_name FROM (SELECT row_number() OVER (ORDER BY r_regionkey) AS i, r_name FROM region) a JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name FROM nation) b USING (i) ORDER BY i LIMIT 20")
 def paired_by_place(spark, sf):
     """Two lists paired up to the shorter's length, 20 rows at most."""

@@ -82,6 +82,44 @@ def ray_hits(rays: DataFrame, tris: DataFrame, *, radius: float = 0.5, zlo: floa
     )
 
 
+def slab_of(rays: DataFrame, tris: DataFrame) -> tuple[float, float, int, tuple[float, float], float] | None:
+    """What slab_samples and radius_join need for every triangle (x0 .. z2, cx, cy) to be met by every ray that can hit it.
+
+    The slab holds all corners; a hit is within a triangle's reach of its centre, and within half a step of a sample. None
+    without rays or triangles.
+    """
+    at = [(f"x{k}", f"y{k}", f"z{k}") for k in range(3)]
+    reach = F.greatest(*[F.hypot(F.col(x) - F.col("cx"), F.col(y) - F.col("cy")) for x, y, _ in at])
+    ends = {f"{c}{w}": (F.min(F.least(*[F.col(p[i]) for p in at])) if w == "lo" else F.max(F.greatest(*[F.col(p[i]) for p in at]))) for i, c in enumerate("xyz") for w in ("lo", "hi")}
+    box = tris.agg(F.max(reach).alias("reach"), *[c.alias(n) for n, c in ends.items()]).first()
+    if box["reach"] is None:
+        return None
+    zlo, zhi = box["zlo"] - 1e-6, box["zhi"] + 1e-6
+    level = F.abs("dz") < 1e-9
+    speed = F.hypot("dx", "dy")
+    away = F.hypot(F.greatest(F.abs(F.col("ox") - box["xlo"]), F.abs(F.col("ox") - box["xhi"])), F.greatest(F.abs(F.col("oy") - box["ylo"]), F.abs(F.col("oy") - box["yhi"])))
+    far = rays.agg(F.max(F.when(level & (speed > 0), away / speed)).alias("far"), F.max(F.when(level, speed)).alias("fast"), F.max(F.when(~level, speed * (zhi - zlo) / F.abs("dz"))).alias("drift")).first()
+    flat = (0.0, (far["far"] or 0.0) + 1e-6)
+    drift = max(far["drift"] or 0.0, (far["fast"] or 0.0) * flat[1])
+    reach = max(box["reach"], 1e-6)
+    n = max(2, min(1000, int(drift / (2 * reach)) + 2))
+    return zlo, zhi, n, flat, reach + drift / (n - 1) / 2 + 1e-6
+
+
+def mesh_hits(rays: DataFrame, tris: DataFrame) -> DataFrame:
+    """Per ray (rid) with a hit: t of the nearest and n_hits, over all triangles; the search is sized by their bounds."""
+    slab = slab_of(rays, tris)
+    if slab is None:
+        return rays.select("rid", F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("n_hits")).where("false")
+    zlo, zhi, n, flat, radius = slab
+    samples = slab_samples(rays, zlo, zhi, n, flat).withColumnsRenamed({"sx": "px", "sy": "py"})
+    corners = [f"{c}{k}" for k in range(3) for c in "xyz"]
+    met = radius_join(samples, tris.select("fid", F.col("cx").alias("px"), F.col("cy").alias("py"), *corners), ["px", "py"], radius)
+    t = V.ray_triangle(V.vec("ox", "oy", "oz"), V.vec("dx", "dy", "dz"), *[V.vec(f"r_x{k}", f"r_y{k}", f"r_z{k}") for k in range(3)])
+    hits = met.select("rid", "r_fid", t.alias("t")).where("t is not null").groupBy("rid", "r_fid").agg(F.min("t").alias("t"))
+    return hits.groupBy("rid").agg(F.min("t").alias("t"), F.count("*").alias("n_hits"))
+
+
 def density(points: DataFrame, hits: DataFrame, sigma: float = 0.5, radius: float = 1.5, dims: list[str] | None = None) -> DataFrame:
     """Per point (pid): the sum of exp(-d^2 / 2 sigma^2) over hits within radius, and its share of the largest sum."""
     dims = dims or ["x", "y", "z"]

@@ -194,3 +194,32 @@ def test_readers_of_text_and_json(spark, tmp_path):
     t = readers.read_table(spark, str(tmp_path / "t.csv"), "frame bigint, time double, Head_x double, Head_y double, Head_z double, gone string")
     long = {r["frame"]: (r["x"], r["y"], r["z"]) for r in readers.joints_long(t, ["frame"]).collect()}
     assert long == {1: (1.0, 2.0, None), 2: (3.0, None, 5.0)}
+
+
+def test_mesh_hits_size_their_search_by_the_triangles(spark):
+    rng = np.random.default_rng(5)
+    base = rng.uniform(-40, 40, (25, 1, 3))
+    tris = [(i, *map(float, t.ravel()), *map(float, t.mean(0)[:2])) for i, t in enumerate(base + rng.uniform(-9, 9, (25, 3, 3)))]
+    cols = ["fid", *[f"{c}{k}" for k in range(3) for c in "xyz"], "cx", "cy"]
+    mesh = spark.createDataFrame(tris, ", ".join(f"{c} {'long' if c == 'fid' else 'double'}" for c in cols))
+    aims = [(i, np.array(rng.uniform(-60, 60, 3)), np.array(t[1:10]).reshape(3, 3).mean(0)) for i, t in enumerate(tris)]
+    rows = [(i, *map(float, o), *map(float, (p - o) / np.linalg.norm(p - o))) for i, o, p in aims]
+    rows += [(100 + i, float(p[0] - 50), float(p[1] - 3), float(p[2]), 1.0, 0.06, 0.0) for i, _, p in aims]
+    rays = spark.createDataFrame(rows, "rid long, ox double, oy double, oz double, dx double, dy double, dz double")
+    t = V.ray_triangle(V.vec("ox", "oy", "oz"), V.vec("dx", "dy", "dz"), *[V.vec(f"x{k}", f"y{k}", f"z{k}") for k in range(3)])
+    want = rays.crossJoin(mesh).withColumn("t", t).where("t is not null").groupBy("rid").agg(F.min("t").alias("t"), F.count("*").alias("n_hits"))
+    got = spatial.mesh_hits(rays, mesh)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 40
+    assert spatial.mesh_hits(rays.where("false"), mesh).count() == spatial.mesh_hits(rays, mesh.where("false")).count() == 0
+
+
+def test_whole_tables_are_read(spark, sf):
+    from poseframe.catalog import QUERIES
+
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    assert QUERIES["all_frames"](spark, sf).where("o_custkey is not null").count() == read("orders").count()
+    every = {r["rid"] for r in QUERIES["all_ray_hits"](spark, sf).collect()}
+    assert {k % 5 for k in every} == {0, 1, 2, 3, 4}
+    best = {r["s_nationkey"]: r["best"] for r in QUERIES["best_of_all"](spark, sf).collect()}
+    s = [(r["s_nationkey"], r["s_acctbal"], r["s_suppkey"]) for r in read("supplier").collect()]
+    assert all((n, b, best[n]) in s and b == max(x[1] for x in s if x[0] == n) for n, b, k in s if k == best[n]) and set(best) == {x[0] for x in s}

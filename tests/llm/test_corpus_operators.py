@@ -147,6 +147,18 @@ def test_main_text_of_pages(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_classes_and_teaser_articles_leave_the_text(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, "http://a/1", f"<body class='no-sidebar'><div class='content-widget'><p>{text}</p></div><div class='comments'>no</div></body>"),
+        (2, "http://b/1", f"<body><div><p>{text}</p></div><article class=card>teaser one</article><article class=card>teaser two</article></body>"),
+        (3, "http://c/1", f"<body><article><p>{text}</p></article><div>outside</div></body>"),
+        (4, "http://d/1", f"<body><article class='share-enabled'><p>{text}</p><div id=comments>no</div></article><p>outside</p></body>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[3] == got[4] == text and got[2].startswith(text)
+
+
 def test_pipeline_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "mixing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")

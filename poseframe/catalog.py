@@ -215,7 +215,7 @@ def gaussian_smoothing(spark, sf):
 
 @query(EV + "SELECT event_id, bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS flag FROM ev")
 def rolling_any(spark, sf):
-    """A flag that stays on for the last four rows."""
+    """A flag that stays on for the last four rows."""
     return series.rolling_any(series_of(spark, sf).withColumn("flag", F.col("event_type") == "error"), BY, "us", "flag", 4).select("event_id", "flag")
 
 
@@ -323,7 +323,7 @@ def rigid_residuals(spark, sf):
 
 @query(_PAIRS + "SELECT event_id, CASE WHEN ok THEN 0.0::DOUBLE END AS residual FROM p")
 def windowed_rigid(spark, sf):
-    """A rigid fit in the window around each row."""
+    """A rigid fit in the window around each row, of one width."""
     p = pairs_of(spark, sf)
     f = fits.windowed_fit(p, BY, "us", F.lit(30))
     x, y, z = fits.applied(F.col("r"), F.col("t"), F.col("c"))
@@ -619,7 +619,7 @@ def paired_by_place(spark, sf):
     (p_partkey % 70 + floor(25 * 0.3))::BIGINT AS head_y2 FROM part"""
 )
 def padded_boxes(spark, sf):
-    """Boxes padded and clipped to the image, and the head's part of them."""
+    """Boxes padded and clipped to the image, and the head's part of them."""
     y = F.col("p_partkey") % 70
     zero = F.lit(0)
     return table(spark, sf, "part").select(

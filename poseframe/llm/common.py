@@ -11,17 +11,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (as in tests) gets a temporary folder; on a cluster that is an error, since executors
+    would each write to their own disk.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _own_dirs.setdefault(sc.applicationId, "")
         if not path:
             path = _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -69,15 +75,14 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, comp), comp the smallest node of the component.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until the edge table stops changing. No step
-    gathers a group in memory: each is a minimum per node and a join back. Nodes without edges are not returned.
+    Alternates large-star and small-star steps (Kiveris et al. 2014) until a step changes no edge. No step gathers a group
+    in memory: each is a minimum per node and a join back. Nodes without edges are not returned. The result is stored.
     """
     e = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -85,20 +90,15 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         small = large.join(low, "u")
         new = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         new = stored(new, "cc")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        settled = new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty()
         drop_stored(e)
         e = new
-        if now == last:
+        if settled:
             break
-        last = now
-    else:
-        raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return out.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
-def source_bytes(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+    out = stored(out.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "cc")
+    drop_stored(e)
+    return out
 
 
 #: Space, tab, line feed, vertical tab, form feed, return: what separates words.

@@ -1,26 +1,28 @@
 """N-gram Jaccard join by PartEnum signatures (Arasu, Ganti, Kaushik, VLDB 2006).
 
 A document's features are the 64-bit hashes of its distinct shingles of five words. Two sets of sizes s and t with a
-Jaccard similarity of 3/4 or more differ in at most k = (s + t) // 7 features. Sizes fall into bands that grow by half;
-each band cuts the feature domain into equal ranges, and the content of one range is a signature. A set emits the
-signatures of its first k + 1 ranges that are not empty, with the k of its largest partner in the band: at most k of
-them can differ, so two sets that are similar enough share one. A set takes part in its own band, and in the next one
-if its partners reach into it.
+Jaccard similarity of 3/4 or more differ in at most k = (s + t) // 7 features. Sizes fall into bands that grow by a third;
+a set takes part in its own band, and in the next ones if its partners reach into them. Each band cuts the feature domain
+into groups and each group into parts (the two levels of PartEnum): the k differences leave some group with few of them,
+so that one of the subsets of its parts that leave out as few is the same in both sets. A signature is the content of one
+subset of one group; a set enumerates the subsets of as many groups as it takes for one to be unspoiled. Bands of few
+differences have one group with more parts.
 
 Features in very many documents (shared passages) make signatures that say little. Leaving features out can only lower
-the difference of two sets, so those that are frequent within a part of the input are left out. Small sets, sets with too
-few ranges left, and sets that meet many unlike ones in a signature are dense: they are joined among themselves by a
-prefix filter, whose features are ordered by how many dense sets have them, the rarest first.
+the difference of two sets, so those that are frequent within a part of the input are left out. Sets with too few groups
+left, and sets that meet many unlike ones in a signature, are dense: they are joined among themselves by a prefix filter,
+whose features are ordered by how many dense sets have them, the rarest first.
 
-Documents with the same signature are candidates. Inside a signature only pairs across components are compared: stars
-around one member first, then what is left once the stars are merged, so that a group of copies never becomes all of
-its pairs. The full sets decide.
+Documents with the same signature are candidates. Inside a signature only pairs across components are compared: first each
+set with a few centers, other ones in each signature, then what is left once those are merged, so that a group of copies
+never becomes all of its pairs. The full sets decide.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,55 +32,105 @@ from pyspark.sql import functions as F
 from poseframe.llm.common import bucketed, components, drop_stored, mix64, pieces, release_shuffles, shingle_sets, stored
 
 WIDTH = 5
-#: Sets of up to SMALL features have no bands; partners of those have up to SMALL * 4 // 3.
-SMALL = 24
 #: Components in one signature above which its sets are dense.
 CROWD = 8
-#: Ranges for each allowed difference, so that enough of them aren't empty.
-SPARE = 1.25
+#: Up to so many differences one group of parts does; beyond, groups of PARTS of which APART may differ, and one of SPARE to spare.
+ONE_GROUP, PARTS, APART, SPARE = 6, 3, 1, 8
+#: Features in a signature at least.
+LEAST = 1
 #: A feature is frequent if this share of the documents of an Arrow batch, and HEAVY_LEAST of them, have it.
 HEAVY_SHARE, HEAVY_LEAST = 0.001, 8
 #: Frequent features that are left out at most: a bound for what goes to every task; leaving out fewer is as exact.
 HEAVY_MOST = 200_000
 SKETCH_BITS = (6, 20)
-#: Bands up to sets of about 10**9 features.
-TOPS = [SMALL * 3 // 2]
-while TOPS[-1] < 10**9:
-    TOPS.append(TOPS[-1] * 3 // 2)
+#: Words of 64 bits in which a set leaves the parity of its features' number by place: what two sets' bits differ in, their features do.
+PARITY = [f"p{i}" for i in range(8)]
+#: Centers that a set is compared with in each turn of merging; what is still apart then is compared in full.
+TURNS = (1, 8)
+#: Bands by the largest set in them, up to sets of about 10**9 features.
+TOPS = [1, 2, 3, 4, 5, 6, 8]
+while TOPS[-1] < 2 * 10**9:
+    TOPS.append(TOPS[-1] * 4 // 3)
 NO_ID = -(2**63)
 #: In the first feature that two similar sets share, by an order of all features, each still has enough of them to come.
 FIRST_MET = "7 * (1 + least(n_a - place_a, n_b - place_b)) >= 3 * (n_a + n_b)"
 
 
-def _ranges(v: np.ndarray, mixed: np.ndarray, band: int, k: int) -> tuple[np.ndarray, bool]:
-    """The signatures of the first k + 1 ranges of a band that aren't empty, and if there were so many."""
-    if not len(v):
-        return v, False
-    n = np.uint64(int(SPARE * (2 * TOPS[band] // 7 + 1)) + 1)
-    part = ((v >> np.uint64(32)) * n) >> np.uint64(32)
-    heads = np.r_[0, np.flatnonzero(np.diff(part)) + 1]
-    sums = np.add.reduceat(mixed, heads)[: k + 1]
-    salt = part[heads[: k + 1]] * np.uint64(64) + np.uint64(band + (1 << 40))
-    return mix64(sums ^ mix64(salt)), len(heads) > k
-
-
-def signatures(u: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The signatures of one set: sorted distinct features in, 64-bit values out; 0 among them marks a dense set."""
-    s, out = len(u), []
-    dense = 0 < s <= SMALL * 4 // 3
-    if s > SMALL:
-        light = np.ones(s, bool)
-        if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
-            light = heavy[at] != u
-        v, mixed = u[light], mix64(u[light])
-        most = s * 4 // 3
-        own = next(i for i, top in enumerate(TOPS) if s <= top)
-        for band in [own] if most <= TOPS[own] else [own, own + 1]:
-            sig, enough = _ranges(v, mixed, band, (s + min(most, TOPS[band])) // 7)
-            out.append(sig)
-            dense |= not enough
-    return np.concatenate([*out, np.zeros(int(dense), np.uint64)])
+def _scheme(band: int) -> tuple[int, int, int]:
+    """(groups, parts of a group, parts that may differ) of a band: the two levels of PartEnum.
+
+    k differences spoil at most k // (apart + 1) of the groups, by more than `apart` differences; one group more is needed.
+    """
+    k = 2 * TOPS[band] // 7
+    if k <= ONE_GROUP:
+        return 1, k + 2 if k else 1, k
+    need = k // (APART + 1) + 1
+    return need + need // SPARE, PARTS, APART
+
+
+def signatures(sets: list[np.ndarray], heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of some sets of sorted distinct features: (set, signature) by set; a signature 0 marks a dense set."""
+    size = np.array([len(u) for u in sets], np.int64)
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), size)
+    if len(heavy):
+        light = heavy[np.minimum(np.searchsorted(heavy, every), len(heavy) - 1)] != every
+        every, owner = every[light], owner[light]
+    mixed, most = mix64(every), size * 4 // 3
+    own, last = np.searchsorted(TOPS, size), np.searchsorted(TOPS, most)
+    whose, found = [], []
+    for step in range(int((last - own).max(initial=-1)) + 1):
+        band = own + step
+        here = (size > 0) & (band <= last)
+        for scheme in sorted({_scheme(x)[1:] for x in np.unique(band[here])}):
+            of = np.flatnonzero(here & np.array([b < len(TOPS) and _scheme(b)[1:] == scheme for b in band]))
+            allowed = (size[of] + np.minimum(most[of], np.array(TOPS)[band[of]])) // 7
+            at, sig = _enumerated(of, band[of], allowed, every, mixed, owner, len(sets), *scheme)
+            whose.append(at)
+            found.append(sig)
+    whose, found = np.concatenate([*whose, np.zeros(0, np.int64)]), np.concatenate([*found, np.zeros(0, np.uint64)])
+    order = np.argsort(whose, kind="stable")
+    return whose[order], found[order]
+
+
+def _enumerated(of: np.ndarray, band: np.ndarray, allowed: np.ndarray, every: np.ndarray, mixed: np.ndarray, owner: np.ndarray, n: int, parts: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of the sets `of`, one band each, by all choices of parts that leave out `apart` of each group.
+
+    A group is good if each choice holds a feature. A set emits its groups up to the one with which enough of them are good;
+    of two sets, that which stops first has an unspoiled good group, and the other one has come as far.
+    """
+    groups = np.array([_scheme(b)[0] for b in band], np.int64)
+    base = np.cumsum(groups) - groups
+    place = np.full(n, -1)
+    place[of] = np.arange(len(of))
+    mine = place[owner] >= 0
+    at, v, m = place[owner[mine]], every[mine], mixed[mine]
+    part = ((v >> np.uint64(32)) * (groups * parts).astype(np.uint64)[at]) >> np.uint64(32)
+    cell = base[at] * parts + part.astype(np.int64)
+    total = int(groups.sum())
+    count = np.bincount(cell, minlength=total * parts).reshape(total, parts)
+    sums = np.zeros(total * parts, np.uint64)
+    if len(cell):
+        heads = np.r_[0, np.flatnonzero(np.diff(cell)) + 1]
+        sums[cell[heads]] = np.add.reduceat(m, heads)
+    sums = sums.reshape(total, parts)
+    row = np.repeat(np.arange(len(of)), groups)
+    choices = [list(c) for c in combinations(range(parts), parts - apart)]
+    held = np.stack([count[:, c].sum(axis=1) for c in choices])
+    good = (held >= LEAST).all(axis=0)
+    need = allowed // (apart + 1) + 1
+    before = np.cumsum(good) - good
+    before = before - before[base][row]
+    emits = before < need[row]
+    salt = (band[row].astype(np.uint64) << np.uint64(40)) + (np.arange(total) - base[row]).astype(np.uint64)
+    whose, found = [], []
+    for i, c in enumerate(choices):
+        use = emits & (held[i] >= LEAST)
+        whose.append(of[row[use]])
+        found.append(mix64(sums[use][:, c].sum(axis=1) ^ mix64(salt[use] * np.uint64(64) + np.uint64(i))))
+    goods = np.bincount(row, good, len(of))
+    dense = of[goods < need]
+    return np.concatenate([*whose, dense]), np.concatenate([*found, np.zeros(len(dense), np.uint64)])
 
 
 def class_of(u: np.ndarray) -> int | None:
@@ -109,25 +161,23 @@ def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = int(np.ceil(least)) - 1
             heavy = np.unique(seen[step:][seen[step:] == seen[: len(seen) - step]])
         lists = [heavy] + [heavy[:0]] * (len(sizes) - 1) if sizes else []
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), _lists(lists)], ["id", "n", "cls", "heavy"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), _lists(lists)], ["id", "key", "n", "cls", "heavy"])
 
 
 def _emit(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task emit once
         for b in pieces(batches, 1):
-            names, sigs = [], []
+            names, sets = [], []
             for u in shingle_sets(b.column(1), WIDTH):
                 name = class_of(u)
                 if name is not None and name not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(name)
                     names.append(name)
-                    sigs.append(signatures(u, heavy))
-                if len(names) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sigs)], ["cls", "sigs"])
-                    names, sigs = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sigs)], ["cls", "sigs"])
+                    sets.append(u)
+            whose, sigs = signatures(sets, heavy)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[whose]), pa.array(sigs.view(np.int64))], ["cls", "s"])
 
     return run
 
@@ -138,14 +188,23 @@ def _sketch(u: np.ndarray) -> bytes:
     return np.minimum(np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def _parity(u: np.ndarray) -> np.ndarray:
+    bits = np.bincount((u & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, 1):
-        names, sketches, sets = [], [], []
+        names, sketches, sets, parity = [], [], [], []
         for u in shingle_sets(b.column(1), WIDTH):
             names.append(class_of(u))
             sketches.append(_sketch(u))
+            parity.append(_parity(u))
             sets.append(u)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary()), _lists(sets)], ["want", "cls", "n", "sketch", "features"])
+        bits = np.array(parity, np.int64).reshape(-1, len(PARITY)).T
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int64()), *map(pa.array, bits), pa.array(sketches, pa.binary()), _lists(sets)], ["want", "cls", "n", *PARITY, "sketch", "features"]
+        )
 
 
 def _folded(sketches: list[bytes], width: int) -> np.ndarray:
@@ -209,107 +268,139 @@ class _Links:
     def __init__(self, sets: DataFrame):
         self.sets, self.comp, self.edges, self.tested = sets, None, [], []
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Compare pairs (a, b) that weren't compared yet, and merge those that link."""
+    def compare(self, pairs: DataFrame) -> bool:
+        """Compare pairs (a, b) that weren't compared yet, and merge those that link; whether any did."""
         new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for t in self.tested:
             new = new.join(t, ["a", "b"], "left_anti")
         new = stored(new, "join-pairs")
         self.tested.append(new)
         found = _linked(new, self.sets)
-        if not found.isEmpty():
-            self.edges.append(found)
-            every = self.edges[0]
-            for e in self.edges[1:]:
-                every = every.union(e)
-            self.comp = components(every)
-
-    def stars(self, shared: DataFrame) -> None:
-        """Compare the sets of each signature with its center: first one center for each set, then what is still apart."""
-        self.compare(shared.where("cls != center").groupBy("cls").agg(F.min("center").alias("b")).select(F.col("cls").alias("a"), "b"))
-        rows = _with_comp(shared.where("cls != center"), self.comp)
-        if self.comp is None:
-            rows = rows.withColumn("c_comp", F.col("center"))
-        else:
-            named = self.comp.select(F.col("node").alias("center"), F.col("comp").alias("c_comp"))
-            rows = rows.join(named, "center", "left").withColumn("c_comp", F.coalesce("c_comp", "center"))
-        self.compare(rows.where("comp != c_comp").select(F.col("cls").alias("a"), F.col("center").alias("b")))
+        if found.isEmpty():
+            drop_stored(found)
+            return False
+        self.edges.append(found)
+        every = self.edges[0]
+        for e in self.edges[1:]:
+            every = every.union(e)
+        if self.comp is not None:
+            drop_stored(self.comp)
+        self.comp = components(every)
+        return True
+
+    def opened(self, rows: DataFrame) -> DataFrame:
+        """Rows (sig, cls, more) with comp, of signatures whose sets aren't all in one component; stored."""
+        return stored(_open(_with_comp(rows, self.comp)), "join-open")
+
+    def stars(self, rows: DataFrame) -> DataFrame:
+        """Merge sets of the signatures of rows (sig, cls, more) by comparing each with some centers; opened() of what is left.
+
+        A signature has a center of its own by hash, so a set that meets many others is compared with different ones.
+        """
+        left = self.opened(rows)
+        for turn, most in enumerate(TURNS):
+            luck = F.xxhash64(F.lit(turn), "sig", "cls")
+            centers = left.groupBy("sig").agg(F.min_by(F.struct("cls", "comp"), luck).alias("c")).select("sig", F.col("c.cls").alias("b"), F.col("c.comp").alias("c_comp"))
+            met = left.join(centers, "sig").where("comp != c_comp").select(F.col("cls").alias("a"), "b").distinct()
+            ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64(F.lit(turn), "a", "b"), "b")))
+            if self.compare(ranked.where(F.col("k") <= most).select("a", "b")):
+                now = self.opened(left.drop("comp"))
+                drop_stored(left)
+                left = now
+        return left
 
     def across(self, rows: DataFrame, first_met: str = "true") -> None:
-        """Compare pairs of different components in the signatures of rows (sig, cls, comp, more): all that meet first_met."""
+        """Compare pairs of different components in the signatures of rows (sig, cls, comp, more): all that meet first_met.
+
+        Sizes and parities rule most unlike pairs out where they meet.
+        """
+        known = self.sets.select("cls", "n", *PARITY)
+        rows = rows.join(known, "cls")
         left = rows.withColumnsRenamed({"cls": "a", **{c: f"{c}_a" for c in rows.columns if c not in ("sig", "cls")}})
         right = rows.withColumnsRenamed({"cls": "b", **{c: f"{c}_b" for c in rows.columns if c not in ("sig", "cls")}})
-        self.compare(left.join(right, "sig").where("a < b and comp_a != comp_b").where(first_met).select("a", "b"))
+        apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col(f"{PARITY[0]}_a").bitwiseXOR(F.col(f"{PARITY[0]}_b"))))
+        alike = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+        met = left.join(right, "sig").where("a < b and comp_a != comp_b").where(alike).where(first_met).where(apart * 7 <= F.col("n_a") + F.col("n_b"))
+        self.compare(met.select("a", "b"))
 
-
-def _centered(rows: DataFrame) -> DataFrame:
-    """Rows of the signatures that more than one class has with the smallest as center, from (sig, cls, more) without repeats."""
-    w = Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = rows.withColumns({"center": F.first("cls").over(w), "far": F.last("cls").over(w)})
-    return seen.where("center != far").drop("far")
+    def drop(self) -> None:
+        drop_stored(*self.edges, *self.tested)
 
 
 def rare_first(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (sig, cls, n, place, center): for each dense class the features in which it must meet a similar one.
+    """Rows (sig, cls, place): for each dense class the features in which it must meet a similar one; stored.
 
     Of s features, s - ceil(3 s / 4) + 1 in an order that all sets share hold one of any partner's.
     """
     feats = sets.join(dense, "cls", "left_semi").select("cls", "n", F.explode("features").alias("sig"))
-    seen = feats.groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = feats.join(seen, "sig").withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("df", "sig")))
-    return stored(_centered(ranked.where("df > 1 and place <= n - ceil(3 * n / 4) + 1").select("sig", "cls", "n", "place")), "join-rare")
+    seen = feats.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    # features of one set alone come first in the order: only their number matters
+    shared = feats.join(seen, "sig").withColumn("after", F.row_number().over(Window.partitionBy("cls").orderBy("df", "sig")))
+    shared = shared.withColumn("place", F.col("after") + F.col("n") - F.count("*").over(Window.partitionBy("cls")))
+    return stored(shared.where("place <= n - ceil(3 * n / 4) + 1").select("sig", "cls", "place"), "join-rare")
 
 
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Components (node, comp) of the classes in shared (sig, cls, center, dense); None if nothing links."""
+    """Components (node, comp) of the classes in shared (sig, cls, dense); None if nothing links."""
     links = _Links(sets)
-    real = shared.where("not dense").select("sig", "cls", "center")
-    links.stars(real)
-    rows = stored(_open(_with_comp(real.select("sig", "cls"), links.comp)), "join-open")
+    rows = links.stars(shared.where("not dense").select("sig", "cls"))
     crowded = rows.groupBy("sig").agg(F.countDistinct("comp").alias("n")).where(F.col("n") > CROWD).select("sig")
-    dense = shared.where("dense").select("cls").union(rows.join(crowded, "sig", "left_semi").select("cls")).distinct()
-    rare = rare_first(stored(dense, "join-dense"), sets)
+    dense = stored(shared.where("dense").select("cls").union(rows.join(crowded, "sig", "left_semi").select("cls")).distinct(), "join-dense")
     links.across(rows.join(crowded, "sig", "left_anti"))
-    links.stars(rare.select("sig", "cls", "center"))
-    links.across(stored(_open(_with_comp(rare.drop("center"), links.comp)), "join-open"), FIRST_MET)
+    rare = rare_first(dense, sets)
+    left = links.stars(rare)
+    links.across(left, FIRST_MET)
+    drop_stored(rows, dense, rare, left)
+    links.drop()
     return links.comp
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id (equal sets share it), component_id.
-
-    Words are split at white space with A-Z lower-cased. Fewer than five words count as one shingle; a null or blank
-    text has none, no class and no link, and is its own component. Documents whose sets have a similarity of 3/4 or more
-    are linked; component_id is the smallest doc_id that links reach. Rows that repeat a doc_id are rows of their own; a
-    null doc_id stays null and never names a component unless all of its documents lack one. Other columns are ignored,
-    and an empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (id, key, n, cls, comp), one for each document: NO_ID for a null id, a hash of the text, the set's size, class and component."""
     spark = docs.sparkSession
-    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    counted = stored(src.mapInArrow(_count_sets, "id long, n long, cls long, heavy array<long>"), "join-docs")
+    src = docs.select(_id_of(F.col(doc_id)).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    counted = stored(src.mapInArrow(_count_sets, "id long, key long, n long, cls long, heavy array<long>"), "join-docs")
     heavy = counted.select(F.explode("heavy").alias("h")).groupBy("h").count().orderBy(F.desc("count"), "h").limit(HEAVY_MOST).select("h").toArrow()
     heavy = np.sort(heavy.column(0).to_numpy().astype(np.int64).view(np.uint64))
-    names = counted.select("id", "n", "cls")
+    names = counted.select("id", "key", "n", "cls")
 
-    sigs = src.mapInArrow(_emit(heavy), "cls long, sigs array<long>").select("cls", F.explode("sigs").alias("s"))
+    src = src.select("id", "text")
+    sigs = src.mapInArrow(_emit(heavy), "cls long, s long")
     # a mark of a dense set is a row of its own
     sigs = sigs.select("cls", (F.col("s") == 0).alias("dense"), F.when(F.col("s") == 0, F.xxhash64("cls")).otherwise(F.col("s")).alias("sig"))
     w = Window.partitionBy("sig").orderBy("cls")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = sigs.select("sig", "cls", "dense", F.lag("cls").over(w).alias("prev"), F.first("cls").over(every).alias("center"), F.last("cls").over(every).alias("far"))
-    shared = seen.where("(dense or center != far) and (prev is null or prev != cls)").select("sig", "cls", "center", "dense")
+    seen = sigs.select("sig", "cls", "dense", F.lag("cls").over(w).alias("prev"), F.first("cls").over(every).alias("least"), F.last("cls").over(every).alias("most"))
+    shared = seen.where("(dense or least != most) and (prev is null or prev != cls)").select("sig", "cls", "dense")
     shared = stored(shared, "join-shared")
     release_shuffles(spark)
 
     wanted = names.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
     texts = src.join(wanted, "id").select(F.col("cls").alias("want"), "text").repartition("want")
-    sets = texts.mapInArrow(_full_sets, "want long, cls long, n long, sketch binary, features array<long>").where("want = cls").drop("want")
+    parity = ", ".join(f"{p} long" for p in PARITY)
+    sets = texts.mapInArrow(_full_sets, f"want long, cls long, n long, {parity}, sketch binary, features array<long>").where("want = cls").drop("want")
     sets = bucketed(sets.dropDuplicates(["cls"]) if _repeats(names) else sets, "cls", "join_sets")
     release_shuffles(spark)
 
     comp = link_classes(shared, sets)
     drop_stored(shared, sets)
-    named = _with_comp(names, comp)
+    return _with_comp(names, comp)
+
+
+def _id_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, class_id (equal sets share it), component_id.
+
+    Words are split at white space with A-Z lower-cased. Fewer than five words count as one shingle; a null or blank
+    text has none, no class and no link, and is its own component. Documents whose sets have a similarity of 3/4 or more
+    are linked; component_id is the smallest doc_id that links reach. Rows that repeat a doc_id are rows of their own; a
+    null doc_id stays null and never names a component unless all of its documents lack one. Other columns are ignored,
+    and an empty table gives an empty result.
+    """
+    named = _classes(docs, doc_id, text)
     least = named.where("cls is not null").groupBy("comp").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("component_id"))
     own: Column = F.when(F.col("id") != NO_ID, F.col("id"))
     return named.join(least, "comp", "left").select(
@@ -326,13 +417,19 @@ def _repeats(names: DataFrame) -> bool:
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id; rows that repeat one are dropped.
+    """docs with one document of each component: the one with the smallest doc_id (null last), then by a hash of the text.
 
-    Documents without words or without a doc_id stay.
+    Rows are told apart by doc_id and text, so two texts under one doc_id are judged one by one; of rows that repeat both,
+    one stays. Documents without words stay, repeated ones too.
     """
-    found = jaccard_components(docs)
-    goes = found.where("doc_id is not null and class_id is not null and doc_id != component_id").select("doc_id", "class_id")
-    twice = found.where("doc_id is not null and class_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    gone = goes.select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    found = stored(_classes(docs).where("cls is not null").select("id", "key", "comp"), "join-found")
+    order = F.struct((F.col("id") == NO_ID).alias("none"), "id", "key")
+    best = found.groupBy("comp").agg(F.min(order).alias("best"))
+    goes = found.join(best, "comp").where("id != best.id or key != best.key").select(F.col("id").alias("g_id"), F.col("key").alias("g_key")).distinct()
+    twice = stored(found.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("g_id"), F.col("key").alias("g_key")), "join-twice")
+    at = lambda rows: (_id_of(docs["doc_id"]) == rows["g_id"]) & (F.xxhash64(docs["text"]) == rows["g_key"])
+    kept = docs.join(goes, at(goes), "left_anti")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, at(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, at(twice), "left_anti").unionByName(once)

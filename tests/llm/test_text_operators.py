@@ -62,7 +62,20 @@ def test_signatures_meet_whenever_sets_are_similar(spark):
         if both and 100 * both >= 75 * (len(u) + len(v) - both):
             heavy = np.sort(rng.permutation(u)[: rng.integers(0, len(u) + 1)])
             for h in (none, heavy):  # 0 marks both as dense
-                assert len(np.intersect1d(jaccard_join.signatures(u, h), jaccard_join.signatures(v, h)))
+                whose, sigs = jaccard_join.signatures([u, none, v], h)
+                assert len(np.intersect1d(sigs[whose == 0], sigs[whose == 2])) and 1 not in whose
+
+
+def test_signatures_enumerate_subsets_of_two_levels():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    u = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    groups, parts, apart = jaccard_join._scheme(int(np.searchsorted(jaccard_join.TOPS, len(u))))
+    assert groups > 1 and 0 < apart < parts
+    alone = jaccard_join.signatures([u], np.zeros(0, np.uint64))[1]
+    other = jaccard_join.signatures([np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))], np.zeros(0, np.uint64))[1]
+    assert len(alone) > 3 * (2 * len(u) // 7 // (apart + 1)) and not len(np.intersect1d(alone, other))
 
 
 def test_near_duplicates_removed_keeps_one(spark):
@@ -72,6 +85,25 @@ def test_near_duplicates_removed_keeps_one(spark):
     assert kept == set(want.values())
 
 
+def test_near_duplicates_removed_judges_rows(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x y"
+    rows = [(1, a), (2, a), (2, b), (3, b + " z z1 z2"), (None, a), (None, "lone text of its own here"), (None, None), (None, None), (4, "twice the same row stands here"), (4, "twice the same row stands here"), (5, " ")]
+    df = docs_of(spark, rows).withColumns({c: F.lit("x") for c in ("id", "key", "comp", "g_id", "g_key", "n")})
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in jaccard_join.near_duplicates_removed(df).collect()))
+    assert got == sorted([(1, a), (2, b), (3, b + " z z1 z2"), (0, "lone text of its own here"), (0, ""), (0, ""), (4, "twice the same row stands here"), (5, " ")])
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    rng = random.Random(11)
+    w = words(rng, 120_000)
+    v = list(w)
+    for i in range(0, len(v), 100):
+        v[i] = "other"
+    rows = [(7, " ".join(w)), (3, " ".join(v)), (5, " ".join(w[:50_000]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == {3: 3, 7: 3, 5: 5}
+
+
 def test_empty_null_repeated_and_extra_columns(spark):
     assert jaccard_join.jaccard_components(docs_of(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "x")]

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from poseframe.llm.common import bucketed, components, drop_stored, mix64, pieces, release_shuffles, shingle_sets, stored
 
 WIDTH = 5
-#: Components in one signature above which its sets are dense.
-CROWD = 8
+#: Sets in one signature above which they are dense.
+CROWD = 64
 #: Up to so many differences one group of parts does; beyond, groups of PARTS of which APART may differ, and one of SPARE to spare.
 ONE_GROUP, PARTS, APART, SPARE = 6, 3, 1, 8
 #: Features in a signature at least.
@@ -53,7 +53,7 @@ while TOPS[-1] < 2 * 10**9:
     TOPS.append(TOPS[-1] * 4 // 3)
 NO_ID = -(2**63)
 #: In the first feature that two similar sets share, by an order of all features, each still has enough of them to come.
-FIRST_MET = "7 * (1 + least(n_a - place_a, n_b - place_b)) >= 3 * (n_a + n_b)"
+FIRST_MET = "place_a is null or place_b is null or 7 * (1 + least(n_a - place_a, n_b - place_b)) >= 3 * (n_a + n_b)"
 
 
 def _scheme(band: int) -> tuple[int, int, int]:
@@ -309,10 +309,10 @@ class _Links:
                 left = now
         return left
 
-    def across(self, rows: DataFrame, first_met: str = "true") -> None:
-        """Compare pairs of different components in the signatures of rows (sig, cls, comp, more): all that meet first_met.
+    def across(self, rows: DataFrame) -> None:
+        """Compare pairs of different components in the signatures of rows (sig, cls, comp, place): all that can be similar.
 
-        Sizes and parities rule most unlike pairs out where they meet.
+        Sizes and parities rule most unlike pairs out where they meet, and features their places in the common order.
         """
         known = self.sets.select("cls", "n", *PARITY)
         rows = rows.join(known, "cls")
@@ -320,7 +320,7 @@ class _Links:
         right = rows.withColumnsRenamed({"cls": "b", **{c: f"{c}_b" for c in rows.columns if c not in ("sig", "cls")}})
         apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col(f"{PARITY[0]}_a").bitwiseXOR(F.col(f"{PARITY[0]}_b"))))
         alike = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-        met = left.join(right, "sig").where("a < b and comp_a != comp_b").where(alike).where(first_met).where(apart * 7 <= F.col("n_a") + F.col("n_b"))
+        met = left.join(right, "sig").where("a < b and comp_a != comp_b").where(alike).where(FIRST_MET).where(apart * 7 <= F.col("n_a") + F.col("n_b"))
         self.compare(met.select("a", "b"))
 
     def drop(self) -> None:
@@ -340,17 +340,24 @@ def rare_first(dense: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(shared.where("place <= n - ceil(3 * n / 4) + 1").select("sig", "cls", "place"), "join-rare")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows (sig, cls) without signatures that the same sets share as another one, by two hashes of these sets and their number."""
+    of = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "cls"))
+    members = rows.groupBy("sig").agg(of(1).alias("h1"), of(2).alias("h2"), F.count("*").alias("n"))
+    return rows.join(members.groupBy("h1", "h2", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Components (node, comp) of the classes in shared (sig, cls, dense); None if nothing links."""
     links = _Links(sets)
-    rows = links.stars(shared.where("not dense").select("sig", "cls"))
-    crowded = rows.groupBy("sig").agg(F.countDistinct("comp").alias("n")).where(F.col("n") > CROWD).select("sig")
-    dense = stored(shared.where("dense").select("cls").union(rows.join(crowded, "sig", "left_semi").select("cls")).distinct(), "join-dense")
-    links.across(rows.join(crowded, "sig", "left_anti"))
+    real = stored(_once(shared.where("not dense").select("sig", "cls")), "join-once")
+    crowded = stored(real.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("sig"), "join-crowded")
+    dense = stored(shared.where("dense").select("cls").union(real.join(crowded, "sig", "left_semi").select("cls")).distinct(), "join-dense")
     rare = rare_first(dense, sets)
-    left = links.stars(rare)
-    links.across(left, FIRST_MET)
-    drop_stored(rows, dense, rare, left)
+    rows = real.join(crowded, "sig", "left_anti").select("sig", "cls", F.lit(None).cast("long").alias("place")).union(rare.select("sig", "cls", F.col("place").cast("long")))
+    left = links.stars(rows)
+    links.across(left)
+    drop_stored(real, crowded, dense, rare, left)
     links.drop()
     return links.comp
 

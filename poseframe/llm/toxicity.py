@@ -1,11 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The classifier is fitted on a bounded sample of the labelled rows (SAMPLE_TOXIC and SAMPLE_CLEAN). Features are words
-and word beginnings; those that speak for the toxic class in the sample, FEATURES_MOST at most, span the vector space.
-Examples lie in blocks; for each feature the index knows the largest weight in each block. A text is compared with the
-block of the highest bound first, which gives a floor; only blocks whose bound reaches it are opened, and those exactly.
-Votes are weighted by similarity and by how many labelled rows an example stands for; a monotone curve fitted on the
-examples themselves, each left out of its own vote, turns votes into probabilities.
+The classifier is fitted on a bounded sample of the labelled rows (SAMPLE_TOXIC and SAMPLE_CLEAN). Every word of the texts
+is a term; its weight is (1 + log tf) times what the word tells: how significantly more often toxic examples hold it (its
+z-value, if positive) and NEUTRAL times its idf, so neutral and clean words count in dot products and norms as well
+(supervised term weighting, Debole and Sebastiani 2003). Examples lie in blocks. Short posting lists are read; of long ones
+the index knows the largest weight in each block. A text is compared with the blocks of the highest bounds first, which
+gives a floor, and of the others only those are opened whose bound reaches it. Votes are weighted by similarity and by how
+many labelled rows an example stands for; a monotone curve fitted on the examples themselves, each left out of its own
+vote, turns votes into probabilities.
 """
 
 from __future__ import annotations
@@ -15,20 +17,24 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poseframe.llm.common import mix64, utf8, word_hashes
+from poseframe.llm.common import pieces, utf8, word_hashes
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
-FEATURES_MOST = 4096
-#: A feature is in this many toxic examples at least, at this many times the rate in clean ones.
-FEATURE_LEAST, FEATURE_LIFT = 3, 3.0
-HEAD = 4
+#: Labelled rows of each class that are examples at most.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+#: Weight of a word's idf beside what it says about the class.
+NEUTRAL = 0.02
 NEIGHBOURS, BLOCK = 15, 64
+#: A posting list is long, and read by blocks, from this share of the examples. Blocks that are opened for a first floor.
+LONG, FIRST = 1 / 32, 2
 #: Votes of no opinion that stand beside the neighbours' (as similarity of clean examples).
 DOUBT = 0.05
 FOLDS = 5
+#: Bytes of text and rows that are worked on together.
+PIECE, ROWS = 1 << 19, 256
 #: Bytes that aren't part of a word: ASCII but for letters and digits.
 BREAK = np.ones(256, bool)
 BREAK[128:] = False
@@ -40,72 +46,91 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def text_features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit features of all rows with repeats, and the row of each: words, and the beginnings of words."""
-    data, offs = utf8(arr)
-    words, rows = word_hashes(data, offs, BREAK)
-    heads, _ = word_hashes(data, offs, BREAK, HEAD)
-    longer = heads != words
-    heads = mix64(heads[longer] ^ np.uint64(0x9FB21C651E98DF25))
-    return np.concatenate([words, heads]), np.concatenate([rows, rows[longer]])
+def terms(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf) of the words of all rows, terms as 64-bit hashes, by row and term."""
+    words, rows = word_hashes(*utf8(arr), BREAK)
+    order = np.lexsort((words, rows))
+    words, rows = words[order], rows[order]
+    heads = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])][: len(words)])
+    return rows[heads], words[heads], np.diff(np.r_[heads, len(words)]).astype(float)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, text, PIECE):
+        yield from (b.slice(lo, ROWS) for lo in range(0, max(1, b.num_rows), ROWS))
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        feats, rows = text_features(b.column(2))
-        order = np.argsort(rows, kind="stable")
-        ends = np.searchsorted(rows[order], np.arange(b.num_rows + 1)).astype(np.int32)
-        got = pa.ListArray.from_arrays(pa.array(ends), pa.array(feats[order].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), got], ["doc_id", "toxic", "features"])
+    for b in _parts(batches, 2):
+        row, term, tf = terms(b.column(2))
+        ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term.view(np.int64), tf.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "toxic", "terms", "tf"])
 
 
 @dataclass
 class Index:
     """A block-max inverted index over the examples, and what turns votes into scores."""
 
-    features: np.ndarray  # sorted
-    idf: np.ndarray
-    starts: np.ndarray  # of each feature's postings
+    terms: np.ndarray  # sorted
+    value: np.ndarray  # of each term
+    unknown: float  # value of a term that no example has
+    column: np.ndarray  # of each term with a long list, in heavy and peaks; -1: short
+    heavy: np.ndarray  # example x column: weights of the long lists
+    peaks: np.ndarray  # column x block: their largest
+    starts: np.ndarray  # of each term's postings; none of the long ones
     example: np.ndarray
     weight: np.ndarray
-    peaks: np.ndarray  # feature x block: largest weight
     ids: np.ndarray
     toxic: np.ndarray
     stands_for: np.ndarray
     knots: np.ndarray
     values: np.ndarray
 
-    def vector(self, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights of the known features of one text; length 1."""
-        at = np.searchsorted(self.features, feats)
-        at[at == len(self.features)] = 0
-        at, tf = np.unique(at[self.features[at] == feats] if len(self.features) else at[:0], return_counts=True)
-        w = (1 + np.log(tf)) * self.idf[at]
-        return at, w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The NEIGHBOURS most similar examples (ties: the smaller place) and their cosines; none at 0."""
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.peaks[at]
-        spans = [slice(self.starts[i], self.starts[i + 1]) for i in at]
-        example = np.concatenate([self.example[s] for s in spans])
-        part = np.concatenate([self.weight[s] * x for s, x in zip(spans, w, strict=True)])
-        best = int(bound.argmax())
-        near = example // BLOCK == best
-        first = np.bincount(example[near] - best * BLOCK, part[near], BLOCK)
-        if without is not None and without // BLOCK == best:
-            first[without % BLOCK] = 0
-        floor = np.sort(first)[-NEIGHBOURS] if BLOCK >= NEIGHBOURS else 0.0
-        if floor > 0:
-            opened = (bound >= floor - 1e-9)[example // BLOCK]
-            example, part = example[opened], part[opened]
-        cos = np.bincount(example, part, len(self.ids))
-        if without is not None:
-            cos[without] = 0
-        found = np.flatnonzero(cos > 0)
-        top = found[np.lexsort((found, -cos[found]))[:NEIGHBOURS]]
-        return top, np.minimum(cos[top], 1.0)
+    def nearest(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n texts the NEIGHBOURS most similar examples (ties: the smaller place) and their cosines; none at 0.
+
+        without: the place of an example for each text that doesn't count.
+        """
+        size = len(self.ids)
+        if not size:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        known = self.terms[at] == term
+        w = (1 + np.log(tf)) * np.where(known, self.value[at], self.unknown)
+        w /= np.sqrt(np.bincount(row, w * w, n))[row]
+        row, at, w = row[known], at[known], w[known]
+        wide = len(self.heavy)  # whole blocks
+        long = self.column[at] >= 0
+        query = np.zeros((n, self.heavy.shape[1]), np.float32)
+        query[row[long], self.column[at[long]]] = w[long]
+        lens = self.starts[at + 1] - self.starts[at]
+        post = np.repeat(self.starts[at] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        cell = np.repeat(row * wide, lens) + self.example[post]
+        read = np.bincount(cell, np.repeat(w, lens) * self.weight[post], n * wide).reshape(n, wide)
+        bound = read.reshape(n, wide // BLOCK, BLOCK).max(axis=2) + query @ self.peaks
+        cos = np.full((n, wide), -1.0)
+
+        def open_blocks(which: np.ndarray) -> None:
+            for k in np.flatnonzero(which.any(axis=0)):
+                of, span = np.flatnonzero(which[:, k]), slice(k * BLOCK, (k + 1) * BLOCK)
+                cos[of, span] = read[of, span] + query[of] @ self.heavy[span].T
+            if without is not None:
+                cos[np.arange(n), without] = -1.0
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        open_blocks(first)
+        k = min(NEIGHBOURS, wide) - 1
+        floor = -np.partition(-cos, k, axis=1)[:, k]
+        open_blocks(~first & (bound >= floor[:, None] - 1e-5))
+        floor = -np.partition(-cos, k, axis=1)[:, k]
+        out = []
+        for i in range(n):
+            found = np.flatnonzero(cos[i, :size] >= max(floor[i], 1e-9))
+            top = found[np.argsort(-cos[i, found], kind="stable")[:NEIGHBOURS]]
+            out.append((top, np.minimum(cos[i, top], 1.0)))
+        return out
 
     def vote(self, top: np.ndarray, cos: np.ndarray) -> float:
         w = cos / (1.05 - cos) * self.stands_for[top]
@@ -120,7 +145,7 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     order = np.argsort(x, kind="stable")
     edges = np.unique(np.quantile(x, np.linspace(0, 1, 33)))
     pools: list[list[float]] = []
-    for at in np.split(order, np.searchsorted(x[order], edges[1:], side="right")[:-1]):
+    for at in np.split(order, np.searchsorted(x[order], edges[:-1], side="right")):
         if len(at):
             pools.append([w[at].sum(), (w[at] * y[at]).sum(), (w[at] * x[at]).sum()])
             while len(pools) > 1 and pools[-2][1] * pools[-1][0] > pools[-1][1] * pools[-2][0]:
@@ -139,80 +164,76 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     rows = picked.collect()  # SAMPLE_TOXIC + SAMPLE_CLEAN pairs of numbers at most
     small = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))
     texts = docs.select("doc_id", "text").join(small, "doc_id").select("doc_id", "toxic", "text")
-    listed = texts.mapInArrow(_listed, "doc_id long, toxic int, features array<long>").persist()
-    n1, n0 = (listed.where(f"toxic = {t}").count() for t in (1, 0))
-    used = listed.select("toxic", F.explode(F.array_distinct("features")).alias("f"))
-    seen = used.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    lift = (F.col("t") + 0.5) / (n1 + 1) / ((F.col("c") + 0.5) / (n0 + 1))
-    good = seen.where((F.col("t") >= FEATURE_LEAST) & (lift >= FEATURE_LIFT)).orderBy(F.desc(F.col("t") * F.log(lift)), "f").limit(FEATURES_MOST)
-    table = good.orderBy("f").toArrow()
-    raw = table.column("f").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(raw)
-    df = (table.column("t").to_numpy() + table.column("c").to_numpy())[order]
-    features = raw[order]
-    chosen = F.broadcast(good.select("f"))
-    kept = listed.select("doc_id", "toxic", F.posexplode("features").alias("p", "f")).join(chosen, "f").groupBy("doc_id", "toxic", "f").agg(F.count("*").alias("tf"))
-    got = kept.toArrow()  # known features of the sample
-    doc, tox, feat, tf = (got.column(c).to_numpy() for c in ("doc_id", "toxic", "f", "tf"))
-    listed.unpersist()
-    idf = np.log((n1 + n0 + 1) / (df + 1)) + 1
-    ids, which = np.unique(doc, return_inverse=True)
-    toxic = np.zeros(len(ids))
-    toxic[which] = tox
-    # examples with alike features get neighbouring places, so that blocks differ
-    at = np.searchsorted(features, feat.astype(np.int64).view(np.uint64))
-    w = (1 + np.log(tf)) * idf[at]
-    lead = np.zeros(len(ids), np.int64)
-    by = np.lexsort((w, which))
-    lead[which[by]] = at[by]
-    place = np.empty(len(ids), np.int64)
-    place[np.lexsort((ids, lead, toxic))] = np.arange(len(ids))
-    ids, toxic, example = ids[np.argsort(place)], toxic[np.argsort(place)], place[which]
-    norm = np.sqrt(np.bincount(example, w * w, len(ids)))
-    weight = w / norm[example]
-    by = np.lexsort((example, at))
-    at, example, weight = at[by], example[by], weight[by]
-    peaks = np.zeros((len(features), len(ids) // BLOCK + 1))
-    np.maximum.at(peaks, (at, example // BLOCK), weight)
+    got = texts.mapInArrow(_listed, "doc_id long, toxic int, terms array<long>, tf array<int>").toArrow().combine_chunks()  # the examples
+    got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending")]))
+    ids, toxic = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy().astype(float)
+    lens = pa.compute.list_value_length(got.column("terms")).to_numpy().astype(np.int64)
+    flat = lambda c: pa.compute.list_flatten(got.column(c)).to_numpy()
+    return index_of(ids, toxic, np.repeat(np.arange(len(ids)), lens), flat("terms").astype(np.int64).view(np.uint64), flat("tf").astype(float), total)
+
+
+def index_of(ids: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, total: dict[int, int]) -> Index:
+    """The index over examples (ids, toxic) with terms (row, term, tf); total: labelled rows of each class."""
+    size = len(ids)
+    n1 = toxic.sum()
+    n0 = size - n1
+    every, at = np.unique(term, return_inverse=True)
+    df, t = np.bincount(at, minlength=len(every)), np.bincount(at, toxic[row], len(every))
+    idf = np.log((size + 1) / (df + 1)) + 1
+    p = n1 / max(size, 1)
+    lean = np.maximum((t - df * p) / np.sqrt(df * p * (1 - p) + 1e-9), 0)
+    value = lean + NEUTRAL * idf
+    w = (1 + np.log(tf)) * value[at]
+    w /= np.sqrt(np.bincount(row, w * w, size))[row]
+    # examples with alike terms get neighbouring places, so that blocks differ
+    lead = np.zeros(size, np.int64)
+    by = np.lexsort((w, row))
+    lead[row[by]] = at[by]
+    order = np.lexsort((ids, lead, toxic))
+    place = np.empty(size, np.int64)
+    place[order] = np.arange(size)
+    ids, toxic, row = ids[order], toxic[order], place[row]
+    long = np.flatnonzero(df > max(LONG * size, BLOCK))
+    column = np.full(len(every), -1)
+    column[long] = np.arange(len(long))
+    heavy = np.zeros((-(-size // BLOCK) * BLOCK, len(long)), np.float32)
+    dense = column[at] >= 0
+    heavy[row[dense], column[at[dense]]] = w[dense]
+    by = np.lexsort((row, at))
+    by = by[~dense[by]]
+    starts = np.searchsorted(at[by], np.arange(len(every) + 1))
     stands = np.where(toxic > 0, total.get(1, 0) / max(n1, 1), total.get(0, 0) / max(n0, 1))
-    starts = np.searchsorted(at, np.arange(len(features) + 1))
-    index = Index(features, idf, starts, example, weight, peaks, ids, toxic, stands, np.array([0.0]), np.array([0.0]))
-    # the curve: votes for each example without itself; examples without known features vote 0
-    rest1, rest0 = n1 - int(toxic.sum()), n0 - int((1 - toxic).sum())
-    x = [0.0, 0.0]
-    y, s = [1.0, 0.0], [rest1 * total.get(1, 0) / max(n1, 1), rest0 * total.get(0, 0) / max(n0, 1)]
-    by = np.argsort(example, kind="stable")
-    ends = np.searchsorted(example[by], np.arange(len(ids) + 1))
-    for i in range(len(ids)):
-        own = by[ends[i] : ends[i + 1]]
-        x.append(index.vote(*index.nearest(at[own], weight[own], without=i)))
-        y.append(toxic[i])
-        s.append(stands[i])
-    if sum(s) > 0:
-        index.knots, index.values = _monotone(np.array(x), np.array(y), np.array(s))
+    peaks = heavy.reshape(len(heavy) // BLOCK, BLOCK, len(long)).max(axis=1, initial=0).T
+    unknown = NEUTRAL * (np.log(size + 1) + 1)
+    index = Index(every, value, unknown, column, heavy, peaks, starts, row[by], w[by].astype(np.float32), ids, toxic, stands, np.array([0.0]), np.array([0.0]))
+    # the curve: votes for each example without itself
+    by = np.argsort(row, kind="stable")
+    ends = np.searchsorted(row[by], np.arange(size + 1))
+    votes: list[float] = []
+    for lo in range(0, size, ROWS):
+        n = min(ROWS, size - lo)
+        own = by[ends[lo] : ends[lo + n]]
+        votes += [index.vote(*x) for x in index.nearest(row[own] - lo, term[own], tf[own], n, lo + np.arange(n))]
+    if sum(stands) > 0:
+        index.knots, index.values = _monotone(np.array(votes), toxic, stands)
     return index
 
 
+def _scored(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+    row, term, tf = terms(texts)
+    near = index.nearest(row, term, tf, len(texts))
+    scores = np.array([index.score(index.vote(*x)) for x in near])
+    return scores, [[{"doc_id": int(index.ids[t]), "cosine": float(c), "toxic": int(index.toxic[t])} for t, c in zip(top[:3], cos[:3], strict=True)] for top, cos in near]
+
+
 def _scorer(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(**shared.value)
-        for b in batches:
-            feats, rows = text_features(b.column(1))
-            if len(index.features):
-                at = np.searchsorted(index.features, feats)
-                at[at == len(index.features)] = 0
-                known = index.features[at] == feats
-                feats, rows = feats[known], rows[known]
-            order = np.argsort(rows, kind="stable")
-            feats, ends = feats[order], np.searchsorted(rows[order], np.arange(b.num_rows + 1))
-            none = index.score(0.0)
-            scores, evidence = np.full(b.num_rows, none), [[] for _ in range(b.num_rows)]
-            for i in np.flatnonzero(np.diff(ends)):
-                top, cos = index.nearest(*index.vector(feats[ends[i] : ends[i + 1]]))
-                scores[i] = index.score(index.vote(top, cos))
-                evidence[i] = [{"doc_id": int(index.ids[t]), "cosine": float(c), "toxic": int(index.toxic[t])} for t, c in zip(top[:3], cos[:3], strict=True)]
-            shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(evidence, shape)], ["doc_id", "score", "evidence"])
+        for b in _parts(batches, 1):
+            scores, evidence = _scored(index, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, shape)], ["doc_id", "score", "evidence"])
 
     return run
 
@@ -220,9 +241,9 @@ def _scorer(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence (the nearest examples with their labels).
 
-    A null or blank text, and one without known features, gets the rate of toxic rows among such examples. Repeated rows
-    are scored alike; labels that repeat a doc_id count once, toxic if any says so; a null doc_id is not held out. With
-    no labels every score is 0. An empty table gives an empty result. Other columns are ignored.
+    A null or blank text, and one that shares no word with any example, gets the score of a vote of 0. Repeated rows are
+    scored alike; labels that repeat a doc_id count once, toxic if any says so; a null doc_id is not held out. With no
+    labels every score is 0. An empty table gives an empty result. Other columns are ignored.
     """
     index = docs.sparkSession.sparkContext.broadcast(asdict(fit(docs, labels)))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -237,14 +258,11 @@ def toxic_removed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The text is scored beside its row, so no join decides what goes.
     """
     index = docs.sparkSession.sparkContext.broadcast(asdict(fit(docs, labels)))
-    columns = docs.columns
-    text = columns.index("text")
+    text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(index)
-        for b in batches:
-            pair = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(text)], ["doc_id", "text"])
-            got = next(score(iter([pair])))
-            yield b.filter(pa.array(got.column(1).to_numpy() < 0.5))
+        own = Index(**index.value)
+        for b in _parts(batches, text):
+            yield b.filter(pa.array(_scored(own, b.column(text))[0] < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

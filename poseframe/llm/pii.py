@@ -1,9 +1,10 @@
 """Personal data: rule-based spans, and more of them by bootstrapped contextual extraction.
 
-The spans of the rules are seeds. Words that stand before them, and before other strings of an identifier's shape, form
-a graph of patterns and instances. Rounds of joins score it: a pattern by the share of its mentions that are known to be
-of a kind, an instance by the patterns it is met with. Instances that score ACCEPT or more and could be of that kind
-become spans as well.
+The spans of the rules are seeds, and so are long random-looking strings, which may be secrets. Words that stand before and
+after them, and around other strings of an identifier's shape, form a graph of patterns and instances. Rounds of joins score
+it: a pattern by the share of its mentions that are known to be of a kind, an instance by the patterns it is met with.
+Instances that score ACCEPT or more and could be of that kind become spans as well. A secret is a span only if a pattern
+vouches for it: such a string in any other place may be a checksum.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from poseframe.llm.common import drop_stored, stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of all spans: the rules', and what only the method finds.
+ALL_KINDS = (*KINDS, "secret")
 ROUNDS, SUPPORT, SMOOTH, TRUST, ACCEPT = 3, 3, 1.0, 0.5, 0.8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -27,10 +30,15 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Strings of an identifier's shape: digits with separators, and e-mail addresses written out.
-_NUMBER = re.compile(r"[(+]?[0-9][0-9() ./-]{4,40}[0-9](?![0-9])")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT|@)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?[\[({]?(?:dot|DOT|\.)[\])}]? ?[A-Za-z0-9-]{1,63}){1,4}")
-_BEFORE = re.compile(r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]*\Z")
+#: Strings of an identifier's shape: digits with separators, e-mail addresses written out, and letters mixed with digits.
+_NUMBER = re.compile(r"[(+]?[0-9](?:[() ./-]{0,3}+[0-9])++")
+_SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT|@)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?[\[({]?(?:dot|DOT|\.)[\])}]? ?[A-Za-z0-9-]{1,63})+")
+_MIXED = re.compile(r"[A-Za-z0-9_+/-]{16,}=*")
+#: Length from which such a string is a seed, and the letters and digits that any has at least.
+SEED_LENGTH, MIX = 32, 4
+#: Characters beside a string in which the words of its context are looked for.
+NEAR = 120
+_QUOTES = "\"'`([{<>}])"
 
 
 def _luhn(digits: str) -> bool:
@@ -100,36 +108,62 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def _context(text: str, start: int) -> list[str]:
-    """Patterns of what stands before a string: the two words, and the last alone if it announces something."""
-    m = _BEFORE.search(text, max(0, start - 90), start)
-    if not m:
-        return []
-    a, b = (re.sub("[0-9]+", "0", x.lower()) for x in m.groups())
-    return [f"{a} {b}"] + ([b] if b[-1] in ":=#" else [])
+def _context(text: str, start: int, end: int) -> list[str]:
+    """Patterns of what stands beside a string: two words before it, the last alone if it announces something, two after it."""
+    out = []
+    before = re.sub("[0-9]+", "0", text[max(0, start - NEAR) : start].rstrip(_QUOTES).lower()).split()
+    if len(before) > 1:
+        out.append(f"{before[-2]} {before[-1]} _")
+    if before and before[-1][-1] in ":=#":
+        out.append(f"{before[-1]} _")
+    after = re.sub("[0-9]+", "0", text[end : end + NEAR].lstrip(_QUOTES).lower()).split()
+    if len(after) > 1:
+        out.append(f"_ {after[0]} {after[1]}")
+    return out
+
+
+def _clear_of(taken: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of spans that overlap none of taken: one sweep over both, sorted."""
+    taken, out, i, end = sorted(taken), [], 0, -1
+    for a, b in sorted(spans):
+        while i < len(taken) and taken[i][0] < b:
+            end = max(end, taken[i][1])
+            i += 1
+        if end <= a:
+            out.append((a, b))
+    return out
 
 
 def mentions(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, str | None, int, int, list[str]]]]:
     """The rule's spans; and (instance, kind or None, start, end, patterns) of those and of other likely strings."""
     spans, out = base_spans(text), []
     for kind, a, b in spans:
-        out.append((text[a:b].lower(), kind, a, b, _context(text, a)))
-    others = []
-    if _DIGIT.search(text):
-        others += [m.span() for m in _NUMBER.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 19]
+        out.append((text[a:b].lower(), kind, a, b, _context(text, a, b)))
+    taken = [(a, b) for _, a, b in spans]
+    mixed = [m.span() for m in _MIXED.finditer(text) if sum(c.isdigit() for c in m[0]) >= MIX and sum(c.isalpha() for c in m[0]) >= MIX]
+    secrets = _clear_of(taken, mixed)
+    for a, b in secrets:
+        out.append((text[a:b], "secret" if b - a >= SEED_LENGTH else None, a, b, _context(text, a, b)))
+    likely: list[tuple[int, int]] = []
     low = text.lower()
     if any(x in low for x in ("(at)", "[at]", "{at}", "(@)", "[@]", "{@}")):
-        others += [m.span() for m in _SPELT.finditer(text)]
-    taken = sorted((a, b) for _, a, b in spans)
-    for a, b in others:
-        if not any(x < b and a < y for x, y in taken):
-            out.append((text[a:b].lower(), None, a, b, _context(text, a)))
+        likely += _clear_of(taken + secrets, [m.span() for m in _SPELT.finditer(text)])
+    if _DIGIT.search(text):
+        lo = 0
+        for a, b in sorted([*taken, *secrets, *likely, (len(text), len(text))]):
+            if a > lo:  # numbers lie between what is known
+                likely += [m.span() for m in _NUMBER.finditer(text, lo, a) if 7 <= sum(c.isdigit() for c in m[0]) <= 19]
+            lo = max(lo, b)
+    for a, b in likely:
+        out.append((text[a:b].lower(), None, a, b, _context(text, a, b)))
     return spans, out
 
 
 def could_be(text: str) -> list[str]:
     """The kinds whose shape an instance has."""
     digits = sum(c.isdigit() for c in text)
+    if _MIXED.fullmatch(text) and digits >= MIX and any(c.isalpha() for c in text):
+        return ["secret"]
     if any(c.isalpha() for c in text):
         return ["email"]
     kinds = []
@@ -164,31 +198,36 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
-    """Instances that the patterns vouch for, (inst, kind, trust), from the mentions in found."""
+    """Instances that the patterns vouch for, (inst, kind, trust), from the mentions in found; stored."""
     seen = found.select("doc_id", F.explode("seen").alias("m")).select("doc_id", "m.*")
     links = stored(seen.select("inst", F.explode("pats").alias("pat")).groupBy("pat", "inst").agg(F.count("*").alias("n")), "pii-links")
     seeds = seen.where("kind is not null").select("inst", "kind").distinct()
-    may = seen.where("kind is null").select("inst", F.explode("may").alias("kind")).distinct()
+    may = seen.where("kind is null or kind = 'secret'").select("inst", F.explode("may").alias("kind")).distinct()
     totals = links.groupBy("pat").agg(F.sum("n").alias("total"))
-    known = stored(seeds.select("inst", "kind", F.lit(1.0).alias("trust")), "pii-known")
+    one = F.lit(1.0).alias("trust")
+    news = None
     for _ in range(ROUNDS):
+        known = seeds.select("inst", "kind", one)
+        if news is not None:
+            known = known.union(news.join(seeds, ["inst", "kind"], "left_anti"))
         backed = links.join(known, "inst").groupBy("pat", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("pos"), F.count("*").alias("insts"))
         pats = backed.join(totals, "pat").withColumn("score", F.col("pos") / (F.col("total") + SMOOTH))
         pats = pats.where((F.col("insts") >= SUPPORT) & (F.col("score") >= TRUST)).select("pat", "kind", "score")
         # not all patterns of an instance are independent, so one that is sure is never fully trusted
         doubt = F.log(1 - F.least(F.col("score"), F.lit(0.95)))
-        news = links.join(pats, "pat").join(may, ["inst", "kind"]).groupBy("inst", "kind").agg((1 - F.exp(F.sum(doubt))).alias("trust"))
-        news = news.join(seeds.select("inst", "kind"), ["inst", "kind"], "left_anti").where(F.col("trust") >= TRUST)
-        fresh = stored(seeds.select("inst", "kind", F.lit(1.0).alias("trust")).union(news), "pii-known")
-        drop_stored(known)
-        known = fresh
-    return known.where(F.col("trust") >= ACCEPT).join(seeds, ["inst", "kind"], "left_anti")
+        fresh = links.join(pats, "pat").join(may, ["inst", "kind"]).groupBy("inst", "kind").agg((1 - F.exp(F.sum(doubt))).alias("trust"))
+        fresh = stored(fresh.where(F.col("trust") >= TRUST), "pii-known")
+        if news is not None:
+            drop_stored(news)
+        news = fresh
+    drop_stored(links)
+    return news.where(F.col("trust") >= ACCEPT)
 
 
 def _added(found: DataFrame) -> DataFrame:
     """Spans beyond the rules': (doc_id, key, more)."""
     good = bootstrap(found)
-    seen = found.select("doc_id", "key", F.explode("seen").alias("m")).select("doc_id", "key", "m.inst", "m.kind", "m.a", "m.b").where("kind is null").drop("kind")
+    seen = found.select("doc_id", "key", F.explode("seen").alias("m")).select("doc_id", "key", "m.inst", "m.kind", "m.a", "m.b").where("kind is null or kind = 'secret'").drop("kind")
     best = good.groupBy("inst").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
     span = F.concat_ws(":", "kind", "a", "b")
     return seen.join(best, "inst").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(span)).alias("more"))
@@ -197,7 +236,7 @@ def _added(found: DataFrame) -> DataFrame:
 def _ordered(base, more):
     """All spans of a row in order, as a string."""
     every = F.concat(F.filter(F.split(base, ","), lambda s: s != ""), F.coalesce(more, F.array().cast("array<string>")))
-    place = F.array(*[F.lit(k) for k in KINDS])
+    place = F.array(*[F.lit(k) for k in ALL_KINDS])
     keyed = F.transform(
         every,
         lambda s: F.struct(
@@ -211,7 +250,7 @@ def _ordered(base, more):
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone (the rules'), base_sha256, spans.
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone (the rules'), base_sha256, spans, n_spans.
 
     A null text counts as empty; empty texts have no spans. Rows that repeat a doc_id are rows of their own, also with a
     null doc_id; equal rows get equal results. Offsets are code points, end exclusive. Other columns are ignored.
@@ -221,7 +260,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     more = _added(found).withColumnsRenamed({"doc_id": "d", "key": "k"})
     joined = found.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     count = lambda kind: F.coalesce(F.regexp_count("base", F.lit(f"{kind}:")), F.lit(0)).cast("long").alias(f"n_{kind}")
-    return joined.select("doc_id", *[count(k) for k in KINDS], F.sha2("base", 256).alias("base_sha256"), _ordered(F.col("base"), F.col("more")).alias("spans"))
+    return joined.select("doc_id", *[count(k) for k in KINDS], F.sha2("base", 256).alias("base_sha256"), _ordered(F.col("base"), F.col("more")).alias("spans")).withColumn(
+        "n_spans", F.coalesce(F.regexp_count("spans", F.lit("[a-z]+:")), F.lit(0)).cast("long")
+    )
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -240,7 +281,9 @@ def pii_redacted(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = stored(src.where(F.col("text").rlike("[0-9@]") | F.col("text").rlike(r"(?i)[\[({]at[\])}]")).mapInArrow(_find, _FOUND), "pii-found")
     more = stored(_added(found).withColumnsRenamed({"doc_id": "_d", "key": "_k"}), "pii-more")
+    drop_stored(found)
     columns, schema = docs.columns, docs.schema
+    own_key = "_key" + "_" * max(len(c) for c in columns)  # longer than any name of docs
     text_at, id_at = columns.index("text"), columns.index("doc_id")
     chars_at = columns.index("n_chars") if "n_chars" in columns else None
 
@@ -267,8 +310,8 @@ def pii_redacted(docs: DataFrame) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = pa.array([text_key(t.as_py() or "") for t in b.column(text_at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*columns, "_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*columns, own_key])
 
-    wide = docs.mapInArrow(keyed, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, _key long")
-    joined = wide.join(more, (wide[columns[id_at]].eqNullSafe(more["_d"])) & (wide["_key"] == more["_k"]), "left")
-    return joined.select(*[wide[c] for c in columns], more["more"]).mapInArrow(mask, schema)
+    wide = docs.mapInArrow(keyed, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, `{own_key}` long")
+    joined = wide.join(more, (wide[columns[id_at]].eqNullSafe(more["_d"])) & (wide[own_key] == more["_k"]), "left")
+    return joined.select(*[wide[c] for c in columns], more["more"].alias(own_key)).mapInArrow(mask, schema)

@@ -16,8 +16,11 @@ NO_ROLE = "unknown"
 
 
 def _rolling(seed: int, w: Window) -> Column:
-    """A hash of the turns so far: places differ, so the exclusive or of hashes of (place, role, text) names the list."""
-    return F.bit_xor(F.xxhash64("place", "role", "text", F.lit(seed))).over(w)
+    """A hash of the turns so far: places differ, so the exclusive or of hashes of (place, role, text) names the list.
+
+    The seed comes first, so that hashes of two seeds are of different states from the first byte on.
+    """
+    return F.bit_xor(F.xxhash64(F.lit(seed), "place", "role", "text")).over(w)
 
 
 def turns(conversations: DataFrame) -> DataFrame:

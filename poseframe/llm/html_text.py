@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,11 +44,14 @@ MOST = 0.5
 #: Paths to remove that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 20_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: A tag; where a quote has no end, the tag ends at the next >.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?:(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(?P<loose>[^>]*)(?:>|\Z))", re.S)
 _MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _QUOTES = "\"'"
+#: Beside one of these words a header is that of the text.
+_OWN = frozenset("article post entry story content main".split())
 
 
 def _apart(name: str, attrs: str) -> tuple[bool, bool, str]:
@@ -57,7 +61,11 @@ def _apart(name: str, attrs: str) -> tuple[bool, bool, str]:
     marks = {k.lower(): v.strip("\"'") for k, v in _MARK.findall(attrs)}
     words = set(_WORD.findall(" ".join(re.sub("([a-z])([A-Z])", r"\1 \2", v) for v in marks.values()).lower()))
     kind = ".".join(sorted(marks.get("class", "").split()))
-    return name in NOT_ARTICLE or bool(_HIDDEN.search(attrs)), bool(words & MARKS), f"{name}.{kind}" if kind else name
+    found = words & MARKS
+    if words & _OWN:
+        found -= {"header", "masthead"}
+    # an inline element is part of its sentence, whatever its class
+    return name in NOT_ARTICLE or bool(_HIDDEN.search(attrs)), bool(found) and (name in BLOCK or "-" in name), f"{name}.{kind}" if kind else name
 
 
 def blocks(page: str) -> list[tuple[str, str, tuple[str, ...], str]]:
@@ -65,6 +73,7 @@ def blocks(page: str) -> list[tuple[str, str, tuple[str, ...], str]]:
     out: list[tuple[str, str, tuple[str, ...], str]] = []
     stack: list[tuple[str, str, bool, tuple[str, ...], str, bool]] = []  # name, path, left out, marked, article, ends a block
     buffer: list[str] = []
+    opened: Counter[str] = Counter()  # names on the stack, so that no stray tag searches it
 
     def flush() -> None:
         if buffer:
@@ -76,6 +85,7 @@ def blocks(page: str) -> list[tuple[str, str, tuple[str, ...], str]]:
     def pop(to: int) -> None:
         if any(s[5] or s[2] for s in stack[to:]):
             flush()
+        opened.subtract(s[0] for s in stack[to:])
         del stack[to:]
 
     at, n = 0, len(page)
@@ -87,17 +97,15 @@ def blocks(page: str) -> list[tuple[str, str, tuple[str, ...], str]]:
         if not m:
             break
         at = m.end()
-        name = m[2].lower() if m[2] else ""
+        name = (m["name"] or "").lower()
         if not name:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-            else:
-                if name in BLOCK:
-                    flush()
+        attrs = m["attrs"] if m["attrs"] is not None else m["loose"]
+        if m["end"]:
+            if opened[name] > 0:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            elif name in BLOCK:
+                flush()
             continue
         if name in ("br", "hr", "img"):
             if not (stack and stack[-1][2]):
@@ -107,35 +115,37 @@ def blocks(page: str) -> list[tuple[str, str, tuple[str, ...], str]]:
             continue
         if name in VOID:
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"] > 0:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     pop(i)
                     break
                 if stack[i][0] in SCOPES:
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(opened[x] > 0 for x in CLOSES[name]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[name]:
                     pop(i)
                     break
                 if stack[i][0] in SCOPES:
                     break
-        apart, marked, key = _apart(name, m[3])
+        apart, marked, key = _apart(name, attrs)
         ends = name in BLOCK or marked
         if ends or apart:
             flush()
         above = stack[-1] if stack else ("", "", False, (), "", False)
-        if m[3].endswith("/") and name in ("svg", "iframe"):
+        if attrs.endswith("/") and name in ("svg", "iframe"):
             continue
         path = f"{above[1]}>{key}" if ends else above[1]
-        mark = f"{path} {' '.join(sorted(v.strip(_QUOTES) for _, v in _MARK.findall(m[3])))}"  # ids and roles tell marked elements apart
+        mark = f"{path} {' '.join(sorted(v.strip(_QUOTES) for _, v in _MARK.findall(attrs)))}"  # ids and roles tell marked elements apart
         article = above[4] or (path if name in ("article", "main") else "")
+        opened[name] += 1
         stack.append((name, path, above[2] or apart, (*above[3], mark) if marked else above[3], article, ends))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             stack.pop()
+            opened[name] -= 1
     flush()
     return out
 

@@ -92,6 +92,75 @@ def test_toxicity_is_right_on_labels_it_did_not_see(spark):
     assert hit / max(1, hit + missed) > 0.8 and wrong / max(1, wrong + right) < 0.02, cells
 
 
+def test_decontamination_of_short_items_names_and_edited_copies(spark):
+    import random
+
+    names = "Anna Berg Carl Dorn Erik Falk Greta Holm 7 9 Ida Jung Kurt Lund"
+    twice = ITEM + " From Berlin the train goes on."
+    bench = spark.createDataFrame([(1, "What is the capital city of Peru?"), (2, "Yes"), (3, names), (4, twice)], "item_id long, text string")
+    edited = twice.replace("From Berlin", "From Munich")
+    rng = random.Random(1)
+    noise = " ".join(f"word{rng.randint(0, 10**6)}" for _ in range(150_000))
+    rows = [(1, "So, what is the capital city of peru? Lima."), (2, "yes"), (3, "Yes it is so"), (4, f"Here: {names.lower()}."), (5, edited), (6, noise + " " + ITEM)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (4, 3), (5, 4), (6, 4)}
+
+
+def test_decontamination_finds_questions_asked_again_with_other_values(spark, sf):
+    import random
+    import re
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rng = random.Random(3)
+
+    def again(text):  # every number and name gets one other value
+        new = {}
+        fresh = lambda m: new.setdefault(m[0], str(rng.randint(1000, 9999)) if m[0][0].isdigit() else f"Zq{len(new)}x")
+        return re.sub(r"(?<![^\W_])(?:[0-9][^\W_]*|[A-Z][^\W_]*)", fresh, text)
+
+    docs = spark.createDataFrame([(i, f"Some words before. {again(t)} And some after.", "en", "s", 0) for i, t in items], DOCS)
+    found = {(r["doc_id"], r["item_id"]): r["changed"] for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum(found.get((i, i), False) for i, _ in items) >= 0.9 * len(items)
+
+
+def test_nearest_examples_equal_a_full_cosine():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 60)) if x < 500) + (" bad stuff" if i % 3 == 0 else "") for i in range(500)]
+    toxic = np.array([float(i % 3 == 0) for i in range(500)])
+    row, term, tf = toxicity.terms(pa.array(texts))
+    index = toxicity.index_of(np.arange(500), toxic, row, term, tf, {1: 170, 0: 330})
+    assert (index.column >= 0).any() and (index.column < 0).any() and len(index.heavy) > 2 * toxicity.BLOCK
+    queries = texts[:40] + ["", "nothing known here", "bad w1 w1 new", "w1"]
+    row, term, tf = toxicity.terms(pa.array(queries))
+    got = index.nearest(row, term, tf, len(queries))
+    value = dict(zip(index.terms.tolist(), index.value.tolist(), strict=True))
+
+    def vector(text):
+        _, t, n = toxicity.terms(pa.array([text]))
+        v = {k: (1 + np.log(c)) * value.get(k, index.unknown) for k, c in zip(t.tolist(), n, strict=True)}
+        length = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {k: x / length for k, x in v.items()}
+
+    examples = [vector(texts[i]) for i in index.ids]
+    for q, (top, cos) in zip(queries, got, strict=True):
+        v = vector(q)
+        every = np.array([sum(x * e.get(k, 0.0) for k, x in v.items()) for e in examples])
+        want = np.sort(every)[::-1][: toxicity.NEIGHBOURS]
+        want = np.minimum(want[want > 1e-9], 1)
+        assert len(cos) == len(want) and np.allclose(cos, want, atol=1e-5) and np.allclose(every[top], cos, atol=1e-5), q
+
+
+def test_toxicity_of_a_very_long_text_is_that_of_its_words(spark):
+    rows = [(i, ("vile rude words " if i % 2 else "kind calm words ") * (i + 1), "en", "s", 0) for i in range(40)] + [(90, "vile rude words " * 200_000, "en", "s", 0)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert got[90] == 1 and all(got[i] == i % 2 for i in range(40))
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity_scores(odd(spark), labels).collect()
@@ -167,3 +236,56 @@ def test_pipeline_stages(spark, sf):
         assert out.columns == docs.columns
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "size", "source_size", "target", "taken"] and 0 < got.count() < docs.count()
+
+
+def test_html_markup_of_every_day(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, "http://a/1", f"<body class='page no-sidebar'><article><p>{text}</p></article></body>"),
+        (2, "http://b/1", f"<main class='content has-comments'><p>{text}</p></main>"),
+        (3, "http://c/1", f"<article class='post comment-open'><p>{text}</p></article>"),
+        (4, "http://d/1", f"<article><div class='article-header'><h1>Title</h1></div><p>{text}</p></article>"),
+        (5, "http://e/1", f"<article><p>{text} <span class='search-hit'>found</span> <a class='share-link'>here</a> too</p></article>"),
+        (6, "http://f/1", '<article><p title="abc>hello</p><p>there</p></article>'),
+        (7, "http://g/1", "<div>" * 3000 + "</b></i>" * 3000 + "deep" + f" <p>{text} " * 3000),
+        (7, "http://g/1", "twice"),
+    ]
+    got = [(r["page_id"], r["text"]) for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    by = dict(got)
+    assert by[1] == by[2] == by[3] == text and by[4] == f"Title\n\n{text}" and by[5] == f"{text} found here too"
+    assert by[6] == "hello\n\nthere" and len(got) == 8 and (7, "twice") in got
+    assert max(len(t) for i, t in got if i == 7) > 3000 * len(text)
+
+
+def test_pii_of_contexts_on_both_sides_secrets_and_names_that_clash(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 8)) + "a1b2c3d4"
+    rows = [(i, f"{word()} {word()} +1 555 01{i:02d} 22{i:02d} is my number {word()}") for i in range(40)]
+    rows += [(100 + i, f"{word()} (555) 77{i % 10}-1{i:03d} is my number {word()}") for i in range(20)]  # unseen by the rules
+    rows += [(200 + i, f'{word()} {word()} token = "{key(40)}" {word()}') for i in range(20)] + [(300 + i, f'{word()} token = "{key(20)}" {word()}') for i in range(10)]
+    rows += [(400 + i, f"{word()} {word()} {key(40)} {word()}") for i in range(10)] + [(500 + i, f"{word()} {rng.randint(10**9, 10**10)} {word()}") for i in range(10)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumns({c: F.lit("x") for c in ("_key", "_d", "_k", "key", "more", "spans")})
+    got = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    found = sum("phone:" in got[100 + i]["spans"] for i in range(20)) + sum("secret:" in got[b + i]["spans"] for b, n in ((200, 20), (300, 10)) for i in range(n))
+    assert found >= 0.9 * 50 and all(got[b + i]["n_spans"] == 0 for b in (400, 500) for i in range(10))
+    clean = {r["doc_id"]: r["text"] for r in pii.pii_redacted(df).collect()}
+    assert "<SECRET>" in clean[305] and "<PHONE>" in clean[105] and clean[500] == rows[-10][1] and len(clean) == len(rows)
+
+
+def test_pii_of_a_very_long_text_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.time()
+        spans, met = pii.mentions("call 555-123-4567 1.2.3.4 " * n)
+        took.append(time.time() - began)
+        assert len(spans) == n and len(met) > n
+    assert took[1] < 10 * took[0]
+
+
+def test_urls_of_an_empty_table(spark):
+    assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0

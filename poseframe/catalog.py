@@ -245,7 +245,16 @@ def heading_changes(spark, sf):
     return series.heading_change(e, BY, "us", "x", "y", 3).select("event_id", r6(F.col("turn")).alias("turn"))
 
 
-@query()
+@query(
+    EV.replace("WITH", "WITH RECURSIVE") + """, a AS (SELECT user_id, us, abs(value - 250) AS turn, abs(value - 250) >= 200 AS hot, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM ev),
+    b AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, hot ORDER BY us) AS run FROM a),
+    p AS (SELECT user_id, arg_max(i, (turn, -i)) AS i FROM b WHERE hot GROUP BY user_id, run),
+    k AS (SELECT user_id, i, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM p),
+    t AS (SELECT user_id, n, i AS last, true AS taken, i FROM k WHERE n = 1
+      UNION ALL SELECT k.user_id, k.n, CASE WHEN k.i - t.last >= 5 THEN k.i ELSE t.last END, k.i - t.last >= 5, k.i FROM t JOIN k ON k.user_id = t.user_id AND k.n = t.n + 1),
+    s AS (SELECT a.user_id, a.i, (SELECT count(*) FROM t WHERE t.user_id = a.user_id AND t.taken AND t.i <= a.i) AS segment FROM a)
+    SELECT user_id, segment, count(*) AS n FROM s GROUP BY user_id, segment"""
+)
 def turn_segments(spark, sf):
     """Peaks of the turn, kept apart, and the segments between them."""
     e = series_of(spark, sf).withColumn("turn", F.abs(F.col("value") - 250))
@@ -331,14 +340,28 @@ def windowed_rigid(spark, sf):
     return f.select("event_id", F.round(d, 4).alias("residual"))
 
 
-@query()
+def _lags_sql(name: str, lags: str) -> str:
+    return f"""{name}x AS (SELECT lag, a.v AS p, a.t + lag AS x FROM a, ({lags})),
+    {name}y AS (SELECT l.lag, l.p, CASE WHEN b.t = l.x OR b.t1 IS NULL THEN b.v ELSE b.v + (l.x - b.t) / (b.t1 - b.t) * (b.v1 - b.v) END AS q
+      FROM {name}x l ASOF JOIN b ON l.x >= b.t WHERE l.x <= (SELECT max(t) FROM b)),
+    {name} AS (SELECT lag, CASE WHEN count(*) < 50 OR var_pop(p) = 0 OR var_pop(q) = 0 THEN 0 ELSE covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)) END AS r FROM {name}y GROUP BY lag)"""
+
+
+@query(
+    EV + f""", sig AS (SELECT event_type, (h - 473000)::DOUBLE AS t, avg(value) AS v FROM ev GROUP BY event_type, h),
+    a AS (SELECT t, v FROM sig WHERE event_type = 'click'), b AS (SELECT t, v, lead(t) OVER (ORDER BY t) AS t1, lead(v) OVER (ORDER BY t) AS v1 FROM sig WHERE event_type = 'view'),
+    {_lags_sql("wide", "SELECT -20.0::DOUBLE + i * 0.5::DOUBLE AS lag FROM range(81) g(i)")},
+    best AS (SELECT arg_min(lag, (round(r, 9), lag)) AS lag FROM wide),
+    {_lags_sql("near", "SELECT (SELECT lag FROM best) - 1.0::DOUBLE + i * 0.05::DOUBLE AS lag FROM range(41) g(i)")}
+    SELECT 1 AS rec, round(arg_min(lag, (round(r, 9), lag)), 6) AS lag, round(min(r), 6) AS r FROM near"""
+)
 def drift_search(spark, sf):
     """The lag of the smallest correlation, wide then fine."""
-    e = series_of(spark, sf).withColumn("day", F.floor(F.col("us") / (24 * HOUR)))
+    e = series_of(spark, sf)
     sig = e.groupBy("event_type", "h").agg(F.avg("value").alias("v")).select("event_type", (F.col("h") - 473_000).cast("double").alias("t"), "v")
-    a, b = sig.where("event_type = 'click'"), sig.where("event_type = 'view'")
-    one = lambda d: d.select(F.lit(1).alias("rec"), "t", "v")
-    return fits.drift(one(a), one(b), ["rec"], coarse=(20.0, 0.5), fine=(1.0, 0.05))
+    one = lambda kind: sig.where(F.col("event_type") == kind).select(F.lit(1).alias("rec"), "t", "v")
+    found = fits.drift(one("click"), one("view"), ["rec"], coarse=(20.0, 0.5), fine=(1.0, 0.05))
+    return found.select("rec", r6(F.col("lag")).alias("lag"), r6(F.col("r")).alias("r"))
 
 
 @query(
@@ -626,3 +649,6 @@ def padded_boxes(spark, sf):
         "p_partkey", F.greatest(zero, F.col("p_size") - 20).alias("x1"), F.greatest(zero, y - 20).alias("y1"), F.least(F.lit(640), F.col("p_size") + 70).alias("x2"),
         F.least(F.lit(60), y + 45).alias("y2"), (y + F.floor(F.lit(25 * 0.3))).cast("bigint").alias("head_y2"),
     )
+
+
+from poseframe.plans import catalog as _plans  # noqa: E402, F401  registers the queries of the pipelines

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +70,18 @@ def rigid(rows: tuple[Vec, Vec, Vec], t: Vec, p: Vec, c: Column | float = 1.0) -
     return add(scale(rotate(rows, p), c), t)
 
 
+def compose(a: tuple[Vec, Vec, Vec], b: tuple[Vec, Vec, Vec]) -> tuple[Vec, Vec, Vec]:
+    """The rotation that applies b, then a."""
+    columns = transpose(b)
+    return tuple(tuple(dot(row, c) for c in columns) for row in a)
+
+
+def inverse_transform(matrix) -> tuple[tuple[Vec, Vec, Vec], Vec]:
+    """Rows and shift, as literals, of the inverse of a 4 x 4 transform of numbers."""
+    inv = np.linalg.inv(np.asarray(matrix, float).reshape(4, 4))
+    return literal_rows(inv), tuple(F.lit(float(inv[i][3])) for i in range(3))
+
+
 def literal_rows(matrix) -> tuple[Vec, Vec, Vec]:
     """The upper left 3 x 3 of a matrix of numbers as literals."""
     return tuple(tuple(F.lit(float(matrix[i][j])) for j in range(3)) for i in range(3))
@@ -140,6 +153,16 @@ def face_normal(a: Vec, b: Vec, c: Vec) -> Vec:
     return unit(cross(sub(b, a), sub(c, a)))
 
 
+def frustum_points(position: Vec, rows: tuple[Vec, Vec, Vec], depth: float, half_width: float, half_height: float) -> Column:
+    """A camera's frustum as an array of points (x, y, z): the apex, then the outline of the far side, each corner after the apex."""
+    corners = [(sx * half_width, sy * half_height, depth) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    path = [(0.0, 0.0, 0.0)]
+    for k in range(4):
+        path += [corners[k], corners[(k + 1) % 4]]
+    at = lambda p: rigid(rows, position, tuple(F.lit(float(c)) for c in p))
+    return F.array(*[F.struct(*[c.alias(n) for c, n in zip(at(p), "xyz", strict=True)]) for p in path])
+
+
 def piecewise_linear(x: Column, stops: list[tuple[float, float]]) -> Column:
     """A value between stops (position, value), held at the ends: colour ramps and other lookup curves."""
     out = F.lit(stops[-1][1])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,11 +16,12 @@ def asof_join(
     direction: nearest, backward (last at or before) or forward (first at or after). tie: which of two equally near rows.
     Of right rows at one time the first by `order` (a number) counts. clamp: forward takes the last row where none follows. Rows
     beyond the tolerance, and without any match, get nulls. block cuts a long series of one key into spans of that many
-    units; the nearest rows outside a span are carried in, so no task needs a whole recording. One shuffle by the keys
-    (and block). A left row without a time matches nothing.
+    units; the nearest rows outside a span are carried in, so no task needs a whole recording: give one where a key's rows
+    don't fit a task. One shuffle by the keys (and block). A left row without a time, or with a null key, matches nothing.
     """
     cols = [c for c in right.columns if c not in by]
-    packed = right.where(F.col(on).isNotNull()).select(*by, F.col(on).alias("_t"), F.struct(*[F.col(c).alias(f"r_{c}") for c in cols]).alias("_r"))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, on)])
+    packed = right.where(known).select(*by, F.col(on).alias("_t"), F.struct(*[F.col(c).alias(f"r_{c}") for c in cols]).alias("_r"))
     keys = list(by)
     l = left.withColumn("_row", F.struct(*left.columns)).select(*by, F.col(on).alias("_t"), F.lit(None).cast(packed.schema["_r"].dataType).alias("_r"), "_row", F.lit(1).alias("_side"))
     r = packed.select(*by, "_t", "_r", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_side"))
@@ -38,10 +41,11 @@ def asof_join(
     behind = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_side").desc(), rank.desc())
     follow = F.last("_r", True).over(behind.rowsBetween(Window.unboundedPreceding, 0))
     out = rows.withColumn("_p", prev).withColumn("_n", follow)
-    if clamp:
-        every = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        out = out.withColumn("_last", F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", -rank))).over(every))
     out = out.where("_side = 1")
+    if clamp:  # one row for each series: its last
+        rank_r = F.col(f"_r.r_{order}") if order else F.lit(0)
+        last = packed.groupBy(*by).agg(F.max_by("_r", F.struct("_t", -rank_r)).alias("_last"))
+        out = out.join(last, by, "left") if by else out.join(F.broadcast(last))
     dp, dn = F.col("_t") - F.col(f"_p.r_{on}"), F.col(f"_n.r_{on}") - F.col("_t")
     exact = F.when(dp == 0, F.col("_p"))
     if direction == "backward":
@@ -57,11 +61,32 @@ def asof_join(
     return out.select("_row.*", *[F.col(f"_hit.r_{c}").alias(f"r_{c}") for c in cols])
 
 
+def bracketed(left: DataFrame, right: DataFrame, on: str, by: list[str]) -> DataFrame:
+    """left with _p and _n: right's last row at or before its time and the first at or after, as structs of right's columns.
+
+    Both neighbours come from one shuffle of both sides' union. A null where there is none; rows with a null key or time meet
+    nothing.
+    """
+    cols = [c for c in right.columns if c not in by]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, on)])
+    r = right.where(known).select(*by, F.col(on).alias("_t"), F.struct(*cols).alias("_r"))
+    l = left.select(*by, F.col(on).alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct(*left.columns).alias("_row"))
+    rows = l.unionByName(r.withColumn("_row", F.lit(None).cast(l.schema["_row"].dataType)))
+    mine = F.col("_row").isNotNull()
+    ahead = Window.partitionBy(*by).orderBy("_t", mine).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*by).orderBy(F.col("_t").desc(), mine).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({"_p": F.last("_r", True).over(ahead), "_n": F.last("_r", True).over(back)}).where(mine)
+    met = F.col("_t").isNotNull()
+    return out.select("_row.*", F.when(met, F.col("_p")).alias("_p"), F.when(met, F.col("_n")).alias("_n"))
+
+
+def between(on: str) -> Column:
+    """Where a row of bracketed() lies between its neighbours, 0 to 1; null where only one is known or both are the same."""
+    return F.when(F.col(f"_n.{on}") > F.col(f"_p.{on}"), (F.col(on) - F.col(f"_p.{on}")) / (F.col(f"_n.{on}") - F.col(f"_p.{on}")))
+
+
 def resample_linear(values: DataFrame, at: DataFrame, on: str, value: str, by: list[str]) -> DataFrame:
     """Rows of `at` with `value` of the other table interpolated at their time; the end values are held outside."""
     known = values.where(F.col(value).isNotNull()).select(*by, on, value)
-    a = asof_join(at, known, on, by, direction="backward").withColumnsRenamed({f"r_{on}": "_t0", f"r_{value}": "_v0"})
-    b = asof_join(a, known, on, by, direction="forward").withColumnsRenamed({f"r_{on}": "_t1", f"r_{value}": "_v1"})
-    f = (F.col(on) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
-    got = F.when(F.col("_t1") > F.col("_t0"), F.col("_v0") + f * (F.col("_v1") - F.col("_v0"))).otherwise(F.coalesce("_v0", "_v1"))
-    return b.withColumn(value, got).drop("_t0", "_t1", "_v0", "_v1")
+    line = F.col(f"_p.{value}") + between(on) * (F.col(f"_n.{value}") - F.col(f"_p.{value}"))
+    return bracketed(at, known, on, by).withColumn(value, F.coalesce(line, f"_p.{value}", f"_n.{value}")).drop("_p", "_n")

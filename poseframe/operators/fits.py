@@ -12,13 +12,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 S, D = ("sx", "sy", "sz"), ("dx", "dy", "dz")
+#: A second pair that a row may have beside its own: it counts in the windows that span the row.
+HS, HD = ("hsx", "hsy", "hsz"), ("hdx", "hdy", "hdz")
 PRODUCTS = [(d, s) for d in D for s in S]
 SUMS = ["n", *[f"sum_{c}" for c in (*S, *D)], *[f"sum_{d}_{s}" for d, s in PRODUCTS]]
 FIT = "r array<double>, t array<double>, c double, rmse double"
 
 
-def _terms() -> list[Column]:
-    return [F.lit(1.0), *[F.col(c) for c in (*S, *D)], *[F.col(d) * F.col(s) for d, s in PRODUCTS]]
+def _terms(second: bool = False) -> list[Column]:
+    name = dict(zip((*S, *D), (*HS, *HD), strict=True)) if second else {c: c for c in (*S, *D)}
+    return [F.lit(1.0), *[F.col(name[c]) for c in (*S, *D)], *[F.col(name[d]) * F.col(name[s]) for d, s in PRODUCTS]]
+
+
+def second_pairs() -> Column:
+    return F.col(HS[0]).isNotNull() & F.col(HD[0]).isNotNull()
+
+
+def centred(df: DataFrame, by: list[str], second: bool = False) -> DataFrame:
+    """df with all points less the means of its series' valid pairs, which are _m_sx .. _m_dz: so sums of products keep their digits."""
+    w = Window.partitionBy(*by)
+    df = df.withColumns({f"_m_{c}": F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))).over(w), F.lit(0.0)) for c in (*S, *D)})
+    less = {c: F.col(c) - F.col(f"_m_{c}") for c in (*S, *D)}
+    if second:
+        less |= {h: F.col(h) - F.col(f"_m_{c}") for h, c in zip((*HS, *HD), (*S, *D), strict=True)}
+    return df.withColumns(less)
+
+
+def uncentred_shift(r: Column, t: Column) -> Column:
+    """The shift between points as they were, of a rotation and a shift between centred() ones."""
+    moved = [r[3 * i] * F.col("_m_sx") + r[3 * i + 1] * F.col("_m_sy") + r[3 * i + 2] * F.col("_m_sz") for i in range(3)]
+    return F.array(*[t[i] + F.col(f"_m_{D[i]}") - moved[i] for i in range(3)])
 
 
 def valid_pairs() -> Column:
@@ -26,9 +49,12 @@ def valid_pairs() -> Column:
     return F.col("sx").isNotNull() & F.col("dx").isNotNull()
 
 
-def pair_sums(df: DataFrame, by: list[str]) -> DataFrame:
-    """The sums of each group's valid pairs."""
+def pair_sums(df: DataFrame, by: list[str], second: bool = False) -> DataFrame:
+    """The sums of each group's valid pairs, with second ones too if asked for."""
     aggs = [F.coalesce(F.sum(F.when(valid_pairs(), t)), F.lit(0.0)).alias(n) for t, n in zip(_terms(), SUMS, strict=True)]
+    if second:
+        more = [F.coalesce(F.sum(F.when(second_pairs(), t)), F.lit(0.0)) for t in _terms(True)]
+        aggs = [(a + b).alias(n) for a, b, n in zip(aggs, more, SUMS, strict=True)]
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -65,9 +91,9 @@ def fitted(sums: DataFrame, with_scale: bool = False, least: int = 3) -> DataFra
     return sums.mapInPandas(run, f"{schema},r:array<double>,t:array<double>,c:double")
 
 
-def global_fit(df: DataFrame, by: list[str], with_scale: bool = False) -> DataFrame:
+def global_fit(df: DataFrame, by: list[str], with_scale: bool = False, second: bool = False) -> DataFrame:
     """One fit for each group of pairs (sx.. sz, dx.. dz)."""
-    sums = pair_sums(df, by)
+    sums = pair_sums(df, by, second)
     if with_scale:
         ss = F.sum(F.when(valid_pairs(), F.col("sx") ** 2 + F.col("sy") ** 2 + F.col("sz") ** 2))
         sums = sums.join(df.groupBy(*by).agg(F.coalesce(ss, F.lit(0.0)).alias("sum_ss")), by)
@@ -106,39 +132,65 @@ def window_bounds(df: DataFrame, by: list[str], order: str, width: Column) -> Da
     return df.withColumn("hi", hi.cast("int")).withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("_w")).cast("int")).drop("_pos", "_w")
 
 
-def window_sums(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Rows with lo and hi get SUMS over the valid pairs in [lo, hi): the difference of two prefix rows."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    pre = df.where(valid_pairs()).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    pre = pre.select(*by, "_k", *[F.sum(t).over(w).alias(n) for t, n in zip(_terms(), SUMS, strict=True)])
-    upto = lambda side: pre.select(*by, F.col("_k").alias(side), F.struct(*SUMS).alias(f"_{side}"))
-    out = df.join(upto("lo"), [*by, "lo"], "left").join(upto("hi"), [*by, "hi"], "left")
-    return out.withColumns({n: F.coalesce(F.col(f"_hi.{n}"), F.lit(0.0)) - F.coalesce(F.col(f"_lo.{n}"), F.lit(0.0)) for n in SUMS}).drop("_lo", "_hi")
-
+def window_sums(df: DataFrame, by: list[str], order: str, second: bool = False) -> DataFrame:
+    """Rows with lo and hi get SUMS over the valid pairs in [lo, hi): the difference of two prefix rows.
 
-def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least: int = 3) -> DataFrame:
-    """A fit for each row from the window around it; where that has too few pairs, the whole series' fit."""
-    sums = window_sums(window_bounds(df, by, order, width), by, order)
-    local = fitted(sums.select(*by, order, *SUMS), least=least).select(*by, order, "r", "t", "c")
-    whole = global_fit(df, by).select(*by, F.col("r").alias("_r"), F.col("t").alias("_t"))
+    second: second pairs of the rows from the window's first valid row to its last count as well.
+    """
+    along = Window.partitionBy(*by).orderBy(order)
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0.0)
+    own = {f"_s_{n}": F.coalesce(F.sum(F.when(valid_pairs(), t)).over(upto), zero) for t, n in zip(_terms(), SUMS, strict=True)}
+    pre = df.withColumns(own)
+    if second:
+        pre = pre.withColumns({f"_x_{n}": F.when(second_pairs(), t).otherwise(zero) for t, n in zip(_terms(True), SUMS, strict=True)})
+        pre = pre.withColumns({f"_h_{n}": F.sum(f"_x_{n}").over(upto) for n in SUMS})
+    pre = pre.where(valid_pairs()).withColumn("_k", F.row_number().over(along))
+    sums = lambda one: F.struct(*[one(n).alias(n) for n in SUMS])
+    if second:
+        # a window that starts after valid row k leaves out what stands before the next valid row
+        before = lambda n: F.col(f"_h_{n}") - F.col(f"_x_{n}")
+        ends = pre.select(*by, "_k", sums(lambda n: F.col(f"_s_{n}") + F.col(f"_h_{n}")).alias("_to"), sums(lambda n: F.col(f"_s_{n}") + F.lead(before(n)).over(along)).alias("_from"))
+        first = pre.where("_k = 1").select(*by, F.lit(0).alias("_k"), F.lit(None).cast(ends.schema["_to"].dataType).alias("_to"), sums(before).alias("_from"))
+        ends = ends.unionByName(first)
+    else:
+        ends = pre.select(*by, "_k", sums(lambda n: F.col(f"_s_{n}")).alias("_to")).withColumn("_from", F.col("_to"))
+    out = df.join(ends.select(*by, F.col("_k").alias("lo"), F.col("_from").alias("_lo")), [*by, "lo"], "left")
+    out = out.join(ends.select(*by, F.col("_k").alias("hi"), F.col("_to").alias("_hi")), [*by, "hi"], "left")
+    return out.withColumns({n: F.coalesce(F.col(f"_hi.{n}"), zero) - F.coalesce(F.col(f"_lo.{n}"), zero) for n in SUMS}).drop("_lo", "_hi")
+
+
+def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least: int = 3, second: bool = False) -> DataFrame:
+    """A fit (r, t, c) for each row from the window around it; where that has too few pairs, the whole series' fit."""
+    mid = centred(df, by, second)
+    sums = window_sums(window_bounds(mid, by, order, width), by, order, second)
+    kept = [*by, order, *[f"_m_{c}" for c in (*S, *D)]]
+    local = fitted(sums.select(*kept, *SUMS), least=least)
+    local = local.select(*by, order, "r", F.when(F.col("r").isNotNull(), uncentred_shift(F.col("r"), F.col("t"))).alias("t"), "c")
+    whole = global_fit(df, by, second=second).select(*by, F.col("r").alias("_r"), F.col("t").alias("_t"))
     out = df.join(local, [*by, order]).join(whole, by)
     return out.withColumn("t", F.coalesce("t", "_t")).withColumn("r", F.coalesce("r", "_r")).withColumn("c", F.coalesce("c", F.lit(1.0))).drop("_r", "_t")
 
 
-def windowed_shift(df: DataFrame, by: list[str], order: str, width: Column) -> DataFrame:
-    """One rotation for a series, a translation for each row: the window's mean of dst - R src (whole series if empty)."""
-    sums = window_sums(window_bounds(df, by, order, width), by, order)
-    fit = global_fit(df, by).select(*by, "r", F.col("t").alias("_t"))
-    out = sums.join(fit, by)
+def windowed_shift(df: DataFrame, by: list[str], order: str, width: Column, second: bool = False, second_in_rotation: bool | None = None) -> DataFrame:
+    """One rotation for a series, a translation for each row: the window's mean of dst - R src (whole series if empty).
+
+    second_in_rotation: whether second pairs count for the rotation, if not as for the translations.
+    """
+    mid = centred(df, by, second)
+    sums = window_sums(window_bounds(mid, by, order, width), by, order, second)
+    fit = global_fit(df, by, second=second if second_in_rotation is None else second_in_rotation).select(*by, "r", F.col("t").alias("_t"))
+    out = sums.select(*by, order, "n", *SUMS[1:7], *[f"_m_{c}" for c in (*S, *D)]).join(fit, by)
     mean = lambda c: F.when(F.col("n") > 0, F.col(f"sum_{c}") / F.col("n"))
-    t = [mean(D[i]) - (F.col("r")[3 * i] * mean("sx") + F.col("r")[3 * i + 1] * mean("sy") + F.col("r")[3 * i + 2] * mean("sz")) for i in range(3)]
-    return out.withColumn("t", F.when(F.col("n") > 0, F.array(*t)).otherwise(F.col("_t"))).select(*df.columns, "r", "t")
+    t = F.array(*[mean(D[i]) - (F.col("r")[3 * i] * mean("sx") + F.col("r")[3 * i + 1] * mean("sy") + F.col("r")[3 * i + 2] * mean("sz")) for i in range(3)])
+    out = out.select(*by, order, "r", F.when(F.col("n") > 0, uncentred_shift(F.col("r"), t)).otherwise(F.col("_t")).alias("t"))
+    return df.join(out, [*by, order])
 
 
-def segment_fit(df: DataFrame, by: list[str], label: str) -> DataFrame:
+def segment_fit(df: DataFrame, by: list[str], label: str, second: bool = False) -> DataFrame:
     """One fit for each label of a series, given to its rows; labels with too few pairs take the series' fit."""
-    local = global_fit(df, [*by, label]).select(*by, label, "r", "t")
-    whole = global_fit(df, by).select(*by, F.col("r").alias("_r"), F.col("t").alias("_t"))
+    local = global_fit(df, [*by, label], second=second).select(*by, label, "r", "t")
+    whole = global_fit(df, by, second=second).select(*by, F.col("r").alias("_r"), F.col("t").alias("_t"))
     out = df.join(local, [*by, label]).join(whole, by)
     return out.withColumn("r", F.coalesce("r", "_r")).withColumn("t", F.coalesce("t", "_t")).drop("_r", "_t")
 
@@ -167,43 +219,57 @@ def match_points(source: DataFrame, target: DataFrame, reach: float, rounds: int
     return r, t
 
 
-def lag_correlation(a: DataFrame, b: DataFrame, lags: DataFrame, by: list[str], least: int = 50) -> DataFrame:
+def lag_correlation(a: DataFrame, b: DataFrame, lags: DataFrame, by: list[str], least: int = 50, block: float | None = None) -> DataFrame:
     """Pearson's r of b, read `lag` later on the line between its samples, with a: rows (by, lag, n, r).
 
-    a and b are (by, t, v); a series' two signals are two arrays in one row, each candidate lag is a row beside them, so
-    the samples aren't multiplied by the candidates. r is 0 under `least` common samples or without variance.
+    a and b are (by, t, v), lags (lag) or (by, lag). Time is cut into blocks: a task holds a block's samples of a and the
+    stretch of b that any lag reaches from there, and emits sums for each lag, which are then added up. So neither a long
+    recording nor many candidates need one task. block: its length, by default twice what the lags span. r is 0 under
+    `least` common samples or without variance.
     """
-    pack = lambda df, n: df.where("t is not null and v is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias(n))
-    both = pack(a, "_a").join(pack(b, "_b"), by)
-    per = lags.groupBy(*[c for c in by if c in lags.columns]).agg(F.collect_set("lag").alias("_lags"))
+    have = lambda df: df.where(" and ".join(f"{c} is not null" for c in (*by, "t", "v"))).select(*by, F.col("t").cast("double").alias("t"), F.col("v").cast("double").alias("v"))
+    a, b = have(a), have(b)
     keys = [c for c in by if c in lags.columns]
-    rows = both.join(per, keys) if keys else both.join(F.broadcast(per))
-    rows = rows.select(*by, *[F.transform(s, lambda p: p[f]).alias(f"{s}{f}") for s in ("_a", "_b") for f in ("t", "v")], "_lags")
+    span = lags.groupBy(*keys).agg(F.min("lag").alias("_l0"), F.max("lag").alias("_l1"), F.array_sort(F.collect_set("lag")).alias("_lags"))
+    ends = b.groupBy(*by).agg(F.min("t").alias("_b0"), F.max("t").alias("_b1"), F.avg("v").alias("_bm")).join(a.groupBy(*by).agg(F.avg("v").alias("_am")), by)
+    ends = ends.join(span, keys) if keys else ends.join(F.broadcast(span))
+    ends = ends.withColumn("_size", F.lit(block) if block else F.greatest(2 * (F.col("_l1") - F.col("_l0")), F.lit(1e-9)))
+    cell = lambda t: F.floor(t / F.col("_size"))
+    left = a.join(ends, by).groupBy(*by, cell(F.col("t")).alias("_block")).agg(F.collect_list("t").alias("_at"), F.collect_list(F.col("v") - F.col("_am")).alias("_av"))
+    w = Window.partitionBy(*by).orderBy("t")
+    near = b.withColumns({"_p": F.coalesce(F.lag("t").over(w), "t"), "_n": F.coalesce(F.lead("t").over(w), "t")}).join(ends, by)
+    near = near.withColumn("_block", F.explode(F.sequence(cell(F.col("_p") - F.col("_l1")), cell(F.col("_n") - F.col("_l0")))))
+    right = near.groupBy(*by, "_block").agg(F.array_sort(F.collect_list(F.struct("t", (F.col("v") - F.col("_bm")).alias("v")))).alias("_b"))
+    rows = left.join(right, [*by, "_block"]).join(ends.select(*by, "_b0", "_b1", "_lags"), by)
+    rows = rows.select(*by, "_at", "_av", F.transform("_b", lambda p: p["t"]).alias("_bt"), F.transform("_b", lambda p: p["v"]).alias("_bv"), "_b0", "_b1", "_lags")
 
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                at, av, bt, bv, cand = (np.asarray(x, float) for x in row[len(by) :])
+                at, av, bt, bv = (np.asarray(x, float) for x in row[len(by) : len(by) + 4])
+                first, last, cand = row[-3], row[-2], np.asarray(row[-1], float)
                 out = []
-                for lag in np.sort(cand):
+                for lag in cand:
                     x = at + lag
-                    ok = (x >= bt[0]) & (x <= bt[-1])
-                    r, n = 0.0, int(ok.sum())
-                    if n >= least:
+                    ok = (x >= first) & (x <= last)
+                    if ok.any():
                         p, q = av[ok], np.interp(x[ok], bt, bv)
-                        p, q = p - p.mean(), q - q.mean()
-                        s = np.sqrt((p * p).sum() * (q * q).sum())
-                        r = float((p * q).sum() / s) if s > 0 else 0.0
-                    out.append((*row[: len(by)], float(lag), n, r))
-                yield pd.DataFrame(out, columns=[*by, "lag", "n", "r"])
+                        out.append((*row[: len(by)], float(lag), len(p), p.sum(), q.sum(), (p * p).sum(), (q * q).sum(), (p * q).sum()))
+                yield pd.DataFrame(out, columns=[*by, "lag", "n", "p", "q", "pp", "qq", "pq"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields if f.name in by)
-    return rows.mapInPandas(run, f"{kinds}, lag double, n long, r double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by)
+    parts = rows.mapInPandas(run, f"{kinds}, lag double, n long, p double, q double, pp double, qq double, pq double")
+    sums = parts.groupBy(*by, "lag").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q", "pp", "qq", "pq")])
+    every = ends.select(*by, F.explode("_lags").alias("lag")).join(sums, [*by, "lag"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c = F.col
+    cov = c("pq") - c("p") * c("q") / c("n")
+    var = F.sqrt(F.greatest(c("pp") - c("p") * c("p") / c("n"), F.lit(0.0)) * F.greatest(c("qq") - c("q") * c("q") / c("n"), F.lit(0.0)))
+    return every.select(*by, "lag", "n", F.when((c("n") >= least) & (var > 0), cov / var).otherwise(0.0).alias("r"))
 
 
 def least_lag(scores: DataFrame, by: list[str]) -> DataFrame:
-    """The lag of the smallest r of each series (axes are opposite); of equal ones the smallest lag."""
-    return scores.groupBy(*by).agg(F.min_by(F.struct("lag", "r"), F.struct("r", "lag")).alias("m")).select(*by, "m.lag", "m.r")
+    """The lag of the smallest r of each series (axes are opposite); of ones equal to nine digits the smallest lag."""
+    return scores.groupBy(*by).agg(F.min_by(F.struct("lag", "r"), F.struct(F.round("r", 9), "lag")).alias("m")).select(*by, "m.lag", "m.r")
 
 
 def drift(a: DataFrame, b: DataFrame, by: list[str], center: float = 0.0, coarse: tuple[float, float] = (20.0, 0.033), fine: tuple[float, float] = (3.0, 0.001)) -> DataFrame:
@@ -215,3 +281,13 @@ def drift(a: DataFrame, b: DataFrame, by: list[str], center: float = 0.0, coarse
     n = int(round(2 * fine[0] / fine[1])) + 1
     near = first.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), F.col("lag").alias("_l")).select(*by, (F.col("_l") - fine[0] + F.col("k") * fine[1]).alias("lag"))
     return least_lag(lag_correlation(a, b, near, by), by)
+
+
+def match_reach(a: DataFrame, b: DataFrame, share: float = 0.01) -> float:
+    """How far apart points may be to match: a share of the diagonal of the smaller cloud's box; clouds are (x, y, z)."""
+
+    def diagonal(df: DataFrame) -> float:
+        row = df.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+        return float(np.sqrt(sum((row[c] or 0.0) ** 2 for c in "xyz")))
+
+    return share * min(diagonal(a), diagonal(b))

@@ -92,10 +92,14 @@ def sliding_median(df: DataFrame, by: list[str], order: str, value: str, width:
 
 
 def mad_keep(df: DataFrame, by: list[str], distance: str, times: float = 10.0, floor: float = 1e-3) -> DataFrame:
-    """Adds keep: whether a distance is within `times` the group's median absolute deviation (at least `floor`)."""
+    """Adds keep: whether a distance is within `times` the group's median absolute deviation (at least `floor`).
+
+    The medians are aggregates of (value, count) pairs that are combined before the shuffle; they come back as small rows.
+    """
     mid = df.groupBy(*by).agg(F.median(distance).alias("_mid"))
-    dev = df.join(mid, by).groupBy(*by).agg(F.median(F.abs(F.col(distance) - F.col("_mid"))).alias("_mad"))
-    out = df.join(mid, by).join(dev, by)
+    near = df.join(mid, by) if by else df.join(F.broadcast(mid))
+    dev = near.groupBy(*by, "_mid").agg(F.median(F.abs(F.col(distance) - F.col("_mid"))).alias("_mad"))
+    out = df.join(dev, by) if by else df.join(F.broadcast(dev))
     return out.withColumn("keep", F.abs(F.col(distance) - F.col("_mid")) <= times * F.greatest(F.col("_mad"), F.lit(floor))).drop("_mid", "_mad")
 
 
@@ -129,21 +133,27 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
 def gaussian_smooth(df: DataFrame, by: list[str], order: str, values: list[str], sigma: float) -> DataFrame:
     """Smooths along the rows of each series, which reflects at its ends (d c b a | a b c d | d c b a); sigma 0: as it is.
 
-    The kernel is a small literal table; each row is met by the rows it needs through an equi-join on its place.
+    Rows near an end are repeated at the places beyond it (as often as a short series needs); then each row's window holds
+    the whole kernel. One shuffle by the series. A null value counts as 0.
     """
     if sigma <= 0:
         return df
     kernel = gaussian_kernel(sigma)
     r = len(kernel) // 2
-    rows = df.withColumn("_i", F.row_number().over(_w(by, order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    taps = F.array(*[F.struct(F.lit(k - r).alias("o"), F.lit(x).alias("w")) for k, x in enumerate(kernel)])
-    need = rows.select(*by, "_i", "_n", F.inline(taps))
-    m = F.pmod(F.col("_i") + F.col("o"), 2 * F.col("_n"))
-    need = need.withColumn("_j", F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m))
-    src = rows.select(*by, F.col("_i").alias("_j"), *[F.col(v).alias(f"_s_{v}") for v in values])
-    got = need.join(src, [*by, "_j"]).groupBy(*by, "_i").agg(*[F.sum(F.col("w") * F.col(f"_s_{v}")).alias(f"_g_{v}") for v in values])
-    out = rows.join(got, [*by, "_i"])
-    return out.withColumns({v: F.col(f"_g_{v}") for v in values}).select(*df.columns)
+    rows = df.withColumns({"_i": F.row_number().over(_w(by, order)) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    i, n = F.col("_i"), F.col("_n")
+    turns = F.sequence(-F.floor((n + r) / (2 * n)) - 1, F.floor((n + r) / (2 * n)) + 1)
+    places = F.flatten(F.transform(turns, lambda k: F.array(i + 2 * n * k, 2 * n * k - 1 - i)))
+    rows = rows.withColumn("_j", F.explode(F.filter(places, lambda j: (j >= -r) & (j < n + r))))
+    near = Window.partitionBy(*by).orderBy("_j").rowsBetween(-r, r)
+    weights = F.array(*[F.lit(x) for x in kernel])
+
+    def smoothed(v: str) -> Column:
+        held = F.collect_list(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).over(near)
+        return F.aggregate(F.zip_with(held, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+
+    out = rows.withColumns({v: smoothed(v) for v in values})
+    return out.where("_j = _i").select(*df.columns)
 
 
 def rolling_any(df: DataFrame, by: list[str], order: str, flag: str, n: int = 4) -> DataFrame:
@@ -160,6 +170,11 @@ def since_first(df: DataFrame, by: list[str], order: str, name: str = "elapsed")
     return df.withColumn(name, F.col(order) - F.first(order).over(_w(by, order)))
 
 
+def heading_lag(sigma: float) -> int:
+    """Rows to look back and ahead for a heading, from the width of the smoothing: 8 at least."""
+    return max(8, int(2 * sigma))
+
+
 def heading_change(df: DataFrame, by: list[str], order: str, x: str, y: str, lag: int) -> DataFrame:
     """Adds turn: degrees between the directions from `lag` rows before and to `lag` rows after, ends held; -180 to 180."""
     w = _w(by, order)

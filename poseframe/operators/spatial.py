@@ -60,6 +60,17 @@ def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return out.withColumn("nz", V.face_normal(a, b, c)[2])
 
 
+def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """vertices with nx, ny, nz: the mean of the unit normals of a vertex's faces, of length 1; nulls for one without a face."""
+    corners = triangles(vertices, faces)
+    a, b, c = (V.vec(f"x{k}", f"y{k}", f"z{k}") for k in range(3))
+    own = dict(zip(("_nx", "_ny", "_nz"), V.face_normal(a, b, c), strict=True))
+    rows = corners.withColumns(own).select(F.explode(F.array("i0", "i1", "i2")).alias("vid"), *own)
+    mean = rows.groupBy("vid").agg(*[F.avg(n).alias(n) for n in own])
+    unit = dict(zip(("nx", "ny", "nz"), V.unit(V.vec(*own)), strict=True))
+    return vertices.join(mean.select("vid", *[c.alias(n) for n, c in unit.items()]), "vid", "left")
+
+
 def ray_hits(rays: DataFrame, tris: DataFrame, *, radius: float = 0.5, zlo: float = 0.0, zhi: float = 0.0, ground: float = 0.7) -> DataFrame:
     """One row for each ray (rid, ox.. oz, dx.. dz): hx, hy, hz, n_candidates, n_hits, on_ground; nulls for a miss.
 
@@ -82,39 +93,34 @@ def ray_hits(rays: DataFrame, tris: DataFrame, *, radius: float = 0.5, zlo: floa
     )
 
 
-def slab_of(rays: DataFrame, tris: DataFrame) -> tuple[float, float, int, tuple[float, float], float] | None:
-    """What slab_samples and radius_join need for every triangle (x0 .. z2, cx, cy) to be met by every ray that can hit it.
+def mesh_hits(rays: DataFrame, tris: DataFrame) -> DataFrame:
+    """Per ray (rid) with a hit: t of the nearest and n_hits, over all triangles (x0 .. z2, cx, cy).
 
-    The slab holds all corners; a hit is within a triangle's reach of its centre, and within half a step of a sample. None
-    without rays or triangles.
+    Each ray is sampled inside the box that holds all corners, at steps of twice the largest distance of a corner from its
+    triangle's centre, so that the centre of any triangle it can hit is within that distance, doubled, of a sample.
     """
     at = [(f"x{k}", f"y{k}", f"z{k}") for k in range(3)]
     reach = F.greatest(*[F.hypot(F.col(x) - F.col("cx"), F.col(y) - F.col("cy")) for x, y, _ in at])
     ends = {f"{c}{w}": (F.min(F.least(*[F.col(p[i]) for p in at])) if w == "lo" else F.max(F.greatest(*[F.col(p[i]) for p in at]))) for i, c in enumerate("xyz") for w in ("lo", "hi")}
-    box = tris.agg(F.max(reach).alias("reach"), *[c.alias(n) for n, c in ends.items()]).first()
+    box = tris.agg(F.max(reach).alias("reach"), *[c.alias(n) for n, c in ends.items()]).first()  # one row
     if box["reach"] is None:
-        return None
-    zlo, zhi = box["zlo"] - 1e-6, box["zhi"] + 1e-6
-    level = F.abs("dz") < 1e-9
-    speed = F.hypot("dx", "dy")
-    away = F.hypot(F.greatest(F.abs(F.col("ox") - box["xlo"]), F.abs(F.col("ox") - box["xhi"])), F.greatest(F.abs(F.col("oy") - box["ylo"]), F.abs(F.col("oy") - box["yhi"])))
-    far = rays.agg(F.max(F.when(level & (speed > 0), away / speed)).alias("far"), F.max(F.when(level, speed)).alias("fast"), F.max(F.when(~level, speed * (zhi - zlo) / F.abs("dz"))).alias("drift")).first()
-    flat = (0.0, (far["far"] or 0.0) + 1e-6)
-    drift = max(far["drift"] or 0.0, (far["fast"] or 0.0) * flat[1])
-    reach = max(box["reach"], 1e-6)
-    n = max(2, min(1000, int(drift / (2 * reach)) + 2))
-    return zlo, zhi, n, flat, reach + drift / (n - 1) / 2 + 1e-6
-
-
-def mesh_hits(rays: DataFrame, tris: DataFrame) -> DataFrame:
-    """Per ray (rid) with a hit: t of the nearest and n_hits, over all triangles; the search is sized by their bounds."""
-    slab = slab_of(rays, tris)
-    if slab is None:
         return rays.select("rid", F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("n_hits")).where("false")
-    zlo, zhi, n, flat, radius = slab
-    samples = slab_samples(rays, zlo, zhi, n, flat).withColumnsRenamed({"sx": "px", "sy": "py"})
+    reach = max(box["reach"], 1e-6) * (1 + 1e-9)
+    enters, leaves, inside = [F.lit(0.0)], [], F.lit(True)
+    for c in "xyz":
+        lo, hi, o, d = F.lit(box[f"{c}lo"] - 1e-6), F.lit(box[f"{c}hi"] + 1e-6), F.col(f"o{c}"), F.col(f"d{c}")
+        still = F.abs(d) < 1e-12
+        a, b = F.try_divide(lo - o, d), F.try_divide(hi - o, d)
+        enters.append(F.when(still, 0.0).otherwise(F.least(a, b)))
+        leaves.append(F.when(~still, F.greatest(a, b)))
+        inside = inside & (~still | o.between(lo, hi))
+    span = rays.where(inside).withColumns({"_in": F.greatest(*enters), "_out": F.least(*leaves)}).where("_out >= _in")
+    span = span.withColumn("_steps", (F.floor((F.col("_out") - F.col("_in")) * F.hypot("dx", "dy") / (2 * reach)) + 1).cast("int"))
+    samples = span.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_steps") - 1)))
+    t = F.col("_in") + (F.col("_out") - F.col("_in")) * (F.col("_k") + 0.5) / F.col("_steps")
+    samples = samples.withColumns({"px": F.col("ox") + F.col("dx") * t, "py": F.col("oy") + F.col("dy") * t}).drop("_in", "_out", "_steps", "_k")
     corners = [f"{c}{k}" for k in range(3) for c in "xyz"]
-    met = radius_join(samples, tris.select("fid", F.col("cx").alias("px"), F.col("cy").alias("py"), *corners), ["px", "py"], radius)
+    met = radius_join(samples, tris.select("fid", F.col("cx").alias("px"), F.col("cy").alias("py"), *corners), ["px", "py"], 2 * reach)
     t = V.ray_triangle(V.vec("ox", "oy", "oz"), V.vec("dx", "dy", "dz"), *[V.vec(f"r_x{k}", f"r_y{k}", f"r_z{k}") for k in range(3)])
     hits = met.select("rid", "r_fid", t.alias("t")).where("t is not null").groupBy("rid", "r_fid").agg(F.min("t").alias("t"))
     return hits.groupBy("rid").agg(F.min("t").alias("t"), F.count("*").alias("n_hits"))

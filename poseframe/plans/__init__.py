@@ -1,0 +1 @@
+"""Whole pipelines, composed of the operators."""

@@ -45,6 +45,11 @@ def joints_long(df: DataFrame, key: list[str]) -> DataFrame:
     return df.select(*key, F.inline(rows))
 
 
+def channel_position(channels: Column, base: Column | int) -> list[Column]:
+    """x, y and z in metres of a node whose channels start at `base` (counted from 0): centimetres in the three after it."""
+    return [F.get(channels, base + F.lit(k)).cast("double") / 100 for k in (1, 2, 3)]
+
+
 def joints_wide(df: DataFrame, key: list[str], joints: list[str]) -> DataFrame:
     """The inverse of joints_long for named joints."""
     at = lambda j, a: F.max(F.when(F.col("joint") == j, F.col(a))).alias(f"{j}_{a}")

@@ -66,4 +66,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op4_quality_rules": quality.SQL,
     "op5_benchmark_decontamination": decontamination.SQL,
+    "op9_url_filters": url_filter.SQL,
 }

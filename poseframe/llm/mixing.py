@@ -16,8 +16,8 @@ from poseframe.llm.common import WORDS, stored
 #: Fixed values of the mix: weights of the sources in order, repeating, and the most epochs.
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-#: Ranges of the key in each source: the first RANGE_DIGITS hexadecimal digits of the hash.
-RANGE_DIGITS = 3
+#: Documents for which a source gets 16 times as many ranges of the key, 16 ** LEAST_DIGITS at least: so a range stays small.
+RANGE_ROWS, LEAST_DIGITS = 20_000, 3
 SEED = "mix-1"
 
 
@@ -26,6 +26,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def range_digits(n: int) -> int:
+    """Hexadecimal digits of the key that make ranges of RANGE_ROWS documents at most, if one source holds all n."""
+    digits = LEAST_DIGITS
+    while n > RANGE_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """Targets of sources (source, source_size): shares by weight, none above EPOCHS sizes, the rest reshared.
 
@@ -48,17 +56,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken.
 
-    A null or blank text has size 0 and takes nothing; a null source is a source, the last one. Ties of the key go by
-    doc_id (null first) and size; rows that repeat each other are taken one after the other. An empty table gives an
+    A null or blank text has size 0 and takes nothing; a null source is a source, the last one. A document without a doc_id
+    has the key of its text. Ties of the key go by doc_id (null first) and size; rows that repeat each other are taken one after the other. An empty table gives an
     empty result. Other columns are ignored.
     """
-    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(SEED + ":"), own))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), key.alias("key"))
-    rows = stored(rows.withColumn("part", F.substring("key", 1, RANGE_DIGITS)), "mix-sizes")
+    rows = stored(rows, "mix-sizes")
+    rows = rows.withColumn("part", F.substring("key", 1, range_digits(rows.count())))
     inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    # at most 16 ** RANGE_DIGITS rows for a source
+    # one row for each range of a source
     along = Window.partitionBy("source").orderBy("part")
     sums = sums.select("source", "part", F.coalesce(F.sum("part_size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), "part_size")
     targets = source_targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")))
@@ -75,7 +85,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS lim FROM s),

@@ -83,13 +83,17 @@ def passes(policy: str, failed: Column | None = None) -> Column:
 
 
 def ablation(book: DataFrame, policy: str) -> DataFrame:
-    """Per rule of a policy: rejected (documents that fail it) and alone (that only it rejects)."""
-    mask = F.lit(mask_of(policy)).cast("long")
-    bit = lambda i: F.lit(1 << i).cast("long")
-    here = [(i, name) for i, (name, _) in enumerate(RULES) if name in POLICIES[policy]]
-    sums = [F.count_if(F.col("failed").bitwiseAND(bit(i)) != 0).alias(f"r{i}") for i, _ in here] + [F.count_if(F.col("failed").bitwiseAND(mask) == bit(i)).alias(f"a{i}") for i, _ in here]
-    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("rejected"), F.col(f"a{i}").alias("alone")) for i, name in here])
-    return book.agg(*sums).select(F.inline(rows))
+    """Per rule of a policy: rejected (documents that fail it), alone (that only it rejects), kept_without (kept if it is dropped).
+
+    The ledger comes down to one row for each combination of bits; the rest is arithmetic on these.
+    """
+    mask = mask_of(policy)
+    combos = book.groupBy(F.col("failed").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, (name, _) in enumerate(RULES) if name in POLICIES[policy]])
+    rows = combos.select("bits", "n", F.inline(rules))
+    where = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    left = F.col("bits").bitwiseAND(F.bitwise_not("bit"))
+    return rows.groupBy("rule").agg(where(F.col("bits").bitwiseAND(F.col("bit")) != 0).alias("rejected"), where(F.col("bits") == F.col("bit")).alias("alone"), where(left == 0).alias("kept_without"))
 
 
 def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:

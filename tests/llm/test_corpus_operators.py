@@ -41,14 +41,19 @@ def test_mixing_of_odd_rows(spark):
     assert sorted(r["size"] for r in got) == [0, 0, 0, 1, 6, 6]
     assert all(r["taken"] <= 3 * r["size"] for r in got)
     assert mixing.mixed(odd(spark, [])).count() == 0
+    assert [mixing.range_digits(n) for n in (0, 8 * 10**7, 10**9, 10**11)] == [3, 3, 4, 6]
 
 
 def test_quality_of_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_symbols"], r["n_dup_lines"]) for r in quality.judged(odd(spark)).collect())
     assert got == [(0, 0, 0, 0), (1, 6, 0, 1), (1, 6, 0, 1), (2, 0, 0, 0), (3, 1, 30000, 0), (4, 0, 0, 0)]
     assert quality.judged(odd(spark, [])).count() == 0
-    lost = {r["rule"]: r["rejected"] for r in quality.ablation(quality.ledger(odd(spark)), "v1").collect()}
-    assert lost["few_words"] == 6 and lost["many_symbols"] == 1
+    lost = {r["rule"]: r for r in quality.ablation(quality.ledger(odd(spark)), "v1").collect()}
+    assert lost["few_words"]["rejected"] == 6 and lost["many_symbols"]["rejected"] == 1
+    book = quality.ledger(odd(spark)).collect()
+    for i, (name, _) in enumerate(quality.RULES):
+        bit = 1 << i
+        assert (lost[name]["alone"], lost[name]["kept_without"]) == (sum(r["failed"] == bit for r in book), sum(r["failed"] & ~bit == 0 for r in book))
 
 
 def test_repeated_words_are_those_in_windows_found_twice(spark):

@@ -224,16 +224,16 @@ def lag_correlation(a: DataFrame, b: DataFrame, lags: DataFrame, by: list[str],
 
     a and b are (by, t, v), lags (lag) or (by, lag). Time is cut into blocks: a task holds a block's samples of a and the
     stretch of b that any lag reaches from there, and emits sums for each lag, which are then added up. So neither a long
-    recording nor many candidates need one task. block: its length, by default twice what the lags span. r is 0 under
+    recording nor many candidates need one task. block: its length, by default twice what the lags span, and 1000 samples at least. r is 0 under
     `least` common samples or without variance.
     """
     have = lambda df: df.where(" and ".join(f"{c} is not null" for c in (*by, "t", "v"))).select(*by, F.col("t").cast("double").alias("t"), F.col("v").cast("double").alias("v"))
     a, b = have(a), have(b)
     keys = [c for c in by if c in lags.columns]
     span = lags.groupBy(*keys).agg(F.min("lag").alias("_l0"), F.max("lag").alias("_l1"), F.array_sort(F.collect_set("lag")).alias("_lags"))
-    ends = b.groupBy(*by).agg(F.min("t").alias("_b0"), F.max("t").alias("_b1"), F.avg("v").alias("_bm")).join(a.groupBy(*by).agg(F.avg("v").alias("_am")), by)
+    ends = b.groupBy(*by).agg(F.min("t").alias("_b0"), F.max("t").alias("_b1"), F.avg("v").alias("_bm"), F.count("*").alias("_bn")).join(a.groupBy(*by).agg(F.avg("v").alias("_am")), by)
     ends = ends.join(span, keys) if keys else ends.join(F.broadcast(span))
-    ends = ends.withColumn("_size", F.lit(block) if block else F.greatest(2 * (F.col("_l1") - F.col("_l0")), F.lit(1e-9)))
+    ends = ends.withColumn("_size", F.lit(block) if block else F.greatest(2 * (F.col("_l1") - F.col("_l0")), 1000 * (F.col("_b1") - F.col("_b0")) / F.col("_bn"), F.lit(1e-9)))
     cell = lambda t: F.floor(t / F.col("_size"))
     left = a.join(ends, by).groupBy(*by, cell(F.col("t")).alias("_block")).agg(F.collect_list("t").alias("_at"), F.collect_list(F.col("v") - F.col("_am")).alias("_av"))
     w = Window.partitionBy(*by).orderBy("t")

@@ -96,11 +96,16 @@ def frame_transforms(anchors: DataFrame, frames: DataFrame, by: list[str], on: s
     Rotations go the shorter way at even speed, the rest on a line. A series without anchors has nulls.
     """
     out = bracketed(frames, anchors.select(*by, on, "q", "t", "scale"), on, by)
-    f = F.coalesce(between(on), F.lit(0.0))
-    p, n = F.coalesce("_p", "_n"), F.coalesce("_n", "_p")
-    four = lambda c: tuple(c["q"][i] for i in range(4))
-    q = F.array(*V.slerp(four(p), four(n), f))
-    line = lambda a, b: a + f * (b - a)
-    t = F.array(*[line(p["t"][i], n["t"][i]) for i in range(3)])
-    known = F.col("_p").isNotNull() | F.col("_n").isNotNull()
-    return out.withColumns({"q": F.when(known, q), "t": F.when(known, t), "scale": line(p["scale"], n["scale"])}).drop("_p", "_n")
+    out = out.withColumns({"_f": F.coalesce(between(on), F.lit(0.0)), "_a": F.coalesce("_p", "_n"), "_b": F.coalesce("_n", "_p")}).drop("_p", "_n")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    f, dot = F.col("_f"), F.col("_dot")
+    # a column for each step, so that none is worked out again for each component
+    out = out.withColumn("_dot", total(F.zip_with("_a.q", "_b.q", lambda x, y: x * y)))
+    out = out.withColumns({"_angle": F.acos(F.least(F.abs(dot), F.lit(1.0))), "_near": F.abs(dot) > 0.9999999})
+    part = lambda share: F.when(F.col("_near"), share).otherwise(F.sin(share * F.col("_angle")) / F.sin("_angle"))
+    out = out.withColumns({"_u": part(1 - f), "_v": part(f) * F.when(dot < 0, -1.0).otherwise(1.0)})
+    out = out.withColumn("_m", F.zip_with("_a.q", "_b.q", lambda x, y: F.col("_u") * x + F.col("_v") * y))
+    out = out.withColumn("_length", F.sqrt(total(F.transform("_m", lambda x: x * x))))
+    line = lambda x, y: x + f * (y - x)
+    out = out.withColumns({"q": F.transform("_m", lambda x: x / F.col("_length")), "t": F.zip_with("_a.t", "_b.t", line), "scale": line(F.col("_a.scale"), F.col("_b.scale"))})
+    return out.drop("_f", "_a", "_b", "_dot", "_angle", "_near", "_u", "_v", "_m", "_length")

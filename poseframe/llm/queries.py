@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poseframe.llm import chat, decontamination, html_text, jaccard_join, mixing, pii, quality, suffix_dedup, toxicity, url_filter
+from poseframe.llm import chat, decontamination, html_text, jaccard_join, mixing, pii, prefix_trie, quality, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_ngram_jaccard_join, op2_mixing, op3_chat_formatting, op4_quality_rules, op5_benchmark_decontamination,
-    op6_pii, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_html_extraction,
+    op6_pii, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_html_extraction, op11_prefix_trie,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Where SQL can express a query; the others are held against brute force in tests/llm.
@@ -67,4 +71,5 @@ ORACLES: dict[str, str] = {
     "op4_quality_rules": quality.SQL,
     "op5_benchmark_decontamination": decontamination.SQL,
     "op9_url_filters": url_filter.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from poseframe.llm import chat, decontamination, html_text, jaccard_join, mixing, pii, prefix_trie, quality, suffix_dedup, toxicity, url_filter
+from poseframe.llm import byte_bpe, chat, decontamination, html_text, jaccard_join, mixing, pii, prefix_trie, quality, sort_means, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +60,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.clustered(_table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_ngram_jaccard_join, op2_mixing, op3_chat_formatting, op4_quality_rules, op5_benchmark_decontamination,
-    op6_pii, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_html_extraction, op11_prefix_trie,
+    op6_pii, op7_toxicity, op8_suffix_array_dedup, op9_url_filters, op10_html_extraction, op11_prefix_trie, op12_byte_bpe,
+    op13_sort_means,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Where SQL can express a query; the others are held against brute force in tests/llm.
@@ -72,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": decontamination.SQL,
     "op9_url_filters": url_filter.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op13_sort_means": sort_means.SQL,
 }

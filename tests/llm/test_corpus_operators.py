@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from poseframe.llm import chat, decontamination, html_text, mixing, pii, quality, queries, suffix_dedup, toxicity, url_filter
 
-TABLES = ("documents", "benchmark", "conversations", "pages", "labels")
+TABLES = ("documents", "benchmark", "conversations", "pages", "labels", "embeddings")
 
 
 def rows_of(rows, cols):

@@ -3,13 +3,14 @@
 Every prefix of a piece of text has exactly one token that can end its encoding: the one whose bytes end the prefix and which may
 follow the last token of what is before it. A table that stores that token for each prefix is filled from left to right, encodes
 in linear time and can be appended to; after an edit only the prefixes near it change, since a prefix depends on the prefixes
-within the longest token before it. Two tokens may follow each other if their joined bytes encode to just them.
+within the longest token before it. Two tokens may follow each other if their joined bytes encode to just them, which their own parts tell.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
@@ -31,46 +32,78 @@ AT_ONCE = 1 << 16
 
 
 class Vocabulary:
-    """Tokens by rank, from the lines of a .tiktoken file."""
+    """Tokens by rank, from the lines of a .tiktoken file; each of more than a byte is made of two of lower rank."""
 
     def __init__(self, lines: bytes):
         pairs = [line.split() for line in lines.splitlines() if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         self.token = {i: t for t, i in self.rank.items()}
         self.longest = max(map(len, self.rank), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._ends = ahocorasick.Automaton()
+        self.parts: dict[int, tuple[int, int]] = {}
+        #: (first, second): whether second may come right after first, as far as asked.
+        self.known: dict[tuple[int, int], bool] = {}
+        self.ends = ahocorasick.Automaton()
         for t, i in self.rank.items():
-            if self.merged(t) == [i]:
-                self._ends.add_word(t.decode("latin-1"), i)
-        self._ends.make_automaton()
-
-    def merged(self, data: bytes) -> list[int]:
-        """The tokens of a few bytes by merging neighbours, the lowest rank first: what a pair is judged by."""
+            if len(t) > 1:
+                two = self.merged(t, 2)
+                if len(two) != 2:
+                    continue  # no merges lead to it
+                self.parts[i] = two[0], two[1]
+            self.ends.add_word(t.decode("latin-1"), (i, len(t)))
+        self.ends.make_automaton()
+
+    def merged(self, data: bytes, least: int = 1) -> list[int]:
+        """The tokens of a few bytes by merging neighbours, the lowest rank first and of equal ones the leftmost, down to `least`."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = min((self.rank.get(x + y, 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
             if best == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.rank[p] for p in parts]
 
-    def follows(self, first: int, second: int) -> bool:
-        """Whether second may come right after first."""
-        key = (first, second)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(self.token[first] + self.token[second]) == [first, second]
-        return known
-
-    def ending(self, data: bytes, start: int, stop: int) -> Iterator[tuple[int, int]]:
-        """(end, token) of all tokens that end in data[start:stop], by end; they may begin earlier."""
+    def judge(self, first: int, second: int) -> bool:
+        """Whether second may come right after first: no merge across their border comes before the ones that made them.
+
+        Backwards in time, the later made of the two tokens at the border is taken apart, down to bytes. Where the two that are left
+        would merge earlier than either was used up, the pair doesn't stand.
+        """
+        x, y, x_used, y_used = first, second, 1 << 60, 1 << 60
+        token, parts = self.token, self.parts
+        fits = True
+        while True:
+            z = self.rank.get(token[x] + token[y])
+            if z is not None and z < x_used and z <= y_used:
+                fits = False
+                break
+            made_x, made_y = (x if x in parts else -1), (y if y in parts else -1)
+            if made_x > made_y:
+                x_used, x = x, parts[x][1]
+            elif made_y >= 0:
+                y_used, y = y, parts[y][0]
+            else:
+                break
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[(first, second)] = fits
+        return fits
+
+    def fill(self, data: bytes, last: list[int], start: int, stop: int) -> None:
+        """Sets last[i], the last token of data[:i], for start < i <= stop; what is before is known."""
         lo = max(0, start - self.longest + 1)
-        for last, token in self._ends.iter(data[lo:stop].decode("latin-1")):
-            if last + lo >= start:
-                yield last + lo + 1, token
+        known, judge = self.known, self.judge
+        for at, (t, n) in self.ends.iter(data[lo:stop].decode("latin-1")):
+            end = at + lo + 1
+            if end <= start or last[end] >= 0:
+                continue
+            if end == n:
+                last[end] = t
+                continue
+            before = last[end - n]
+            if before >= 0:
+                fits = known.get((before, t))
+                if fits if fits is not None else judge(before, t):
+                    last[end] = t
 
 
 class Prefixes:
@@ -81,11 +114,7 @@ class Prefixes:
         self.append(data)
 
     def _fill(self, start: int, stop: int) -> None:
-        token, last, follows = self.vocabulary.token, self.last, self.vocabulary.follows
-        for end, t in self.vocabulary.ending(self.data, start, stop):
-            before = end - len(token[t])
-            if before == 0 or (last[before] >= 0 and follows(last[before], t)):
-                last[end] = t
+        self.vocabulary.fill(self.data, self.last, start, stop)
 
     def append(self, more: bytes) -> None:
         """Extends the text: prefixes that are known stay as they are."""
@@ -126,7 +155,15 @@ class Prefixes:
 def piece_tokens(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     """The tokens of one piece; a piece that is a token is that token."""
     whole = vocabulary.rank.get(piece)
-    return [whole] if whole is not None else Prefixes(vocabulary, piece).tokens()
+    if whole is not None:
+        return [whole]
+    token, at, out = vocabulary.token, len(piece), []
+    last = [-1] * (at + 1)
+    vocabulary.fill(piece, last, 0, at)
+    while at:
+        out.append(last[at])
+        at -= len(token[last[at]])
+    return out[::-1]
 
 
 class Encoder:
@@ -182,7 +219,8 @@ class _Known(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(piece_tokens(self.vocabulary, piece.encode()), "<u4").tobytes()
+        tokens = piece_tokens(self.vocabulary, piece.encode())
+        ids = struct.pack(f"<{len(tokens)}I", *tokens)
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -56,6 +56,16 @@ def test_an_edit_works_out_few_prefixes():
     assert one.replace(5000, 5001, b"x") < 6 * VOCABULARY.longest
 
 
+def test_pairs_stand_if_they_encode_to_themselves():
+    rng = np.random.default_rng(5)
+    some = [int(x) for x in rng.integers(0, 2000, 4000)]
+    for a, b in zip(some[::2], some[1::2], strict=True):
+        joined = VOCABULARY.token[a] + VOCABULARY.token[b]
+        assert VOCABULARY.judge(a, b) == (VOCABULARY.merged(joined) == [a, b])
+    for a in range(256, 1500):  # equal neighbours, where the leftmost merge comes first
+        assert VOCABULARY.judge(a, a) == (VOCABULARY.merged(VOCABULARY.token[a] * 2) == [a, a])
+
+
 def test_every_token_encodes_to_itself():
     assert all(VOCABULARY.merged(t) == [i] for t, i in RANKS.items() if len(t) < 16)
 

@@ -110,10 +110,10 @@ def packed(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return out
 
 
-def _lanes(digests: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
+def _lanes(digests: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two halves of the hash of each turn at its place."""
-    at = np.arange(place, place + len(digests), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
+        at = places * np.uint64(0x9E3779B97F4A7C15)
         return mix64(digests[:, 0] + at), mix64(digests[:, 1] ^ mix64(at + np.uint64(1)))
 
 
@@ -142,7 +142,7 @@ def _rebuild(stretch: int):
                     block = (place + lo - 1) // stretch
                     hi = min(n, (block + 1) * stretch - place + 1)
                     d = digests[16 * lo : 16 * hi]
-                    x, y = _lanes(np.frombuffer(d, "<u8").reshape(-1, 2), place + lo)
+                    x, y = _lanes(np.frombuffer(d, "<u8").reshape(-1, 2), np.arange(place + lo, place + hi, dtype=np.uint64))
                     out.append((r["family"], block, r["conv_id"], place + lo, total, d, points[8 * lo : 8 * hi], _signed(x.sum(dtype=np.uint64)), _signed(y.sum(dtype=np.uint64))))
                     lo = max(hi, lo + 1)
             yield _batch(out, _SLICES)
@@ -180,19 +180,30 @@ def _family_trie(stretch: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         family, block = int(pdf["family"].iloc[0]), int(pdf["block"].iloc[0])
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for conv, rows in pdf.sort_values(["conv_id", "place"]).groupby("conv_id", sort=True):
-            r = rows.iloc[0]
-            place, total = int(r["place"]), int(r["total"])
-            digests = np.frombuffer(b"".join(rows["digests"]), "<u8").reshape(-1, 2)
-            points = np.frombuffer(b"".join(rows["points"]), "<i8")
-            x, y = _lanes(digests, place)
-            start = [np.uint64(((int(r[f"{c}_hi"]) << 32) + int(r[f"{c}_lo"])) % 2**64) for c in "ab"]
-            depth = np.arange(place - 1, place + len(points))
-            lanes = [np.cumsum(np.r_[s, v], dtype=np.uint64).view(np.int64) for s, v in zip(start, (x, y), strict=True)]
-            for c, v in zip(cols, (np.full(len(depth), conv), depth, *lanes, np.r_[0, points], depth == total), strict=True):
-                c.append(v)
-        conv, depth, a, b, points, end = (np.concatenate(c) for c in cols)
+        pdf = pdf.sort_values(["conv_id", "place"])
+        # all turns of the group at once; a conversation's row for the node it starts from comes before its own
+        digests = np.frombuffer(b"".join(pdf["digests"]), "<u8").reshape(-1, 2)
+        turns = np.frombuffer(b"".join(pdf["points"]), "<i8")
+        size = pdf["points"].map(len).to_numpy() // 8
+        ids, places, totals = (pdf[c].to_numpy() for c in ("conv_id", "place", "total"))
+        heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        sizes = np.add.reduceat(size, heads)
+        whose = np.repeat(np.arange(len(heads)), sizes + 1)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        nth = np.arange(len(whose)) - starts[whose]
+        conv, depth = ids[heads][whose], places[heads][whose] - 1 + nth
+        own = nth > 0
+        points = np.zeros(len(whose), np.int64)
+        points[own] = turns
+        lanes = []
+        for c, values in zip("ab", _lanes(digests, depth[own].astype(np.uint64)), strict=True):
+            steps = np.zeros(len(whose), np.uint64)
+            steps[own] = values
+            sums = np.cumsum(steps, dtype=np.uint64)
+            first = (pdf[f"{c}_hi"].to_numpy()[heads].astype(np.uint64) << np.uint64(32)) + pdf[f"{c}_lo"].to_numpy()[heads].astype(np.uint64)
+            lanes.append((sums - sums[starts][whose] + first[whose]).view(np.int64))
+        a, b = lanes
+        end = depth == totals[heads][whose]
         above = np.r_[-1, np.arange(len(conv) - 1)]
         hung = depth == block * stretch
         order = np.lexsort((conv, b, a, depth))

@@ -166,7 +166,7 @@ def sliding_medians(spark, sf):
 
 @query(
     EV + """, a AS (SELECT *, median(value) OVER (PARTITION BY event_type) AS mid FROM ev), b AS (SELECT *, median(abs(value - mid)) OVER (PARTITION BY event_type) AS mad FROM a)
-    SELECT event_id, abs(value - mid) <= 2 * greatest(mad, 0.001) AS keep FROM b"""
+    SELECT event_id, value <= 2 * greatest(mad, 0.001) AS keep FROM b"""
 )
 def mad_filter(spark, sf):
     """Distances within a multiple of the median absolute deviation (A2)."""
@@ -178,7 +178,7 @@ def mad_filter(spark, sf):
       row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM ev WHERE event_id % 11 != 0),
     d AS (SELECT *, abs(value - list_sort([l[greatest(1, least(len(l), i + k))] FOR k IN range(-10, 11)])[11]) AS d FROM a),
     m AS (SELECT *, median(d) OVER (PARTITION BY event_type) AS mid FROM d), n AS (SELECT *, median(abs(d - mid)) OVER (PARTITION BY event_type) AS mad FROM m)
-    SELECT event_id, abs(d - mid) > 2 * greatest(mad, 0.001) AS outlier, CASE WHEN abs(d - mid) <= 2 * greatest(mad, 0.001) THEN value END AS value FROM n
+    SELECT event_id, d > 2 * greatest(mad, 0.001) AS outlier, CASE WHEN d <= 2 * greatest(mad, 0.001) THEN value END AS value FROM n
     UNION ALL SELECT event_id, false, NULL FROM ev WHERE event_id % 11 = 0"""
 )
 def outliers_blanked(spark, sf):
@@ -236,8 +236,8 @@ def since_first(spark, sf):
     b AS (SELECT *, coalesce(lag(x, 3) OVER w, first_value(x) OVER w) AS x0, coalesce(lag(y, 3) OVER w, first_value(y) OVER w) AS y0,
       coalesce(lead(x, 3) OVER w, last_value(x) OVER v) AS x1, coalesce(lead(y, 3) OVER w, last_value(y) OVER v) AS y1 FROM a
       WINDOW w AS (PARTITION BY user_id ORDER BY us), v AS (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-    c AS (SELECT event_id, degrees(atan2(y1 - y, x1 - x) - atan2(y - y0, x - x0)) + 180 AS d FROM b)
-    SELECT event_id, round(d - 360 * floor(d / 360) - 180, 6) AS turn FROM c"""
+    c AS (SELECT event_id, degrees(atan2(y1 - y, x1 - x) - atan2(y - y0, x - x0)) + 180 AS d, sqrt((x - x0) ** 2 + (y - y0) ** 2) > 1e-8 AND sqrt((x1 - x) ** 2 + (y1 - y) ** 2) > 1e-8 AS moves FROM b)
+    SELECT event_id, CASE WHEN moves THEN round(abs(d - 360 * floor(d / 360) - 180), 6) ELSE 0 END AS turn FROM c"""
 )
 def heading_changes(spark, sf):
     """The turn between directions before and after."""
@@ -246,11 +246,11 @@ def heading_changes(spark, sf):
 
 
 @query(
-    EV.replace("WITH", "WITH RECURSIVE") + """, a AS (SELECT user_id, us, abs(value - 250) AS turn, abs(value - 250) >= 200 AS hot, row_number() OVER (PARTITION BY user_id ORDER BY us) AS i FROM ev),
+    EV.replace("WITH", "WITH RECURSIVE") + """, a AS (SELECT user_id, us, abs(value - 250) AS turn, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS i, abs(value - 250) >= 200 AND i > 0 AS hot FROM ev),
     b AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, hot ORDER BY us) AS run FROM a),
     p AS (SELECT user_id, arg_max(i, (turn, -i)) AS i FROM b WHERE hot GROUP BY user_id, run),
     k AS (SELECT user_id, i, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM p),
-    t AS (SELECT user_id, n, i AS last, true AS taken, i FROM k WHERE n = 1
+    t AS (SELECT user_id, n, CASE WHEN i >= 5 THEN i ELSE 0 END AS last, i >= 5 AS taken, i FROM k WHERE n = 1
       UNION ALL SELECT k.user_id, k.n, CASE WHEN k.i - t.last >= 5 THEN k.i ELSE t.last END, k.i - t.last >= 5, k.i FROM t JOIN k ON k.user_id = t.user_id AND k.n = t.n + 1),
     s AS (SELECT a.user_id, a.i, (SELECT count(*) FROM t WHERE t.user_id = a.user_id AND t.taken AND t.i <= a.i) AS segment FROM a)
     SELECT user_id, segment, count(*) AS n FROM s GROUP BY user_id, segment"""
@@ -652,3 +652,5 @@ def padded_boxes(spark, sf):
 
 
 from poseframe.plans import catalog as _plans  # noqa: E402, F401  registers the queries of the pipelines
+from poseframe.plans import contact_catalog as _contacts  # noqa: E402, F401
+from poseframe.plans import scale_catalog as _scale  # noqa: E402, F401

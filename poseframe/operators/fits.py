@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poseframe.functions.scratch import stored
+from poseframe.operators.blocks import ROWS, joined, running_sums
+
 S, D = ("sx", "sy", "sz"), ("dx", "dy", "dz")
 #: A second pair that a row may have beside its own: it counts in the windows that span the row.
 HS, HD = ("hsx", "hsy", "hsz"), ("hdx", "hdy", "hdz")
@@ -30,8 +33,8 @@ def second_pairs() -> Column:
 
 def centred(df: DataFrame, by: list[str], second: bool = False) -> DataFrame:
     """df with all points less the means of its series' valid pairs, which are _m_sx .. _m_dz: so sums of products keep their digits."""
-    w = Window.partitionBy(*by)
-    df = df.withColumns({f"_m_{c}": F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))).over(w), F.lit(0.0)) for c in (*S, *D)})
+    means = df.groupBy(*by).agg(*[F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))), F.lit(0.0)).alias(f"_m_{c}") for c in (*S, *D)])
+    df = joined(df, means, by)
     less = {c: F.col(c) - F.col(f"_m_{c}") for c in (*S, *D)}
     if second:
         less |= {h: F.col(h) - F.col(f"_m_{c}") for h, c in zip((*HS, *HD), (*S, *D), strict=True)}
@@ -117,53 +120,57 @@ def residual_report(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.sqrt(F.avg(F.col("residual") ** 2)).alias("rmse"), F.avg("residual").alias("mean"), F.max("residual").alias("worst"))
 
 
-def window_bounds(df: DataFrame, by: list[str], order: str, width: Column) -> DataFrame:
+def window_bounds(df: DataFrame, by: list[str], order: str, width: Column, rows: int = ROWS) -> DataFrame:
     """Adds lo and hi: the valid pairs, by their place among the valid, of a window of `width` centred on each row.
 
     pos is the number of valid pairs before the row (the last place at most); the window starts width // 2 before it and
     keeps its width at both ends.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    ok = valid_pairs().cast("int")
-    df = df.withColumn("n_valid", F.sum(ok).over(Window.partitionBy(*by))).withColumn("_pos", F.coalesce(F.sum(ok).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    df = df.withColumn("_w", width.cast("int")).withColumn("_pos", F.least("_pos", F.col("n_valid") - 1))
+    ok = valid_pairs().cast("long")
+    df = running_sums(df.withColumn("_w", width.cast("int")), by, order, {"_pos": ok}, rows, before=True)
+    df = joined(df, df.groupBy(*by).agg(F.sum(ok).alias("n_valid")), by)
+    df = df.withColumn("_pos", F.least("_pos", F.col("n_valid") - 1))
     lo = F.greatest(F.lit(0), F.col("_pos") - F.floor(F.col("_w") / 2))
     hi = F.least(F.col("n_valid"), lo + F.col("_w"))
     return df.withColumn("hi", hi.cast("int")).withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("_w")).cast("int")).drop("_pos", "_w")
 
 
-def window_sums(df: DataFrame, by: list[str], order: str, second: bool = False) -> DataFrame:
+def window_sums(df: DataFrame, by: list[str], order: str, second: bool = False, rows: int = ROWS) -> DataFrame:
     """Rows with lo and hi get SUMS over the valid pairs in [lo, hi): the difference of two prefix rows.
 
-    second: second pairs of the rows from the window's first valid row to its last count as well.
+    second: second pairs of the rows from the window's first valid row to its last count as well. Prefix sums run in blocks of at
+    most `rows` rows of a series.
     """
-    along = Window.partitionBy(*by).orderBy(order)
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0.0)
-    own = {f"_s_{n}": F.coalesce(F.sum(F.when(valid_pairs(), t)).over(upto), zero) for t, n in zip(_terms(), SUMS, strict=True)}
-    pre = df.withColumns(own)
+    sums = {f"_s_{n}": F.when(valid_pairs(), t).otherwise(zero) for t, n in zip(_terms(), SUMS, strict=True)} | {"_k": valid_pairs().cast("long")}
+    pre = df
     if second:
         pre = pre.withColumns({f"_x_{n}": F.when(second_pairs(), t).otherwise(zero) for t, n in zip(_terms(True), SUMS, strict=True)})
-        pre = pre.withColumns({f"_h_{n}": F.sum(f"_x_{n}").over(upto) for n in SUMS})
-    pre = pre.where(valid_pairs()).withColumn("_k", F.row_number().over(along))
-    sums = lambda one: F.struct(*[one(n).alias(n) for n in SUMS])
+        sums |= {f"_h_{n}": F.col(f"_x_{n}") for n in SUMS}
+    pre = running_sums(pre, by, order, sums, rows).where(valid_pairs())
+    held = lambda one: F.struct(*[one(n).alias(n) for n in SUMS])
     if second:
         # a window that starts after valid row k leaves out what stands before the next valid row
         before = lambda n: F.col(f"_h_{n}") - F.col(f"_x_{n}")
-        ends = pre.select(*by, "_k", sums(lambda n: F.col(f"_s_{n}") + F.col(f"_h_{n}")).alias("_to"), sums(lambda n: F.col(f"_s_{n}") + F.lead(before(n)).over(along)).alias("_from"))
-        first = pre.where("_k = 1").select(*by, F.lit(0).alias("_k"), F.lit(None).cast(ends.schema["_to"].dataType).alias("_to"), sums(before).alias("_from"))
-        ends = ends.unionByName(first)
+        ends = pre.select(*by, "_k", held(lambda n: F.col(f"_s_{n}") + F.col(f"_h_{n}")).alias("_to"), held(lambda n: F.col(f"_s_{n}")).alias("_own"))
+        starts = pre.select(*by, (F.col("_k") - 1).alias("_k"), held(before).alias("_skip"))  # by the valid row before
+        ends = ends.join(starts, [*by, "_k"], "full")
+        from_ = held(lambda n: F.coalesce(F.col(f"_own.{n}"), zero) + F.col(f"_skip.{n}"))
+        ends = ends.select(*by, "_k", "_to", F.when(F.col("_skip").isNotNull(), from_).alias("_from"))
     else:
-        ends = pre.select(*by, "_k", sums(lambda n: F.col(f"_s_{n}")).alias("_to")).withColumn("_from", F.col("_to"))
+        ends = pre.select(*by, "_k", held(lambda n: F.col(f"_s_{n}")).alias("_to")).withColumn("_from", F.col("_to"))
     out = df.join(ends.select(*by, F.col("_k").alias("lo"), F.col("_from").alias("_lo")), [*by, "lo"], "left")
     out = out.join(ends.select(*by, F.col("_k").alias("hi"), F.col("_to").alias("_hi")), [*by, "hi"], "left")
     return out.withColumns({n: F.coalesce(F.col(f"_hi.{n}"), zero) - F.coalesce(F.col(f"_lo.{n}"), zero) for n in SUMS}).drop("_lo", "_hi")
 
 
-def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least: int = 3, second: bool = False) -> DataFrame:
-    """A fit (r, t, c) for each row from the window around it; where that has too few pairs, the whole series' fit."""
-    mid = centred(df, by, second)
-    sums = window_sums(window_bounds(mid, by, order, width), by, order, second)
+def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least: int = 3, second: bool = False, rows: int = ROWS) -> DataFrame:
+    """A fit (r, t, c) for each row from the window around it; where that has too few pairs, the whole series' fit.
+
+    The rows with their windows are stored, since sums, fits and rows all come from them.
+    """
+    bounds = stored(window_bounds(centred(df, by, second), by, order, width, rows), "windows")
+    sums = window_sums(bounds, by, order, second, rows)
     kept = [*by, order, *[f"_m_{c}" for c in (*S, *D)]]
     local = fitted(sums.select(*kept, *SUMS), least=least)
     local = local.select(*by, order, "r", F.when(F.col("r").isNotNull(), uncentred_shift(F.col("r"), F.col("t"))).alias("t"), "c")
@@ -172,13 +179,13 @@ def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least:
     return out.withColumn("t", F.coalesce("t", "_t")).withColumn("r", F.coalesce("r", "_r")).withColumn("c", F.coalesce("c", F.lit(1.0))).drop("_r", "_t")
 
 
-def windowed_shift(df: DataFrame, by: list[str], order: str, width: Column, second: bool = False, second_in_rotation: bool | None = None) -> DataFrame:
+def windowed_shift(df: DataFrame, by: list[str], order: str, width: Column, second: bool = False, second_in_rotation: bool | None = None, rows: int = ROWS) -> DataFrame:
     """One rotation for a series, a translation for each row: the window's mean of dst - R src (whole series if empty).
 
     second_in_rotation: whether second pairs count for the rotation, if not as for the translations.
     """
-    mid = centred(df, by, second)
-    sums = window_sums(window_bounds(mid, by, order, width), by, order, second)
+    bounds = stored(window_bounds(centred(df, by, second), by, order, width, rows), "windows")
+    sums = window_sums(bounds, by, order, second, rows)
     fit = global_fit(df, by, second=second if second_in_rotation is None else second_in_rotation).select(*by, "r", F.col("t").alias("_t"))
     out = sums.select(*by, order, "n", *SUMS[1:7], *[f"_m_{c}" for c in (*S, *D)]).join(fit, by)
     mean = lambda c: F.when(F.col("n") > 0, F.col(f"sum_{c}") / F.col("n"))

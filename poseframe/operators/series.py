@@ -1,6 +1,7 @@
 """Operators on ordered series: islands, slip correction, robust filters, filling, smoothing, heading changes.
 
-`by` always names the series; `order` orders it. All of it is windows and joins on keys.
+`by` always names the series; `order` orders it. All of it is windows and joins on keys. `rows` is how many rows of a series one task
+may hold: a longer one is worked on in blocks (see blocks.py), with the same rows as a result.
 """
 
 from __future__ import annotations
@@ -10,41 +11,42 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poseframe.functions.scratch import drop_stored, stored
+from poseframe.operators.asof import asof_join, between, bracketed
+from poseframe.operators.blocks import ROWS, changes_numbered, joined, margined, row_numbers, running_sums, too_long
+
 
 def _w(by: list[str], order: str) -> Window:
     return Window.partitionBy(*by).orderBy(order)
 
 
-def islands(df: DataFrame, by: list[str], order: str, value: str, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, by: list[str], order: str, value: str, name: str = "island", rows: int = ROWS) -> DataFrame:
     """Numbers the runs of equal values from 0; the first row starts one, null equals null."""
-    w = _w(by, order)
-    starts = ~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)
-    df = df.withColumn("_start", starts.cast("long"))
-    return df.withColumn(name, F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_start")
+    starts = F.col("_was").isNull() | ~F.col(f"_was.{value}").eqNullSafe(F.col(value))
+    return changes_numbered(df, by, order, {"_was": F.struct(value)}, starts, name, rows).withColumn(name, F.col(name) - 1)
 
 
-def island_table(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+def island_table(df: DataFrame, by: list[str], order: str, value: str, rows: int = ROWS) -> DataFrame:
     """One row per run that another one follows: island, value, first and next start, rows."""
-    runs = islands(df, by, order, value).groupBy(*by, "island").agg(F.first(value).alias(value), F.min(order).alias("start"), F.count("*").alias("n"))
+    runs = islands(df, by, order, value, rows=rows).groupBy(*by, "island").agg(F.first(value).alias(value), F.min(order).alias("start"), F.count("*").alias("n"))
     return runs.withColumn("next_start", F.lead("start").over(_w(by, "island"))).where("next_start is not null")
 
 
-def gap_runs(df: DataFrame, by: list[str], order: str, gap: float, value: str) -> DataFrame:
+def gap_runs(df: DataFrame, by: list[str], order: str, gap: float, value: str, rows: int = ROWS) -> DataFrame:
     """Runs of rows that are at most `gap` apart: start, end, rows and the least value."""
-    w = _w(by, order)
-    df = df.withColumn("_new", F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("int"), F.lit(0)))
-    df = df.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = changes_numbered(df, by, order, {"_was": F.col(order)}, F.col(order) - F.col("_was") > gap, "run", rows)
     return df.groupBy(*by, "run").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), F.min(value).alias("least"))
 
 
-def slip_corrected(df: DataFrame, by: list[str], order: str, foot: str, stance: dict[str, list[str]], move: list[list[str]]) -> DataFrame:
+def slip_corrected(df: DataFrame, by: list[str], order: str, foot: str, stance: dict[str, list[str]], move: list[list[str]], rows: int = ROWS) -> DataFrame:
     """Holds the standing foot still: df with the columns in `move` corrected.
 
     stance: for each value of `foot` the coordinate columns of that heel; move: groups of columns to correct, in the order of
     the coordinates. Within a run of one foot every frame is shifted so that the heel stays where the run began; what the
-    heel slipped is carried on as a sum over earlier runs. The last run only gets what was carried.
+    heel slipped is carried on as a sum over earlier runs. The last run only gets what was carried. Runs become small rows
+    (first and last heel), the carry is a running sum over those, and the rows take their run's shift by a join.
     """
-    run = islands(df, by, order, foot)
+    run = islands(df, by, order, foot, rows=rows)
     dims = range(len(next(iter(stance.values()))))
 
     def heel(k: int) -> Column:
@@ -53,69 +55,130 @@ def slip_corrected(df: DataFrame, by: list[str], order: str, foot: str, stance:
             out = F.when(F.col(foot) == name, F.col(cols[k])).otherwise(out)
         return out
 
-    inside = Window.partitionBy(*by, "island").orderBy(order)
-    for k in dims:
-        run = run.withColumn(f"_h{k}", heel(k))
-    for k in dims:
-        run = run.withColumn(f"_s{k}", F.first(f"_h{k}").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    along = _w(by, order)
-    last = Window.partitionBy(*by)
-    run = run.withColumn("_last", F.max("island").over(last)).withColumn("_ends", F.lead("island").over(along) != F.col("island"))
-    for k in dims:
-        # a run's last row carries start minus end into all later rows
-        run = run.withColumn(f"_e{k}", F.when(F.coalesce("_ends", F.lit(False)), F.col(f"_s{k}") - F.col(f"_h{k}")).otherwise(0.0))
-    for k in dims:
-        carry = F.coalesce(F.sum(f"_e{k}").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        run = run.withColumn(f"_c{k}", carry)
-    out = run
-    for group in move:
-        for k, c in enumerate(group):
-            shift = F.col(f"_c{k}") + F.when(F.col("island") < F.col("_last"), F.col(f"_s{k}") - F.col(f"_h{k}")).otherwise(0.0)
-            out = out.withColumn(f"_new_{c}", F.col(c) + shift)
-    for group in move:
-        for c in group:
-            out = out.withColumn(c, F.col(f"_new_{c}")).drop(f"_new_{c}")
-    return out.drop(*[f"_{x}{k}" for x in "hsec" for k in dims], "_last", "_ends")
-
-
-def sliding_median(df: DataFrame, by: list[str], order: str, value: str, width: int = 21, name: str = "median") -> DataFrame:
-    """The median of `width` rows around each; the first and last value stand in beyond the ends."""
+    run = run.withColumns({f"_h{k}": heel(k) for k in dims})
+    ends = F.struct(*[f"_h{k}" for k in dims])
+    runs = run.groupBy(*by, "island").agg(F.min_by(ends, order).alias("_s"), F.max_by(ends, order).alias("_e"))
+    runs = joined(runs, runs.groupBy(*by).agg(F.max("island").alias("_last")), by)
+    # a run's last row carries start minus end into all later rows
+    slip = {f"_c{k}": F.when(F.col("island") < F.col("_last"), F.col(f"_s._h{k}") - F.col(f"_e._h{k}")).otherwise(0.0) for k in dims}
+    runs = running_sums(runs, by, "island", slip, rows, before=True)
+    out = joined(run, runs.drop("_e"), [*by, "island"])
+    inside = F.col("island") < F.col("_last")
+    shift = [F.col(f"_c{k}") + F.when(inside, F.col(f"_s._h{k}") - F.col(f"_h{k}")).otherwise(0.0) for k in dims]
+    out = out.withColumns({c: F.col(c) + shift[k] for group in move for k, c in enumerate(group)})
+    return out.drop(*[f"_{x}{k}" for x in "hc" for k in dims], "_s", "_last")
+
+
+def sliding_medians(df: DataFrame, by: list[str], order: str, names: dict[str, str], width: int = 21, rows: int = ROWS) -> DataFrame:
+    """For each column its median of `width` rows around each, under the name given; the first and last value stand in beyond the ends."""
     half = width // 2
-    w = _w(by, order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    df = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", n)
-    df = df.withColumn("_a", F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_z", F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    df = df.withColumn("_v", F.collect_list(value).over(w.rowsBetween(-half, half)))
-    ahead = F.array_repeat("_a", F.greatest(F.lit(0), half - F.col("_i") + 1).cast("int"))
-    after = F.array_repeat("_z", F.greatest(F.lit(0), F.col("_i") + half - F.col("_n")).cast("int"))
-    return df.withColumn(name, F.element_at(F.array_sort(F.concat(ahead, "_v", after)), half + 1)).drop("_i", "_n", "_a", "_z", "_v")
+    out = margined(df, by, order, half, rows)
+    w = Window.partitionBy(*by, "_block").orderBy(order)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = F.greatest(F.lit(0), half - F.col("_place")).cast("int")
+    after = F.greatest(F.lit(0), F.col("_place") + half + 1 - F.col("_size")).cast("int")
+
+    def median(v: str) -> Column:
+        # a block that reaches an end holds the end's row in its margin
+        held = F.concat(F.array_repeat(f"_a_{v}", ahead), f"_v_{v}", F.array_repeat(f"_z_{v}", after))
+        return F.element_at(F.array_sort(held), half + 1)
+
+    for v in names:
+        out = out.withColumns({f"_a_{v}": F.first(v).over(every), f"_z_{v}": F.last(v).over(every), f"_v_{v}": F.collect_list(v).over(w.rowsBetween(-half, half))})
+    return out.where("_own").withColumns({n: median(v) for v, n in names.items()}).select(*df.columns, *names.values())
+
+
+def sliding_median(df: DataFrame, by: list[str], order: str, value: str, width: int = 21, name: str = "median", rows: int = ROWS) -> DataFrame:
+    """The median of `width` rows around each; the first and last value stand in beyond the ends."""
+    return sliding_medians(df, by, order, {value: name}, width, rows)
+
+
+#: Distances of a group that one task may put in order.
+EXACT = 1_000_000
+#: Bins that a longer group's values are counted in, round by round.
+STEPS = 2048
 
 
-def mad_keep(df: DataFrame, by: list[str], distance: str, times: float = 10.0, floor: float = 1e-3) -> DataFrame:
-    """Adds keep: whether a distance is within `times` the group's median absolute deviation (at least `floor`).
+def _narrowed(values: DataFrame, by: list[str], most: int) -> DataFrame:
+    """For groups with more than `most` values: each of the two middle ranks with the least interval of values that holds it.
 
-    The medians are aggregates of (value, count) pairs that are combined before the shuffle; they come back as small rows.
+    Rows (by, rank, lo, hi, n, at): at is the place of the rank, from 1, among the n values in [lo, hi]. Each round counts the values
+    of the interval in bins and takes the bin with the rank, from its smallest to its largest value, until it holds few
+    values or a single one. Only counts per bin meet in a task.
     """
-    mid = df.groupBy(*by).agg(F.median(distance).alias("_mid"))
-    near = df.join(mid, by) if by else df.join(F.broadcast(mid))
-    dev = near.groupBy(*by, "_mid").agg(F.median(F.abs(F.col(distance) - F.col("_mid"))).alias("_mad"))
-    out = df.join(dev, by) if by else df.join(F.broadcast(dev))
-    return out.withColumn("keep", F.abs(F.col(distance) - F.col("_mid")) <= times * F.greatest(F.col("_mad"), F.lit(floor))).drop("_mid", "_mad")
-
-
-def outliers_blanked(df: DataFrame, by: list[str], order: str, coords: list[str], width: int = 21, times: float = 10.0) -> DataFrame:
-    """Adds outlier, and nulls the coordinates of points far from the sliding median of their neighbours."""
-    out = df.where(F.col(coords[0]).isNotNull())
-    for c in coords:
-        out = sliding_median(out, by, order, c, width, f"_m_{c}")
+    n = values.groupBy(*by).agg(F.count("*").alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi")).where(F.col("n") > most)
+    left = stored(n.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("rank"), F.floor((F.col("n") + k) / 2).alias("at")) for k in (1, 2)])), "n", "lo", "hi"), "median")
+    done: list[DataFrame] = []
+    while True:
+        few = (F.col("n") <= most) | (F.col("lo") == F.col("hi"))
+        done.append(left.where(few))
+        todo = left.where(~few)
+        if todo.isEmpty():
+            break
+        at = joined(values, todo, by, "inner").where("_d between lo and hi")
+        end = lambda c: F.greatest(F.least(c, F.lit(1e308)), F.lit(-1e308)) / 2
+        share = F.when(F.col("_d") >= F.col("hi"), 1.0).otherwise((end(F.col("_d")) - end(F.col("lo"))) / (end(F.col("hi")) - end(F.col("lo"))))
+        bins = at.groupBy(*by, "rank", "at", F.least(F.floor(share * STEPS), F.lit(STEPS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi"))
+        w = Window.partitionBy(*by, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("before", F.sum("n").over(w) - F.col("n")).where("at > before and at <= before + n")
+        left = stored(bins.select(*by, "rank", (F.col("at") - F.col("before")).alias("at"), "n", "lo", "hi"), "median")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def exact_median(df: DataFrame, by: list[str], value: Column, name: str = "median", most: int = EXACT) -> DataFrame:
+    """Each group's median of the known values, exact: the mean of the two middle ones.
+
+    A group of up to `most` values is an aggregate of (value, count) pairs. In a larger one the middle ranks are first narrowed down to
+    intervals of at most that many values, so no task holds the group.
+    """
+    values = df.select(*by, value.cast("double").alias("_d")).where("_d is not null and not isnan(_d)")
+    if not too_long(values, by, most):
+        return values.groupBy(*by).agg(F.median("_d").alias(name))
+    counts = values.groupBy(*by).agg(F.count("*").alias("_n"))
+    small = joined(values, counts.where(F.col("_n") <= most), by, "inner").groupBy(*by).agg(F.median("_d").alias(name))
+    spans = _narrowed(values, by, most)
+    near = joined(values, spans.where("lo < hi"), by, "inner").where("_d between lo and hi")
+    ranked = near.groupBy(*by, "rank", "at").agg(F.array_sort(F.collect_list("_d")).alias("vs"))
+    found = ranked.select(*by, "rank", F.element_at("vs", F.col("at").cast("int")).alias("_d"))
+    found = found.unionByName(spans.where("lo = hi").select(*by, "rank", F.col("lo").alias("_d")))
+    return small.unionByName(found.groupBy(*by).agg(F.avg("_d").alias(name)))
+
+
+def mad_keep(df: DataFrame, by: list[str], distance: str, times: float = 10.0, floor: float = 1e-3, most: int = EXACT) -> DataFrame:
+    """Adds keep: whether a distance is at most `times` the median absolute deviation of its group's distances (at least `floor`).
+
+    The limit holds for the distance itself, not for how far it lies from their median. Medians are exact (see exact_median) and
+    come back as small rows.
+    """
+    back = lambda small: joined(df, small, by) if by else df.join(F.broadcast(small))
+    mid = exact_median(df, by, F.col(distance), "_mid", most)
+    dev = exact_median(back(mid), by, F.abs(F.col(distance) - F.col("_mid")), "_mad", most)
+    return back(dev).withColumn("keep", F.col(distance) <= times * F.greatest(F.col("_mad"), F.lit(floor))).drop("_mad")
+
+
+def outliers_blanked(df: DataFrame, by: list[str], order: str, coords: list[str], width: int = 21, times: float = 10.0, rows: int = ROWS, most: int = EXACT) -> DataFrame:
+    """Adds outlier, and nulls the coordinates of points far from the sliding median of their neighbours.
+
+    The distances are stored before their medians are taken, so they are worked out once.
+    """
+    out = sliding_medians(df.where(F.col(coords[0]).isNotNull()), by, order, {c: f"_m_{c}" for c in coords}, width, rows)
     d = F.sqrt(sum(((F.col(c) - F.col(f"_m_{c}")) ** 2 for c in coords[1:]), (F.col(coords[0]) - F.col(f"_m_{coords[0]}")) ** 2))
-    out = mad_keep(out.withColumn("_d", d), by, "_d", times).withColumn("outlier", ~F.col("keep"))
+    far = stored(out.select(*df.columns, d.alias("_d")), "distances")
+    out = mad_keep(far, by, "_d", times, most=most).withColumn("outlier", ~F.col("keep"))
     seen = out.select(*df.columns, "outlier").withColumns({c: F.when(~F.col("outlier"), F.col(c)) for c in coords})
     return seen.unionByName(df.where(F.col(coords[0]).isNull()).withColumn("outlier", F.lit(False)))
 
 
-def gaps_filled(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+def gaps_filled(df: DataFrame, by: list[str], order: str, value: str, rows: int = ROWS) -> DataFrame:
     """Nulls get the value on the line between their neighbours in `order`; at the ends the nearest value."""
+    if too_long(df, by, rows):
+        known = df.where(F.col(value).isNotNull())
+        at = bracketed(df.where(F.col(value).isNull()).withColumn("_t", F.col(order)), known.select(*by, F.col(order).alias("_t"), F.col(value).alias("_v")), "_t", by, rows)
+        line = F.col("_p._v") + between("_t") * (F.col("_n._v") - F.col("_p._v"))
+        return known.unionByName(at.withColumn(value, F.coalesce(line, "_p._v", "_n._v")).select(*df.columns))
     w = _w(by, order)
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("t"), F.col(value).alias("v")))
     df = df.withColumn("_p", F.last(pair, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(pair, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
@@ -130,82 +193,113 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(k) for x in k]
 
 
-def gaussian_smooth(df: DataFrame, by: list[str], order: str, values: list[str], sigma: float) -> DataFrame:
+def gaussian_smooth(df: DataFrame, by: list[str], order: str, values: list[str], sigma: float, rows: int = ROWS) -> DataFrame:
     """Smooths along the rows of each series, which reflects at its ends (d c b a | a b c d | d c b a); sigma 0: as it is.
 
     Rows near an end are repeated at the places beyond it (as often as a short series needs); then each row's window holds
-    the whole kernel. One shuffle by the series. A null value counts as 0.
+    the whole kernel. A null value has no weight: the weights of the known ones are scaled up to 1, and a window without any
+    known value gives null.
     """
     if sigma <= 0:
         return df
     kernel = gaussian_kernel(sigma)
     r = len(kernel) // 2
-    rows = df.withColumns({"_i": F.row_number().over(_w(by, order)) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
-    i, n = F.col("_i"), F.col("_n")
+    near_rows = margined(df, by, order, r, rows)
+    i, n = F.col("_place"), F.col("_size")
     turns = F.sequence(-F.floor((n + r) / (2 * n)) - 1, F.floor((n + r) / (2 * n)) + 1)
     places = F.flatten(F.transform(turns, lambda k: F.array(i + 2 * n * k, 2 * n * k - 1 - i)))
-    rows = rows.withColumn("_j", F.explode(F.filter(places, lambda j: (j >= -r) & (j < n + r))))
-    near = Window.partitionBy(*by).orderBy("_j").rowsBetween(-r, r)
+    spread = near_rows.withColumn("_j", F.explode(F.filter(places, lambda j: (j >= -r) & (j < n + r))))
+    near = Window.partitionBy(*by, "_block").orderBy("_j").rowsBetween(-r, r)
     weights = F.array(*[F.lit(x) for x in kernel])
 
     def smoothed(v: str) -> Column:
-        held = F.collect_list(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).over(near)
-        return F.aggregate(F.zip_with(held, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+        # one entry for each place, null or not
+        held = F.collect_list(F.struct(F.col(v).cast("double").alias("x"))).over(near)
+        sums = F.zip_with(held, weights, lambda p, w: F.struct(F.coalesce(p["x"] * w, F.lit(0.0)).alias("x"), F.when(p["x"].isNotNull(), w).otherwise(0.0).alias("w")))
+        total = F.aggregate(sums, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w")), lambda a, b: F.struct((a["x"] + b["x"]).alias("x"), (a["w"] + b["w"]).alias("w")))
+        full = F.aggregate(held, F.lit(True), lambda a, p: a & p["x"].isNotNull())
+        return F.when(full, total["x"]).otherwise(F.try_divide(total["x"], total["w"]))
 
-    out = rows.withColumns({v: smoothed(v) for v in values})
-    return out.where("_j = _i").select(*df.columns)
+    out = spread.withColumns({v: smoothed(v) for v in values})
+    return out.where("_j = _place and _own").select(*df.columns)
 
 
-def rolling_any(df: DataFrame, by: list[str], order: str, flag: str, n: int = 4) -> DataFrame:
+def rolling_any(df: DataFrame, by: list[str], order: str, flag: str, n: int = 4, rows: int = ROWS) -> DataFrame:
     """The flag of any of the last n rows, this one included; n 0 or 1 leaves it."""
-    w = _w(by, order).rowsBetween(-(n - 1), 0)
-    return df if n <= 1 else df.withColumn(flag, F.bool_or(flag).over(w))
+    if n <= 1:
+        return df
+    w = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(-(n - 1), 0)
+    return margined(df, by, order, n - 1, rows).withColumn(flag, F.bool_or(flag).over(w)).where("_own").select(*df.columns)
 
 
-def running_total(df: DataFrame, by: list[str], order: str, value: str, name: str = "total") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(_w(by, order).rowsBetween(Window.unboundedPreceding, 0)))
+def running_total(df: DataFrame, by: list[str], order: str, value: str, name: str = "total", rows: int = ROWS) -> DataFrame:
+    return running_sums(df, by, order, {name: F.col(value)}, rows)
 
 
 def since_first(df: DataFrame, by: list[str], order: str, name: str = "elapsed") -> DataFrame:
-    return df.withColumn(name, F.col(order) - F.first(order).over(_w(by, order)))
+    """Adds the time since the series' first row, which is an aggregate joined back."""
+    first = df.groupBy(*by).agg(F.min(order).alias("_first"))
+    return joined(df, first, by).withColumn(name, F.col(order) - F.col("_first")).drop("_first")
 
 
-def heading_lag(sigma: float) -> int:
-    """Rows to look back and ahead for a heading, from the width of the smoothing: 8 at least."""
-    return max(8, int(2 * sigma))
+#: Shorter moves have no direction.
+STILL = 1e-8
 
 
-def heading_change(df: DataFrame, by: list[str], order: str, x: str, y: str, lag: int) -> DataFrame:
-    """Adds turn: degrees between the directions from `lag` rows before and to `lag` rows after, ends held; -180 to 180."""
-    w = _w(by, order)
+def heading_change(df: DataFrame, by: list[str], order: str, x: str, y: str, lag: int, rows: int = ROWS) -> DataFrame:
+    """Adds turn: degrees, 0 to 180, between the directions from `lag` rows before and to `lag` rows after, ends held.
+
+    0 where one of the two has no direction: at the first and last row, and where the walker stands still.
+    """
+    out = margined(df, by, order, lag, rows)
+    w = Window.partitionBy(*by, "_block").orderBy(order)
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for c, a in ((x, "_x"), (y, "_y")):
-        df = df.withColumn(a + "0", F.coalesce(F.lag(c, lag).over(w), F.first(c).over(every))).withColumn(a + "1", F.coalesce(F.lead(c, lag).over(w), F.last(c).over(every)))
-    before = F.atan2(F.col(y) - F.col("_y0"), F.col(x) - F.col("_x0"))
-    after = F.atan2(F.col("_y1") - F.col(y), F.col("_x1") - F.col(x))
-    turn = F.pmod(F.degrees(after - before) + 180, F.lit(360.0)) - 180
-    return df.withColumn("turn", turn).drop("_x0", "_x1", "_y0", "_y1")
+        out = out.withColumns({f"{a}b": F.col(c) - F.coalesce(F.lag(c, lag).over(w), F.first(c).over(every)), f"{a}f": F.coalesce(F.lead(c, lag).over(w), F.last(c).over(every)) - F.col(c)})
+    turn = F.abs(F.pmod(F.degrees(F.atan2("_yf", "_xf") - F.atan2("_yb", "_xb")) + 180, F.lit(360.0)) - 180)
+    moves = (F.hypot("_xb", "_yb") > STILL) & (F.hypot("_xf", "_yf") > STILL)
+    return out.where("_own").withColumn("turn", F.when(moves, turn).otherwise(0.0)).select(*df.columns, "turn")
 
 
-def peaks(df: DataFrame, by: list[str], order: str, value: str, least: float, apart: int) -> DataFrame:
-    """Rows (by, order, value) of the first maximum of each run at or above `least`, at least `apart` after the last taken.
+def peaks(df: DataFrame, by: list[str], order: str, value: str, least: float, apart: int, rows: int = ROWS) -> DataFrame:
+    """Rows (by, order, value) of the first maximum of each run at or above `least`, at least `apart` rows after the last taken.
 
-    Runs are found with windows; only their peaks, a short list for a series, go through the fold that takes them in turn.
+    The first row counts as a taken one, so it is no peak itself and an early peak is passed over. Which peaks are taken in turn is found by
+    pointers: each peak points to the first one far enough behind it, and the pointers' lengths double each round, from the
+    first row on, so a series with n peaks takes log2(n) joins and no task holds its peaks.
     """
-    df = df.withColumn("_i", F.row_number().over(_w(by, order))).withColumn("_over", F.col(value) >= least)
-    runs = islands(df, by, order, "_over").where("_over")
-    top = runs.groupBy(*by, "island").agg(F.max_by(F.struct("_i", order, value), F.struct(value, -F.col("_i"))).alias("p"))
-    lists = top.groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    kind = lists.schema["ps"].dataType.simpleString()
-    taken = F.aggregate("ps", F.array().cast(kind), lambda a, p: F.when((F.size(a) == 0) | (p["_i"] - F.element_at(a, -1)["_i"] >= apart), F.concat(a, F.array(p))).otherwise(a))
-    return lists.where("size(ps) > 0").select(*by, F.inline(taken)).drop("_i")
-
-
-def segment_labels(df: DataFrame, breaks: DataFrame, by: list[str], order: str) -> DataFrame:
+    placed = row_numbers(df, by, order, "_i", rows)
+    runs = islands(placed.withColumn("_over", F.coalesce(F.col(value) >= least, F.lit(False)) & (F.col("_i") > 0)), by, order, "_over", "_run", rows).where("_over")
+    top = runs.groupBy(*by, "_run").agg(F.max_by(F.struct("_i", order, value), F.struct(value, -F.col("_i"))).alias("p"))
+    known = stored(top.select(*by, "p.*"), "peaks")
+    steps = known.select(*by, "_i").unionByName(known.select(*by).distinct().withColumn("_i", F.lit(0).cast("long")))
+    keys = [f"_b{k}" for k in range(len(by))]
+    named = [F.coalesce(F.to_json(F.struct(b)), F.lit("")).alias(k) for b, k in zip(by, keys, strict=True)]  # no null keys, for the as-of join
+    places = steps.select(*named, "_i")
+    onward = asof_join(places.withColumn("_from", F.col("_i") + apart), places.where("_i > 0").select(*keys, F.col("_i").alias("_from"), F.col("_i").alias("to")), "_from", keys, direction="forward", rows=rows)
+    jump = stored(onward.where("r_to is not null").select(*keys, F.col("_i").alias("at"), F.col("r_to").alias("to")), "peaks")
+    taken = stored(places.where("_i = 0").select(*keys, F.col("_i").alias("at")), "peaks")
+    while True:
+        more = taken.join(jump, [*keys, "at"]).select(*keys, F.col("to").alias("at"))
+        grown = stored(taken.unionByName(more).distinct(), "peaks")
+        drop_stored(taken)
+        taken = grown
+        far = jump.alias("a").join(jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("_to")), [*keys, "to"]).select(*keys, "at", F.col("_to").alias("to"))
+        further = stored(far, "peaks")
+        drop_stored(jump)
+        jump = further
+        if jump.isEmpty():
+            break
+    drop_stored(jump)
+    marked = known.withColumns(dict(zip(keys, [F.coalesce(F.to_json(F.struct(b)), F.lit("")) for b in by], strict=True)))
+    return marked.join(taken.withColumnRenamed("at", "_i"), [*keys, "_i"], "left_semi").drop(*keys, "_i")
+
+
+def segment_labels(df: DataFrame, breaks: DataFrame, by: list[str], order: str, rows: int = ROWS) -> DataFrame:
     """Adds segment: how many breaks lie at or before each row."""
-    marks = breaks.select(*by, order, F.lit(1).alias("_b"))
-    out = df.join(marks, [*by, order], "left")
-    return out.withColumn("segment", F.coalesce(F.sum("_b").over(_w(by, order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("_b")
+    marks = breaks.select(*by, order, F.lit(1).cast("long").alias("_b"))
+    out = joined(df, marks, [*by, order])
+    return running_sums(out, by, order, {"segment": F.coalesce("_b", F.lit(0))}, rows).drop("_b")
 
 
 def adaptive_width(residual: Column, mean: Column, std: Column, widest: int, narrowest: int, k: float = 1.5) -> Column:

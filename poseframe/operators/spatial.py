@@ -1,32 +1,89 @@
-"""Radius joins and ray casting: cells turn distances into equi-joins, exact predicates follow."""
+"""Radius joins and ray casting: cells turn distances into equi-joins, exact predicates follow.
+
+Cells follow the data: crowded ones are cut again, and triangles live in grids of their own size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poseframe.functions import vectors as V
+from poseframe.functions.scratch import stored
+from poseframe.operators.blocks import joined
+
+
+#: Rows of either side that one task may hold of a cell.
+CROWD = 20_000
 
 
 def _cell(columns: list[str], r: float, off=None):
     return [F.floor(F.col(c) / r) + (off[i] if off else 0) for i, c in enumerate(columns)]
 
 
-def radius_join(left: DataFrame, right: DataFrame, dims: list[str], r: float, by: list[str] | None = None) -> DataFrame:
+def _d2(dims: list[str]) -> Column:
+    return sum(((F.col(d) - F.col(f"r_{d}")) ** 2 for d in dims[1:]), (F.col(dims[0]) - F.col(f"r_{dims[0]}")) ** 2)
+
+
+def radius_join(left: DataFrame, right: DataFrame, dims: list[str], r: float, by: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
     """Pairs within r: columns of left, columns of right with the prefix r_, and their distance.
 
     Space is cut into cells of size r; the smaller side (right) is put into all cells around its own, so that each pair
-    meets exactly once, in an equi-join on the cell. Rows without a coordinate meet nothing.
+    meets exactly once, in an equi-join on the cell. Cells in which a side has more than `crowd` rows are cut again, see
+    _crowded(). Rows without a coordinate meet nothing.
     """
     by = by or []
     cells = [f"_c{i}" for i in range(len(dims))]
+    keys = [*by, *cells]
     offs = F.array(*[F.struct(*[F.lit(o).alias(f"_o{i}") for i, o in enumerate(t)]) for t in _around(len(dims))])
     l = left.where(" and ".join(f"{d} is not null" for d in dims)).select("*", *[c.alias(n) for c, n in zip(_cell(dims, r), cells, strict=True)])
     renamed = right.where(" and ".join(f"{d} is not null" for d in dims)).select(*[F.col(c).alias(c if c in by else f"r_{c}") for c in right.columns])
     rr = renamed.select("*", F.inline(offs))
     rr = rr.select(*renamed.columns, *[(F.floor(F.col(f"r_{d}") / r) + F.col(f"_o{i}")).alias(cells[i]) for i, d in enumerate(dims)])
-    d2 = sum(((F.col(d) - F.col(f"r_{d}")) ** 2 for d in dims[1:]), (F.col(dims[0]) - F.col(f"r_{dims[0]}")) ** 2)
-    return l.join(rr, [*by, *cells]).where(d2 <= r * r).withColumn("distance", F.sqrt(d2)).drop(*cells)
+    home = renamed.groupBy(*by, *[F.floor(F.col(f"r_{d}") / r).alias(c) for d, c in zip(dims, cells, strict=True)]).agg(F.count("*").alias("_nr"))
+    around = home.select("*", F.inline(offs)).groupBy(*by, *[(F.col(c) + F.col(f"_o{i}")).alias(c) for i, c in enumerate(cells)]).agg(F.sum("_nr").alias("_nr"))
+    counts = l.groupBy(*keys).agg(F.count("*").alias("_nl")).join(around, keys).where((F.col("_nl") > crowd) | (F.col("_nr") > crowd))
+    if counts.isEmpty():
+        met = l.join(rr, keys)
+    else:
+        met = _crowded(l, rr, stored(counts, "crowded"), keys, dims, r, crowd)
+    return met.where(_d2(dims) <= r * r).withColumn("distance", F.sqrt(_d2(dims))).drop(*cells)
+
+
+#: A crowded cell is cut into at most so many parts along each axis.
+FINEST = 32
+
+
+def _crowded(l: DataFrame, rr: DataFrame, counts: DataFrame, keys: list[str], dims: list[str], r: float, crowd: int) -> DataFrame:
+    """The join on cells where some (counts) are crowded: those are cut into smaller ones, as small as their counts ask for.
+
+    A row of left lies in one small cell, one of right goes to the small cells within r of it. Where rows stand so close that a small
+    cell is crowded still, both sides are dealt into lots there, and every lot of one meets every lot of the other: each pair
+    meets once, in a task of at most crowd x crowd of them.
+    """
+    cells = keys[-len(dims) :]
+    cuts = F.least(F.lit(FINEST), F.ceil(F.pow(F.greatest("_nl", F.lit(1)) / crowd, F.lit(1.0 / len(dims)))) * 2).cast("int")
+    cut = counts.select(*keys, cuts.alias("_m"))
+    subs = [f"_s{i}" for i in range(len(dims))]
+    one = F.coalesce("_m", F.lit(1))
+    inner = lambda x, c: F.least(F.floor((x / r - F.col(c)) * one), one - 1).cast("int")
+    lf = joined(l, cut, keys).withColumns({s: F.greatest(inner(F.col(d), c), F.lit(0)) for s, d, c in zip(subs, dims, cells, strict=True)})
+    rt = joined(rr, cut, keys)
+    for s, d, c in zip(subs, dims, cells, strict=True):
+        # a hair wider than r on either side, so that rounding loses no pair
+        lo = F.least(F.greatest(inner(F.col(f"r_{d}") - r * (1 + 1e-9), c), F.lit(0)), one - 1)
+        hi = F.least(F.greatest(inner(F.col(f"r_{d}") + r * (1 + 1e-9), c), F.lit(0)), one - 1)
+        rt = rt.withColumn(s, F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+    small = [*keys, *subs]
+    lots = lambda n: F.ceil(F.col(n) / crowd).cast("int")
+    per = lf.where("_m is not null").groupBy(*small).agg(F.count("*").alias("_nl")).join(rt.where("_m is not null").groupBy(*small).agg(F.count("*").alias("_nr")), small)
+    per = stored(per.select(*small, lots("_nl").alias("_a"), lots("_nr").alias("_b")).where("_a > 1 or _b > 1"), "crowded")
+    a, b = F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(1))
+    mine = lambda df, n: F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not c.startswith("_")], F.monotonically_increasing_id()), n).cast("int")
+    lf = joined(lf, per, small).withColumn("_i", mine(lf, a)).withColumn("_j", F.explode(F.sequence(F.lit(0), b - 1)))
+    rt = joined(rt, per, small).withColumn("_j", mine(rt, b)).withColumn("_i", F.explode(F.sequence(F.lit(0), a - 1)))
+    extra = ["_m", "_a", "_b"]
+    return lf.drop(*extra).join(rt.drop(*extra), [*small, "_i", "_j"]).drop(*subs, "_i", "_j")
 
 
 def _around(n: int) -> list[tuple[int, ...]]:
@@ -42,7 +99,7 @@ def slab_samples(rays: DataFrame, zlo: float, zhi: float, n: int = 20, flat: tup
     Adds sx, sy, sz. Rays that are nearly level are sampled over the distances `flat`; nothing behind the origin is.
     """
     a, b = (zlo - F.col("oz")) / F.col("dz"), (zhi - F.col("oz")) / F.col("dz")
-    level = F.abs("dz") < 1e-9
+    level = F.abs("dz") <= 1e-6
     lo = F.when(level, F.lit(flat[0])).otherwise(F.greatest(F.lit(0.0), F.least(a, b)))
     hi = F.when(level, F.lit(flat[1])).otherwise(F.greatest(a, b))
     rows = rays.withColumn("_lo", lo).withColumn("_hi", hi).where("_hi >= 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -93,43 +150,98 @@ def ray_hits(rays: DataFrame, tris: DataFrame, *, radius: float = 0.5, zlo: floa
     )
 
 
-def mesh_hits(rays: DataFrame, tris: DataFrame) -> DataFrame:
-    """Per ray (rid) with a hit: t of the nearest and n_hits, over all triangles (x0 .. z2, cx, cy).
+#: Levels below this are as one, and a triangle without extent lives there.
+LOWEST = -40
+
 
-    Each ray is sampled inside the box that holds all corners, at steps of twice the largest distance of a corner from its
-    triangle's centre, so that the centre of any triangle it can hit is within that distance, doubled, of a sample.
+def size_levels(tris: DataFrame) -> DataFrame:
+    """tris with _level and its box (_x0, _x1, _y0, _y1): cells of level k are 2^k wide, and a triangle is at most one cell wide.
+
+    Where a level holds fewer triangles than a ray would cross of its cells, walking costs more than testing them all, so these
+    rise to the next level. The counts of levels, some dozens at most, reach the driver.
     """
-    at = [(f"x{k}", f"y{k}", f"z{k}") for k in range(3)]
-    reach = F.greatest(*[F.hypot(F.col(x) - F.col("cx"), F.col(y) - F.col("cy")) for x, y, _ in at])
-    ends = {f"{c}{w}": (F.min(F.least(*[F.col(p[i]) for p in at])) if w == "lo" else F.max(F.greatest(*[F.col(p[i]) for p in at]))) for i, c in enumerate("xyz") for w in ("lo", "hi")}
-    box = tris.agg(F.max(reach).alias("reach"), *[c.alias(n) for n, c in ends.items()]).first()  # one row
-    if box["reach"] is None:
-        return rays.select("rid", F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("n_hits")).where("false")
-    reach = max(box["reach"], 1e-6) * (1 + 1e-9)
+    at = [(f"x{k}", f"y{k}") for k in range(3)]
+    box = {f"_{c}{w}": f(*[F.col(p[i]) for p in at]) for i, c in enumerate("xy") for w, f in ((0, F.least), (1, F.greatest))}
+    known = tris.where(" and ".join(f"{c}{k} is not null" for k in range(3) for c in "xyz")).withColumns(box)
+    width = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    level = F.when(width > 2.0**LOWEST, F.ceil(F.log2(width))).otherwise(F.lit(LOWEST)).cast("int")
+    levelled = known.withColumn("_level", level)
+    rows = levelled.groupBy("_level").agg(F.count("*").alias("n"), *[f(c).alias(c) for c, f in zip(box, (F.min, F.max) * 2, strict=True)]).orderBy("_level").collect()
+    rise, below = {}, None
+    for i, row in enumerate(rows):
+        n, x0, x1, y0, y1 = row["n"], row["_x0"], row["_x1"], row["_y0"], row["_y1"]
+        if below is not None:
+            n, x0, x1, y0, y1 = n + below[0], min(x0, below[1]), max(x1, below[2]), min(y0, below[3]), max(y1, below[4])
+        crossed = ((x1 - x0) + (y1 - y0)) / 2.0 ** row["_level"]
+        if n < crossed and i + 1 < len(rows):
+            below, rise[row["_level"]] = (n, x0, x1, y0, y1), rows[i + 1]["_level"]
+        else:
+            below = None
+    to = F.col("_level")
+    for low in sorted(rise):  # a level may rise several times
+        to = F.when(to == low, F.lit(rise[low])).otherwise(to)
+    return levelled.withColumn("_level", to)
+
+
+def _walk(rays: DataFrame, levels: DataFrame) -> DataFrame:
+    """Rays with each cell (_level, _ix, _iy) that they cross inside each level's box (levels: _level, x0 .. z1), seen from above."""
     enters, leaves, inside = [F.lit(0.0)], [], F.lit(True)
     for c in "xyz":
-        lo, hi, o, d = F.lit(box[f"{c}lo"] - 1e-6), F.lit(box[f"{c}hi"] + 1e-6), F.col(f"o{c}"), F.col(f"d{c}")
+        lo, hi, o, d = F.col(f"_b{c}0"), F.col(f"_b{c}1"), F.col(f"o{c}"), F.col(f"d{c}")
         still = F.abs(d) < 1e-12
         a, b = F.try_divide(lo - o, d), F.try_divide(hi - o, d)
         enters.append(F.when(still, 0.0).otherwise(F.least(a, b)))
         leaves.append(F.when(~still, F.greatest(a, b)))
         inside = inside & (~still | o.between(lo, hi))
-    span = rays.where(inside).withColumns({"_in": F.greatest(*enters), "_out": F.least(*leaves)}).where("_out >= _in")
-    span = span.withColumn("_steps", (F.floor((F.col("_out") - F.col("_in")) * F.hypot("dx", "dy") / (2 * reach)) + 1).cast("int"))
-    samples = span.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_steps") - 1)))
-    t = F.col("_in") + (F.col("_out") - F.col("_in")) * (F.col("_k") + 0.5) / F.col("_steps")
-    samples = samples.withColumns({"px": F.col("ox") + F.col("dx") * t, "py": F.col("oy") + F.col("dy") * t}).drop("_in", "_out", "_steps", "_k")
+    span = rays.join(F.broadcast(levels)).where(inside).withColumns({"_in": F.greatest(*enters), "_out": F.coalesce(F.least(*leaves), F.lit(0.0))}).where("_out >= _in")
+    size = F.pow(F.lit(2.0), "_level")
+    hair = size * 1e-9  # rounding must not lose a cell at whose border a ray runs
+    ends = span.withColumns({f"_{c}{w}": F.col(f"o{c}") + F.col(f"d{c}") * F.col(t) for c in "xy" for w, t in ((0, "_in"), (1, "_out"))})
+    low, high = (lambda c: F.least(f"_{c}0", f"_{c}1")), (lambda c: F.greatest(f"_{c}0", f"_{c}1"))
+    # one column of cells after another along the axis that the ray covers more of; in each the stretch of the other axis
+    tall = (high("y") - low("y")) > (high("x") - low("x"))
+    of = lambda x, y: F.when(tall, y).otherwise(x)
+    ends = ends.withColumns({"_tall": tall, "_u0": of(low("x"), low("y")) - hair, "_u1": of(high("x"), high("y")) + hair, "_size": size})
+    cols = ends.withColumn("_iu", F.explode(F.sequence(F.floor(F.col("_u0") / size), F.floor(F.col("_u1") / size))))
+    ou, du, ov, dv = of(F.col("ox"), F.col("oy")), of(F.col("dx"), F.col("dy")), of(F.col("oy"), F.col("ox")), of(F.col("dy"), F.col("dx"))
+    at = lambda u: F.coalesce(F.greatest(F.least(F.try_divide(u - ou, du), F.col("_out")), F.col("_in")), F.col("_in"))
+    first, last = F.col("_iu") * F.col("_size") - hair, (F.col("_iu") + 1) * F.col("_size") + hair
+    still = F.abs(du) < 1e-12
+    t0, t1 = F.when(still, F.col("_in")).otherwise(at(first)), F.when(still, F.col("_out")).otherwise(at(last))
+    va, vb = ov + dv * t0, ov + dv * t1
+    rows = cols.withColumns({"_v0": F.least(va, vb) - hair, "_v1": F.greatest(va, vb) + hair})
+    rows = rows.withColumn("_iv", F.explode(F.sequence(F.floor(F.col("_v0") / size), F.floor(F.col("_v1") / size))))
+    return rows.select(*rays.columns, "_level", F.when(F.col("_tall"), F.col("_iv")).otherwise(F.col("_iu")).alias("_ix"), F.when(F.col("_tall"), F.col("_iu")).otherwise(F.col("_iv")).alias("_iy"))
+
+
+def mesh_hits(rays: DataFrame, tris: DataFrame) -> DataFrame:
+    """Per ray (rid) with a hit: t of the nearest and n_hits, over all triangles (fid, x0 .. z2).
+
+    Seen from above, space is cut into grids of cells, one for each size of triangle (by powers of two): a triangle lives in the
+    up to four cells of its own size that it touches, a ray walks through the cells of each grid inside the box of that
+    size's triangles. So one huge triangle among small ones lies in few cells and doesn't widen theirs.
+    """
+    levelled = size_levels(tris)
+    size = F.pow(F.lit(2.0), "_level")
+    z = [F.col(f"z{k}") for k in range(3)]
+    wide = lambda f, c, by: f(c) + by * 1e-6 * (1 + F.abs(f(c)))
+    boxes = {f"_b{c}0": wide(F.min, f"_{c}0", -1) for c in "xyz"} | {f"_b{c}1": wide(F.max, f"_{c}1", 1) for c in "xyz"}
+    levels = levelled.withColumns({"_z0": F.least(*z), "_z1": F.greatest(*z)}).groupBy("_level").agg(*[c.alias(n) for n, c in boxes.items()])  # a row for each size
+    known = rays.where(" and ".join(f"{a}{c} is not null" for a in "od" for c in "xyz")).select("rid", *[f"{a}{c}" for a in "od" for c in "xyz"])
     corners = [f"{c}{k}" for k in range(3) for c in "xyz"]
-    met = radius_join(samples, tris.select("fid", F.col("cx").alias("px"), F.col("cy").alias("py"), *corners), ["px", "py"], 2 * reach)
-    t = V.ray_triangle(V.vec("ox", "oy", "oz"), V.vec("dx", "dy", "dz"), *[V.vec(f"r_x{k}", f"r_y{k}", f"r_z{k}") for k in range(3)])
-    hits = met.select("rid", "r_fid", t.alias("t")).where("t is not null").groupBy("rid", "r_fid").agg(F.min("t").alias("t"))
+    homes = levelled.withColumn("_ix", F.explode(F.sequence(F.floor(F.col("_x0") / size), F.floor(F.col("_x1") / size))))
+    homes = homes.withColumn("_iy", F.explode(F.sequence(F.floor(F.col("_y0") / size), F.floor(F.col("_y1") / size))))
+    met = _walk(known, levels).join(homes.select("fid", "_level", "_ix", "_iy", *corners), ["_level", "_ix", "_iy"])
+    t = V.ray_triangle(V.vec("ox", "oy", "oz"), V.vec("dx", "dy", "dz"), *[V.vec(f"x{k}", f"y{k}", f"z{k}") for k in range(3)])
+    # a pair that meets in several cells counts once
+    hits = met.select("rid", "fid", t.alias("t")).where("t is not null").groupBy("rid", "fid").agg(F.min("t").alias("t"))
     return hits.groupBy("rid").agg(F.min("t").alias("t"), F.count("*").alias("n_hits"))
 
 
-def density(points: DataFrame, hits: DataFrame, sigma: float = 0.5, radius: float = 1.5, dims: list[str] | None = None) -> DataFrame:
+def density(points: DataFrame, hits: DataFrame, sigma: float = 0.5, radius: float = 1.5, dims: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
     """Per point (pid): the sum of exp(-d^2 / 2 sigma^2) over hits within radius, and its share of the largest sum."""
     dims = dims or ["x", "y", "z"]
-    met = radius_join(points, hits, dims, radius)
+    met = radius_join(points, hits, dims, radius, crowd=crowd)
     sums = met.groupBy("pid").agg(F.sum(F.exp(-(F.col("distance") ** 2) / (2 * sigma * sigma))).alias("weight"))
     top = sums.agg(F.max("weight").alias("top"))  # one row
     return sums.join(F.broadcast(top)).select("pid", "weight", (F.col("weight") / F.col("top")).alias("share"))

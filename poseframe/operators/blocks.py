@@ -48,8 +48,13 @@ def blocked(df: DataFrame, by: list[str], on: str, rows: int = ROWS) -> DataFram
     return joined(bins, cut, [*by, "_bin"]).drop("_bin").withColumn("_block", F.coalesce("_block", F.lit(0)))
 
 
-def cut(df: DataFrame, by: list[str], on: str, rows: int = ROWS) -> DataFrame:
-    """df as it is if no series has more than `rows` rows; else blocked(), stored, so that what follows reads it and doesn't work it out again."""
+def cut(df: DataFrame, by: list[str], on: str, rows: int | None = ROWS) -> DataFrame:
+    """df as it is if no series has more than `rows` rows; else blocked(), stored, so that what follows reads it and doesn't work it out again.
+
+    rows None: series are known to be short. A table that is cut already stays so.
+    """
+    if rows is None or "_block" in df.columns:
+        return df
     return stored(blocked(df, by, on, rows), "blocks") if too_long(df, by, rows) else df
 
 
@@ -80,12 +85,12 @@ def _previous(df: DataFrame, by: list[str], order: str, values: dict[str, Column
     return out.withColumns({n: F.col(f"_before.{n}") for n in values}).drop("_before", "_held")
 
 
-def running_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, Column], rows: int = ROWS, before: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, Column], rows: int | None = ROWS, before: bool = False) -> DataFrame:
     """df with each named sum over the rows of the series up to each row, or before it; 0 where there is nothing to add."""
     return _running(cut(df, by, order, rows), by, order, sums, before).drop("_block")
 
 
-def row_numbers(df: DataFrame, by: list[str], order: str, name: str, rows: int = ROWS) -> DataFrame:
+def row_numbers(df: DataFrame, by: list[str], order: str, name: str, rows: int | None = ROWS) -> DataFrame:
     """df with each row's place in its series, from 0."""
     return running_sums(df, by, order, {name: F.lit(1).cast("long")}, rows, before=True)
 
@@ -95,7 +100,7 @@ def previous(df: DataFrame, by: list[str], order: str, values: dict[str, Column]
     return _previous(cut(df, by, order, rows), by, order, values).drop("_block")
 
 
-def changes_numbered(df: DataFrame, by: list[str], order: str, values: dict[str, Column], change: Column, name: str, rows: int = ROWS) -> DataFrame:
+def changes_numbered(df: DataFrame, by: list[str], order: str, values: dict[str, Column], change: Column, name: str, rows: int | None = ROWS) -> DataFrame:
     """df with `name`, the number of rows so far for which `change` holds, where change may look at the row before (values, by name)."""
     out = _previous(cut(df, by, order, rows), by, order, values)
     return _running(out, by, order, {name: F.coalesce(change.cast("long"), F.lit(0))}, False).drop("_block", *values)

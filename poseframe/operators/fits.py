@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poseframe.functions.scratch import stored
-from poseframe.operators.blocks import ROWS, joined, running_sums
+from poseframe.operators.blocks import ROWS, cut, joined, running_sums, too_long
 
 S, D = ("sx", "sy", "sz"), ("dx", "dy", "dz")
 #: A second pair that a row may have beside its own: it counts in the windows that span the row.
@@ -31,10 +31,14 @@ def second_pairs() -> Column:
     return F.col(HS[0]).isNotNull() & F.col(HD[0]).isNotNull()
 
 
-def centred(df: DataFrame, by: list[str], second: bool = False) -> DataFrame:
+def centred(df: DataFrame, by: list[str], second: bool = False, rows: int | None = ROWS) -> DataFrame:
     """df with all points less the means of its series' valid pairs, which are _m_sx .. _m_dz: so sums of products keep their digits."""
-    means = df.groupBy(*by).agg(*[F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))), F.lit(0.0)).alias(f"_m_{c}") for c in (*S, *D)])
-    df = joined(df, means, by)
+    means = {f"_m_{c}": F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))), F.lit(0.0)) for c in (*S, *D)}
+    if rows is None:
+        w = Window.partitionBy(*by)
+        df = df.withColumns({f"_m_{c}": F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))).over(w), F.lit(0.0)) for c in (*S, *D)})
+    else:
+        df = joined(df, df.groupBy(*by).agg(*[m.alias(n) for n, m in means.items()]), by)
     less = {c: F.col(c) - F.col(f"_m_{c}") for c in (*S, *D)}
     if second:
         less |= {h: F.col(h) - F.col(f"_m_{c}") for h, c in zip((*HS, *HD), (*S, *D), strict=True)}
@@ -120,22 +124,26 @@ def residual_report(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.sqrt(F.avg(F.col("residual") ** 2)).alias("rmse"), F.avg("residual").alias("mean"), F.max("residual").alias("worst"))
 
 
-def window_bounds(df: DataFrame, by: list[str], order: str, width: Column, rows: int = ROWS) -> DataFrame:
+def window_bounds(df: DataFrame, by: list[str], order: str, width: Column, rows: int | None = ROWS) -> DataFrame:
     """Adds lo and hi: the valid pairs, by their place among the valid, of a window of `width` centred on each row.
 
     pos is the number of valid pairs before the row (the last place at most); the window starts width // 2 before it and
     keeps its width at both ends.
     """
     ok = valid_pairs().cast("long")
-    df = running_sums(df.withColumn("_w", width.cast("int")), by, order, {"_pos": ok}, rows, before=True)
-    df = joined(df, df.groupBy(*by).agg(F.sum(ok).alias("n_valid")), by)
+    base = cut(df.withColumn("_w", width.cast("int")), by, order, rows)
+    if "_block" in base.columns:
+        base = joined(base, base.groupBy(*by).agg(F.sum(ok).alias("n_valid")), by)
+    else:
+        rows, base = None, base.withColumn("n_valid", F.sum(ok).over(Window.partitionBy(*by)))
+    df = running_sums(base, by, order, {"_pos": ok}, rows, before=True)
     df = df.withColumn("_pos", F.least("_pos", F.col("n_valid") - 1))
     lo = F.greatest(F.lit(0), F.col("_pos") - F.floor(F.col("_w") / 2))
     hi = F.least(F.col("n_valid"), lo + F.col("_w"))
     return df.withColumn("hi", hi.cast("int")).withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("_w")).cast("int")).drop("_pos", "_w")
 
 
-def window_sums(df: DataFrame, by: list[str], order: str, second: bool = False, rows: int = ROWS) -> DataFrame:
+def window_sums(df: DataFrame, by: list[str], order: str, second: bool = False, rows: int | None = ROWS) -> DataFrame:
     """Rows with lo and hi get SUMS over the valid pairs in [lo, hi): the difference of two prefix rows.
 
     second: second pairs of the rows from the window's first valid row to its last count as well. Prefix sums run in blocks of at
@@ -167,9 +175,11 @@ def window_sums(df: DataFrame, by: list[str], order: str, second: bool = False,
 def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least: int = 3, second: bool = False, rows: int = ROWS) -> DataFrame:
     """A fit (r, t, c) for each row from the window around it; where that has too few pairs, the whole series' fit.
 
-    The rows with their windows are stored, since sums, fits and rows all come from them.
+    Of long series the rows with their windows are stored, since sums, fits and rows all come from them.
     """
-    bounds = stored(window_bounds(centred(df, by, second), by, order, width, rows), "windows")
+    rows = rows if too_long(df, by, rows) else None
+    bounds = window_bounds(centred(df, by, second, rows), by, order, width, rows)
+    bounds = bounds if rows is None else stored(bounds, "windows")
     sums = window_sums(bounds, by, order, second, rows)
     kept = [*by, order, *[f"_m_{c}" for c in (*S, *D)]]
     local = fitted(sums.select(*kept, *SUMS), least=least)
@@ -184,7 +194,9 @@ def windowed_shift(df: DataFrame, by: list[str], order: str, width: Column, seco
 
     second_in_rotation: whether second pairs count for the rotation, if not as for the translations.
     """
-    bounds = stored(window_bounds(centred(df, by, second), by, order, width, rows), "windows")
+    rows = rows if too_long(df, by, rows) else None
+    bounds = window_bounds(centred(df, by, second, rows), by, order, width, rows)
+    bounds = bounds if rows is None else stored(bounds, "windows")
     sums = window_sums(bounds, by, order, second, rows)
     fit = global_fit(df, by, second=second if second_in_rotation is None else second_in_rotation).select(*by, "r", F.col("t").alias("_t"))
     out = sums.select(*by, order, "n", *SUMS[1:7], *[f"_m_{c}" for c in (*S, *D)]).join(fit, by)

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from poseframe.functions.scratch import drop_stored, stored
 from poseframe.operators.asof import asof_join, between, bracketed
-from poseframe.operators.blocks import ROWS, changes_numbered, joined, margined, row_numbers, running_sums, too_long
+from poseframe.operators.blocks import ROWS, changes_numbered, cut, joined, margined, row_numbers, running_sums, too_long
 
 
 def _w(by: list[str], order: str) -> Window:
     return Window.partitionBy(*by).orderBy(order)
 
 
-def islands(df: DataFrame, by: list[str], order: str, value: str, name: str = "island", rows: int = ROWS) -> DataFrame:
+def islands(df: DataFrame, by: list[str], order: str, value: str, name: str = "island", rows: int | None = ROWS) -> DataFrame:
     """Numbers the runs of equal values from 0; the first row starts one, null equals null."""
     starts = F.col("_was").isNull() | ~F.col(f"_was.{value}").eqNullSafe(F.col(value))
     return changes_numbered(df, by, order, {"_was": F.struct(value)}, starts, name, rows).withColumn(name, F.col(name) - 1)
@@ -46,7 +46,9 @@ def slip_corrected(df: DataFrame, by: list[str], order: str, foot: str, stance:
     heel slipped is carried on as a sum over earlier runs. The last run only gets what was carried. Runs become small rows
     (first and last heel), the carry is a running sum over those, and the rows take their run's shift by a join.
     """
-    run = islands(df, by, order, foot, rows=rows)
+    base = cut(df, by, order, rows)
+    rows = rows if "_block" in base.columns else None
+    run = islands(base, by, order, foot, rows=rows)
     dims = range(len(next(iter(stance.values()))))
 
     def heel(k: int) -> Column:
@@ -58,15 +60,15 @@ def slip_corrected(df: DataFrame, by: list[str], order: str, foot: str, stance:
     run = run.withColumns({f"_h{k}": heel(k) for k in dims})
     ends = F.struct(*[f"_h{k}" for k in dims])
     runs = run.groupBy(*by, "island").agg(F.min_by(ends, order).alias("_s"), F.max_by(ends, order).alias("_e"))
-    runs = joined(runs, runs.groupBy(*by).agg(F.max("island").alias("_last")), by)
     # a run's last row carries start minus end into all later rows
-    slip = {f"_c{k}": F.when(F.col("island") < F.col("_last"), F.col(f"_s._h{k}") - F.col(f"_e._h{k}")).otherwise(0.0) for k in dims}
+    slip = {f"_c{k}": F.coalesce(F.col(f"_s._h{k}") - F.col(f"_e._h{k}"), F.lit(0.0)) for k in dims}
     runs = running_sums(runs, by, "island", slip, rows, before=True)
+    runs = runs.withColumn("_goes_on", F.lead("island").over(_w(by, "island")).isNotNull())
     out = joined(run, runs.drop("_e"), [*by, "island"])
-    inside = F.col("island") < F.col("_last")
+    inside = F.col("_goes_on")
     shift = [F.col(f"_c{k}") + F.when(inside, F.col(f"_s._h{k}") - F.col(f"_h{k}")).otherwise(0.0) for k in dims]
     out = out.withColumns({c: F.col(c) + shift[k] for group in move for k, c in enumerate(group)})
-    return out.drop(*[f"_{x}{k}" for x in "hc" for k in dims], "_s", "_last")
+    return out.drop(*[f"_{x}{k}" for x in "hc" for k in dims], "_s", "_goes_on")
 
 
 def sliding_medians(df: DataFrame, by: list[str], order: str, names: dict[str, str], width: int = 21, rows: int = ROWS) -> DataFrame:
@@ -128,14 +130,14 @@ def _narrowed(values: DataFrame, by: list[str], most: int) -> DataFrame:
     return out
 
 
-def exact_median(df: DataFrame, by: list[str], value: Column, name: str = "median", most: int = EXACT) -> DataFrame:
+def exact_median(df: DataFrame, by: list[str], value: Column, name: str = "median", most: int | None = EXACT) -> DataFrame:
     """Each group's median of the known values, exact: the mean of the two middle ones.
 
     A group of up to `most` values is an aggregate of (value, count) pairs. In a larger one the middle ranks are first narrowed down to
-    intervals of at most that many values, so no task holds the group.
+    intervals of at most that many values, so no task holds the group. most None: groups are known to be small.
     """
     values = df.select(*by, value.cast("double").alias("_d")).where("_d is not null and not isnan(_d)")
-    if not too_long(values, by, most):
+    if most is None or not too_long(values, by, most):
         return values.groupBy(*by).agg(F.median("_d").alias(name))
     counts = values.groupBy(*by).agg(F.count("*").alias("_n"))
     small = joined(values, counts.where(F.col("_n") <= most), by, "inner").groupBy(*by).agg(F.median("_d").alias(name))
@@ -154,6 +156,7 @@ def mad_keep(df: DataFrame, by: list[str], distance: str, times: float = 10.0, f
     come back as small rows.
     """
     back = lambda small: joined(df, small, by) if by else df.join(F.broadcast(small))
+    most = most if too_long(df, by, most) else None
     mid = exact_median(df, by, F.col(distance), "_mid", most)
     dev = exact_median(back(mid), by, F.abs(F.col(distance) - F.col("_mid")), "_mad", most)
     return back(dev).withColumn("keep", F.col(distance) <= times * F.greatest(F.col("_mad"), F.lit(floor))).drop("_mad")
@@ -213,12 +216,13 @@ def gaussian_smooth(df: DataFrame, by: list[str], order: str, values: list[str],
     weights = F.array(*[F.lit(x) for x in kernel])
 
     def smoothed(v: str) -> Column:
-        # one entry for each place, null or not
-        held = F.collect_list(F.struct(F.col(v).cast("double").alias("x"))).over(near)
-        sums = F.zip_with(held, weights, lambda p, w: F.struct(F.coalesce(p["x"] * w, F.lit(0.0)).alias("x"), F.when(p["x"].isNotNull(), w).otherwise(0.0).alias("w")))
-        total = F.aggregate(sums, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w")), lambda a, b: F.struct((a["x"] + b["x"]).alias("x"), (a["w"] + b["w"]).alias("w")))
-        full = F.aggregate(held, F.lit(True), lambda a, p: a & p["x"].isNotNull())
-        return F.when(full, total["x"]).otherwise(F.try_divide(total["x"], total["w"]))
+        # one entry for each place, NaN for none
+        held = F.collect_list(F.coalesce(F.col(v).cast("double"), F.lit(float("nan")))).over(near)
+        total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        known = lambda x, w: F.when(F.isnan(x), 0.0).otherwise(w)
+        whole = total(F.zip_with(held, weights, lambda x, w: x * w))
+        rest = F.try_divide(total(F.zip_with(held, weights, lambda x, w: F.nanvl(x, F.lit(0.0)) * w)), total(F.zip_with(held, weights, known)))
+        return F.when(F.isnan(whole), rest).otherwise(whole)
 
     out = spread.withColumns({v: smoothed(v) for v in values})
     return out.where("_j = _place and _own").select(*df.columns)

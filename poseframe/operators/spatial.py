@@ -40,12 +40,14 @@ def radius_join(left: DataFrame, right: DataFrame, dims: list[str], r: float, by
     renamed = right.where(" and ".join(f"{d} is not null" for d in dims)).select(*[F.col(c).alias(c if c in by else f"r_{c}") for c in right.columns])
     rr = renamed.select("*", F.inline(offs))
     rr = rr.select(*renamed.columns, *[(F.floor(F.col(f"r_{d}") / r) + F.col(f"_o{i}")).alias(cells[i]) for i, d in enumerate(dims)])
-    home = renamed.groupBy(*by, *[F.floor(F.col(f"r_{d}") / r).alias(c) for d, c in zip(dims, cells, strict=True)]).agg(F.count("*").alias("_nr"))
-    around = home.select("*", F.inline(offs)).groupBy(*by, *[(F.col(c) + F.col(f"_o{i}")).alias(c) for i, c in enumerate(cells)]).agg(F.sum("_nr").alias("_nr"))
-    counts = l.groupBy(*keys).agg(F.count("*").alias("_nl")).join(around, keys).where((F.col("_nl") > crowd) | (F.col("_nr") > crowd))
-    if counts.isEmpty():
+    own = [F.floor(F.col(f"r_{d}") / r).alias(c) for d, c in zip(dims, cells, strict=True)]
+    sides = l.select(*keys, F.lit(1).alias("_many")).unionByName(renamed.select(*by, *own, F.lit(3 ** len(dims)).alias("_many")))
+    if sides.groupBy(*keys, "_many").agg(F.count("*").alias("_n")).where(F.col("_n") * F.col("_many") > crowd).isEmpty():
         met = l.join(rr, keys)
     else:
+        home = renamed.groupBy(*by, *own).agg(F.count("*").alias("_nr"))
+        around = home.select("*", F.inline(offs)).groupBy(*by, *[(F.col(c) + F.col(f"_o{i}")).alias(c) for i, c in enumerate(cells)]).agg(F.sum("_nr").alias("_nr"))
+        counts = l.groupBy(*keys).agg(F.count("*").alias("_nl")).join(around, keys).where((F.col("_nl") > crowd) | (F.col("_nr") > crowd))
         met = _crowded(l, rr, stored(counts, "crowded"), keys, dims, r, crowd)
     return met.where(_d2(dims) <= r * r).withColumn("distance", F.sqrt(_d2(dims))).drop(*cells)
 

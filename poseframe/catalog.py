@@ -653,4 +653,5 @@ def padded_boxes(spark, sf):
 
 from poseframe.plans import catalog as _plans  # noqa: E402, F401  registers the queries of the pipelines
 from poseframe.plans import contact_catalog as _contacts  # noqa: E402, F401
+from poseframe.plans import fits_catalog as _fits  # noqa: E402, F401
 from poseframe.plans import scale_catalog as _scale  # noqa: E402, F401

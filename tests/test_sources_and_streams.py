@@ -130,3 +130,27 @@ def test_a_batch_that_comes_again_leaves_the_same_table(spark, tmp_path):
     assert read() == first
     sinks.frames_to(stream, out, f"{tmp_path}/check", double).trigger(availableNow=True).start().awaitTermination(120)
     assert read() == first
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_byte_ranges_of_a_mesh_are_the_whole_mesh(spark, tmp_path, order):
+    import struct
+
+    from poseframe.sources.ply_source import PlySource
+
+    spark.dataSource.register(PlySource)
+    form = "binary_little_endian" if order == "<" else "binary_big_endian"
+    v = [(float(i), i * 0.5, -float(i), i % 256) for i in range(1000)]
+    f = [(i, (i + 1) % 1000, (i + 7) % 1000) for i in range(1500)]
+    head = f"ply\nformat {form} 1.0\nelement vertex {len(v)}\nproperty float x\nproperty double y\nproperty float z\nproperty uchar red\nelement face {len(f)}\nproperty list uchar int vertex_indices\nend_header\n"
+    body = b"".join(struct.pack(order + "fdfB", *x) for x in v) + b"".join(struct.pack(order + "B3i", 3, *x) for x in f)
+    (tmp_path / "a.ply").write_bytes(head.encode() + body)
+    quad = head.replace(f"element face {len(f)}", "element face 2")
+    (tmp_path / "b.ply").write_bytes(quad.encode() + b"".join(struct.pack(order + "fdfB", *x) for x in v) + struct.pack(order + "B4i", 4, 0, 1, 2, 3) + struct.pack(order + "B3i", 3, 5, 6, 7))
+    (tmp_path / "c.txt").write_text("no mesh")
+    read = lambda element, path: spark.read.format("ply").option("element", element).option("bytes", "4000").load(str(path))
+    a = tmp_path / "a.ply"
+    assert read("vertex", a).rdd.getNumPartitions() > 3 and read("face", a).rdd.getNumPartitions() > 3
+    for element, twin in zip(("vertex", "face"), readers.read_ply(spark, f"{tmp_path}/*.ply"), strict=True):
+        plain = lambda df: sorted((r[0].split("/")[-1], *r[1:]) for r in df.collect())
+        assert plain(read(element, tmp_path)) == plain(twin)

@@ -10,11 +10,11 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poseframe.functions.scratch import drop_stored, stored
-from poseframe.operators.spatial import radius_join
+from poseframe.operators.spatial import nearest_join, radius_join
 
 XYZ = ("x", "y", "z")
 #: Products of two coordinates, each pair once.
@@ -31,9 +31,7 @@ def neighbour_sums(cloud: DataFrame, radius: float, most: int | None = 30) -> Da
     coordinates far from the origin keep their digits.
     """
     p = cloud.select("pid", *[F.col(c).cast("double").alias(c) for c in XYZ])
-    met = radius_join(p, p, list(XYZ), radius)
-    if most is not None:
-        met = met.withColumn("_k", F.row_number().over(Window.partitionBy("pid").orderBy("distance", "r_pid"))).where(F.col("_k") <= most)
+    met = radius_join(p, p, list(XYZ), radius) if most is None else nearest_join(p, p, list(XYZ), radius, "pid", "pid", most)
     off = {c: F.col(f"r_{c}") - F.col(c) for c in XYZ}
     sums = met.groupBy("pid").agg(F.count("*").alias("n"), *[F.avg(off[c]).alias(f"o{c}") for c in XYZ], *[F.avg(off[a] * off[b]).alias(f"{a}{b}") for a, b in SQUARES])
     return sums.withColumns({f"{a}{b}": F.col(f"{a}{b}") - F.col(f"o{a}") * F.col(f"o{b}") for a, b in SQUARES})
@@ -63,18 +61,19 @@ def cloud_normals(cloud: DataFrame, radius: float, most: int | None = 30) -> Dat
     return cloud.join(found, F.col("pid") == F.col("_pid"), "left").drop("_pid")
 
 
-def oriented(cloud: DataFrame, radius: float) -> DataFrame:
+def oriented(cloud: DataFrame, radius: float, most: int = 30) -> DataFrame:
     """cloud (pid, x .. z, nx .. nz) with all normals of a connected part on one side.
 
-    Points within the radius are neighbours. Along the spanning tree whose neighbours' normals are most alike, a normal is turned where
+    The nearest points within the radius, `most` of them, are neighbours. Along the spanning tree whose neighbours' normals are most alike, a normal is turned where
     it points against the one before (Hoppe et al. 1992); each part is turned so that its highest point's normal points up.
     The tree is grown by Boruvka's rounds: every part takes its best link to another one, chains of parts are shortened by doubling
     pointers, and turns are carried along as signs; so a round is a few joins and the number of rounds is logarithmic.
     """
     p = cloud.where(" and ".join(f"{c} is not null" for c in (*XYZ, "nx", "ny", "nz"))).select("pid", *XYZ, "nx", "ny", "nz")
-    met = radius_join(p, p, list(XYZ), radius).where("pid < r_pid")
+    met = nearest_join(p, p, list(XYZ), radius, "pid", "pid", most + 1).where("pid != r_pid")
     along = F.col("nx") * F.col("r_nx") + F.col("ny") * F.col("r_ny") + F.col("nz") * F.col("r_nz")
-    links = stored(met.select(F.col("pid").alias("a"), F.col("r_pid").alias("b"), (1 - F.abs(along)).alias("cost"), F.when(along < 0, -1).otherwise(1).alias("sign")), "links")
+    ends = met.select(F.least("pid", "r_pid").alias("a"), F.greatest("pid", "r_pid").alias("b"), (1 - F.abs(along)).alias("cost"), F.when(along < 0, -1).otherwise(1).alias("sign"))
+    links = stored(ends.dropDuplicates(["a", "b"]), "links")
     part = stored(p.select(F.col("pid").alias("node"), F.col("pid").alias("part"), F.lit(1).alias("turn")), "parts")
     while True:
         at = lambda n: part.select(F.col("node").alias(n), F.col("part").alias(f"p{n}"), F.col("turn").alias(f"s{n}"))  # noqa: B023, E731
@@ -118,9 +117,8 @@ def oriented(cloud: DataFrame, radius: float) -> DataFrame:
 def nearest_planes(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     """Per row of source (pid, px, py, pz) within reach of target (tid, x .. z, nx .. nz): the nearest one's qx .. qz and nx .. nz; ties by tid."""
     goal = target.where("nx is not null").select("tid", *[F.col(c).cast("double").alias(f"p{c}") for c in XYZ], "nx", "ny", "nz")
-    met = radius_join(source.select("pid", "px", "py", "pz"), goal, ["px", "py", "pz"], reach)
-    best = F.min_by(F.struct(*[F.col(f"r_p{c}").alias(f"q{c}") for c in XYZ], *[F.col(f"r_n{c}").alias(f"n{c}") for c in XYZ]), F.struct("distance", "r_tid"))
-    return met.groupBy("pid", "px", "py", "pz").agg(best.alias("m")).select("pid", "px", "py", "pz", "m.*")
+    met = nearest_join(source.select("pid", "px", "py", "pz"), goal, ["px", "py", "pz"], reach, "pid", "tid")
+    return met.select("pid", "px", "py", "pz", *[F.col(f"r_p{c}").alias(f"q{c}") for c in XYZ], *[F.col(f"r_n{c}").alias(f"n{c}") for c in XYZ])
 
 
 def plane_terms(about: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> dict[str, Column]:

@@ -5,7 +5,7 @@ Cells follow the data: crowded ones are cut again, and triangles live in grids o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poseframe.functions import vectors as V
@@ -95,20 +95,55 @@ def _around(n: int) -> list[tuple[int, ...]]:
     return out
 
 
-def slab_samples(rays: DataFrame, zlo: float, zhi: float, n: int = 20, flat: tuple[float, float] = (0.0, 30.0)) -> DataFrame:
-    """Rows of rays (ox.. oz, dx.. dz) once for each of n points between where they enter and leave a slab in z.
+def slab_spans(rays: DataFrame, zlo: float, zhi: float, flat: tuple[float, float] = (0.0, 30.0)) -> DataFrame:
+    """Rows of rays (ox.. oz, dx.. dz) that enter a slab in z ahead of them, with the distances _lo and _hi at which they enter and leave.
 
-    Adds sx, sy, sz. Rays that are nearly level are sampled over the distances `flat`; nothing behind the origin is.
+    For rays that are nearly level these are `flat`.
     """
     a, b = (zlo - F.col("oz")) / F.col("dz"), (zhi - F.col("oz")) / F.col("dz")
     level = F.abs("dz") <= 1e-6
     lo = F.when(level, F.lit(flat[0])).otherwise(F.greatest(F.lit(0.0), F.least(a, b)))
     hi = F.when(level, F.lit(flat[1])).otherwise(F.greatest(a, b))
-    rows = rays.withColumn("_lo", lo).withColumn("_hi", hi).where("_hi >= 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rays.withColumn("_lo", lo).withColumn("_hi", hi).where("_hi >= 0")
+
+
+def slab_samples(rays: DataFrame, zlo: float, zhi: float, n: int = 20, flat: tuple[float, float] = (0.0, 30.0)) -> DataFrame:
+    """slab_spans() once for each of n points from where a ray enters to where it leaves, which are sx, sy, sz."""
+    rows = slab_spans(rays, zlo, zhi, flat).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     t = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_k") / (n - 1)
     return rows.withColumns({f"s{c}": F.col(f"o{c}") + F.col(f"d{c}") * t for c in "xyz"}).drop("_lo", "_hi", "_k")
 
 
+def near_samples(rays: DataFrame, centres: DataFrame, radius: float, zlo: float, zhi: float, n: int = 20) -> DataFrame:
+    """Pairs of a ray (rid) and a centre (fid, px, py) within `radius` in x and y of any of the ray's n samples in a slab; each once.
+
+    A ray goes to the distinct cells around its samples and a centre lies in one, so a pair meets once. As samples stand evenly on a
+    line, the one nearest to a centre is beside the centre's foot on it, so no other needs a look.
+    """
+    span = slab_spans(rays, zlo, zhi)
+    step = (F.col("_hi") - F.col("_lo")) / (n - 1)
+    around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+    def cells(k: Column) -> Column:
+        t = F.col("_lo") + step * k
+        cx, cy = F.floor((F.col("ox") + F.col("dx") * t) / radius), F.floor((F.col("oy") + F.col("dy") * t) / radius)
+        return F.transform(F.array(*around), lambda o: F.struct((cx + o["i"]).alias("_cx"), (cy + o["j"]).alias("_cy")))
+
+    walked = span.select("rid", "ox", "oy", "dx", "dy", "_lo", step.alias("_step"), F.inline(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cells)))))
+    homes = centres.withColumns({"_cx": F.floor(F.col("px") / radius), "_cy": F.floor(F.col("py") / radius)})
+    met = walked.join(homes, ["_cx", "_cy"])
+    flat = F.col("dx") ** 2 + F.col("dy") ** 2
+    foot = F.try_divide((F.col("px") - F.col("ox")) * F.col("dx") + (F.col("py") - F.col("oy")) * F.col("dy"), flat)
+    place = F.coalesce(F.try_divide(foot - F.col("_lo"), F.col("_step")), F.lit(0.0))
+    low = F.greatest(F.least(F.floor(place), F.lit(n - 1)), F.lit(0))
+
+    def away(k: Column) -> Column:
+        t = F.col("_lo") + F.col("_step") * k
+        return (F.col("ox") + F.col("dx") * t - F.col("px")) ** 2 + (F.col("oy") + F.col("dy") * t - F.col("py")) ** 2
+
+    return met.where(F.least(away(low), away(F.least(low + 1, F.lit(n - 1)))) <= radius * radius).select("rid", "fid")
+
+
 def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces (fid, i0, i1, i2) with their corners, centre (cx, cy, cz) and unit normal's z (nz)."""
     out = faces
@@ -136,9 +171,7 @@ def ray_hits(rays: DataFrame, tris: DataFrame, *, radius: float = 0.5, zlo: floa
     Triangles whose centre is within `radius` of a sample of the ray in x and y are candidates, each once. The nearest hit
     on ground (normal's z above `ground`) is preferred to any nearer one.
     """
-    samples = slab_samples(rays, zlo, zhi).select("rid", F.col("sx").alias("px"), F.col("sy").alias("py"))
-    centres = tris.select("fid", F.col("cx").alias("px"), F.col("cy").alias("py"))
-    near = radius_join(samples, centres, ["px", "py"], radius).select("rid", F.col("r_fid").alias("fid")).distinct()
+    near = near_samples(rays, tris.select("fid", F.col("cx").alias("px"), F.col("cy").alias("py")), radius, zlo, zhi)
     met = near.join(rays, "rid").join(tris, "fid")
     t = V.ray_triangle(V.vec("ox", "oy", "oz"), V.vec("dx", "dy", "dz"), *[V.vec(f"x{k}", f"y{k}", f"z{k}") for k in range(3)])
     met = met.withColumn("t", t).withColumn("wall", ~(F.abs("nz") > ground))
@@ -249,8 +282,44 @@ def density(points: DataFrame, hits: DataFrame, sigma: float = 0.5, radius: floa
     return sums.join(F.broadcast(top)).select("pid", "weight", (F.col("weight") / F.col("top")).alias("share"))
 
 
+def nearest_join(left: DataFrame, right: DataFrame, dims: list[str], reach: float, key: str, other: str, k: int = 1, crowd: int = CROWD) -> DataFrame:
+    """Pairs of each row of left (key) with its k nearest of right (other) within reach, equally near ones by `other`; as radius_join().
+
+    Begins with a radius that holds about k rows where right is densest and doubles it up to reach: a row that has found k is settled,
+    the others go on. So pairs follow k and not how many rows a wide radius holds, and the number of rounds is the logarithm
+    of how uneven right is. Where more than k rows stand at one place, all of their pairs are looked at.
+    """
+    known = right.where(" and ".join(f"{d} is not null" for d in dims))
+    dense = known.groupBy(*[F.floor(F.col(d) / reach).alias(d) for d in dims]).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1  # one row
+    r = reach * min(1.0, (2.0 * k / dense) ** (1.0 / len(dims)))
+    rest, done = left, []
+    names = [c for c in left.columns if c != key]
+    while True:
+        r = reach if 2 * r > reach else r
+        met = radius_join(rest, right, dims, r, crowd=crowd)
+        if k == 1:
+            pair = F.struct(*names, *[c for c in met.columns if c.startswith("r_") or c == "distance"])
+            found = met.groupBy(key).agg(F.min_by(pair, F.struct("distance", f"r_{other}")).alias("_m")).select(key, "_m.*").withColumn("_rank", F.lit(1))
+        else:
+            found = met.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", f"r_{other}"))).where(F.col("_rank") <= k)
+        if r >= reach:
+            done.append(found)
+            break
+        found = stored(found, "nearest")
+        settled = found.where(F.col("_rank") == k).select(key)
+        done.append(found.join(settled, key, "left_semi"))
+        rest = stored(rest.join(settled, key, "left_anti"), "nearest")
+        if rest.isEmpty():
+            break
+        r *= 2
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.drop("_rank")
+
+
 def nearest_in(left: DataFrame, right: DataFrame, dims: list[str], r: float, key: str) -> DataFrame:
-    """For each row of left (key) its nearest row of right within r (one step of point matching)."""
-    met = radius_join(left, right, dims, r)
-    cols = [c for c in met.columns if c.startswith("r_") or c == "distance"]
-    return met.groupBy(key).agg(F.min_by(F.struct(*cols), "distance").alias("m")).select(key, "m.*")
+    """For each row of left (key) its nearest row of right within r (one step of point matching), of equally near ones the first by `dims`."""
+    right = right.withColumn("_at", F.struct(*dims))
+    met = nearest_join(left, right, dims, r, key, "_at")
+    return met.select(key, *[c for c in met.columns if (c.startswith("r_") or c == "distance") and c != "r__at"])

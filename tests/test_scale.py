@@ -231,6 +231,22 @@ def test_normals_of_a_plane_and_a_sphere(spark):
         assert out > 0.97
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_of_uneven_clouds(spark, k):
+    rng = np.random.default_rng(15)
+    goal = np.r_[rng.normal(0, 0.02, (300, 3)), rng.uniform(-3, 3, (60, 3)), np.full((9, 3), 0.5)]
+    own = np.r_[rng.normal(0, 0.02, (40, 3)), rng.uniform(-4, 4, (60, 3)), [[0.5, 0.5, 0.5]]]
+    left, right = cloud(spark, own), cloud(spark, goal, "tid")
+    got = {}
+    for r in spatial.nearest_join(left, right, ["x", "y", "z"], 1.0, "pid", "tid", k).collect():
+        got.setdefault(r["pid"], []).append((round(r["distance"], 12), r["r_tid"]))
+    d = np.sqrt(((own[:, None] - goal[None]) ** 2).sum(axis=2))
+    for i in range(len(own)):
+        want = sorted((round(float(x), 12), j) for j, x in enumerate(d[i]) if x <= 1.0)[:k]
+        assert sorted(got.get(i, [])) == want
+    assert spatial.nearest_join(left, right.where("false"), ["x", "y", "z"], 1.0, "pid", "tid", k).count() == 0
+
+
 def test_planes_let_points_slide(spark):
     """A corner of three planes, seen by points shifted along them: point to plane ends there, point to point drags."""
     rng = np.random.default_rng(13)

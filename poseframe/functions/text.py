@@ -39,3 +39,20 @@ def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def frame_number(path: Column, pattern: str = r"(\d+)(?:_keypoints)?\.[A-Za-z]+$") -> Column:
     """The number in a file's name; null for a name without one."""
     return F.regexp_extract(path, pattern, 1).try_cast("bigint")
+
+
+def zero_padded(n: Column, width: int) -> Column:
+    """A whole number with zeros in front, as in names of frames; longer numbers stay whole."""
+    digits = n.cast("string")
+    return F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
+
+
+def odd(n: Column) -> Column:
+    """The number itself if odd, else the next one: sizes of windows and kernels that need a middle."""
+    return n.bitwiseOR(F.lit(1))
+
+
+def looked_up(key: Column, values: dict[str, str], default: str | None = None) -> Column:
+    """What a small fixed table has for a key; the default for others and for null."""
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, key), F.lit(default))

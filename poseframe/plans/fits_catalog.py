@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from poseframe.catalog import BY, EV, query, series_of
+from poseframe.catalog import BY, EV, query, series_of, table
+from poseframe.functions.text import looked_up, odd, zero_padded
 from poseframe.operators import fits
 
 #: Pairs that a turn by 0.4 and a shift bring together but for a few tenths; every seventh is missing.
@@ -47,3 +48,11 @@ def noisy_windows(spark, sf):
     x, y, _ = fits.applied(F.col("r"), F.col("t"), F.col("c"))
     d = F.sqrt((F.col("dx") - x) ** 2 + (F.col("dy") - y) ** 2)
     return f.join(n, "event_id").where("n >= 3").select("event_id", F.round(d, 4).alias("residual"), "n")
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_partkey::VARCHAR) < 12 THEN lpad(p_partkey::VARCHAR, 12, '0') ELSE p_partkey::VARCHAR END AS name, p_size | 1 AS kernel, CASE p_size % 3 WHEN 0 THEN 'LeftHeel' WHEN 1 THEN 'RightHeel' ELSE 'none' END AS joint FROM part")
+def names_and_kernels(spark, sf):
+    """Numbers of frames in names, odd sizes of kernels, a fixed table's values (2.12)."""
+    p = table(spark, sf, "part")
+    joint = looked_up((F.col("p_size") % 3).cast("string"), {"0": "LeftHeel", "1": "RightHeel"}, "none")
+    return p.select("p_partkey", zero_padded(F.col("p_partkey"), 12).alias("name"), odd(F.col("p_size")).alias("kernel"), joint.alias("joint"))

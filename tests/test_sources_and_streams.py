@@ -154,3 +154,34 @@ def test_byte_ranges_of_a_mesh_are_the_whole_mesh(spark, tmp_path, order):
     for element, twin in zip(("vertex", "face"), readers.read_ply(spark, f"{tmp_path}/*.ply"), strict=True):
         plain = lambda df: sorted((r[0].split("/")[-1], *r[1:]) for r in df.collect())
         assert plain(read(element, tmp_path)) == plain(twin)
+
+
+def test_aligned_frames_with_and_without_camera_and_gaze(spark, tmp_path):
+    from poseframe.sources import tables
+
+    camera = ",".join(tables.CAMERA)
+    (tmp_path / "a.csv").write_text(f"time,max_pressure_foot,Head_aligned_x,Head_aligned_y,Head_aligned_z,Toe_aligned_x,{camera},gaze_x,gaze_y,gaze_z,gaze_valid\n0.5,LeftFoot,1,2,nan,9,{','.join(map(str, range(12)))},1,,NaN,1\n1.5,RightFoot,1,2,3,9,{','.join(['nan'] * 12)},nan,nan,nan,0\n")
+    (tmp_path / "b.csv").write_text("time,Head_aligned_x,Head_aligned_y,Head_aligned_z,cam_pos_x\n0.5,1,2,3,4\n")
+    rows = tables.read_aligned_frames(spark, str(tmp_path / "a.csv")).orderBy("time").collect()
+    assert (rows[0]["Head_aligned_x"], rows[0]["Head_aligned_z"], rows[0]["cam_rot_r22"], rows[0]["gaze_y"], rows[0]["gaze_valid"], rows[1]["gaze_valid"], rows[1]["cam_pos_x"]) == (1.0, None, 11.0, None, True, False, None)
+    assert "Toe_aligned_x" not in rows[0].asDict()
+    bare = tables.read_aligned_frames(spark, str(tmp_path / "b.csv")).first()
+    assert (bare["Head_aligned_z"], bare["cam_pos_x"], bare["gaze_valid"], bare["max_pressure_foot"]) == (3.0, None, None, None)
+
+
+def test_transforms_are_read_and_checked(spark, tmp_path):
+    from poseframe.sources import tables
+
+    rows = [(0, [0.0, 0.0, 0.0, 2.0], [1.0, 2.0, 3.0], None), (1, [0.0, 0.0, 0.0], [1.0, 2.0, 3.0], 2.0), (2, [0.0] * 4, [1.0, 2.0, 3.0], 2.0), (3, [0.0, 0.0, 1.0, None], [1.0, 2.0, 3.0], 2.0), (4, [0.0, 0.6, 0.0, 0.8], [1.0, 2.0], 2.0)]
+    spark.createDataFrame(rows, "step_idx int, q array<double>, t array<double>, scale double").write.parquet(f"{tmp_path}/t")
+    got = {r["step_idx"]: (r["q"], r["t"], r["scale"]) for r in tables.read_step_transforms(spark, f"{tmp_path}/t").collect()}
+    assert got[0] == ([0.0, 0.0, 0.0, 1.0], [1.0, 2.0, 3.0], 1.0) and all(got[k][:2] == (None, None) for k in (1, 2, 3, 4))
+    one = lambda m: spark.createDataFrame([(m,)], "T_total array<double>")
+    m = [2.0, 0, 0, 1, 0, 2, 0, 2, 0, 0, 2, 3, 0, 0, 0, 1]
+    there, back, condition = tables.alignment(one([float(x) for x in m]))
+    assert abs(there @ back - [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]).max() < 1e-12 and 1 < condition < 100
+    for bad, why in (([0.0] * 15 + [1.0], "undone"), ([1.0] * 15, "16 known"), ([1.0] * 16, "last row")):
+        with pytest.raises(ValueError, match=why):
+            tables.alignment(one(bad))
+    with pytest.raises(ValueError, match="several"):
+        tables.alignment(one([float(x) for x in m]).union(one([float(x) for x in m])))

@@ -169,7 +169,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = stored(found.where("copied or open"), "suffix-runs")
     drop_stored(suffixes)
     release_shuffles(spark)
-    todo = found.where("open").groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("todo")).withColumnRenamed("id", "t_id")
+    todo = found.where("open").groupBy("id").agg(F.collect_set(F.struct("first", "n")).alias("todo")).withColumnRenamed("id", "t_id")
     single = src.select("id", "text").join(todo, F.col("id") == F.col("t_id")).select("id", "text", "todo").mapInArrow(_strings, "core long, id long, first long")
     by = Window.partitionBy("core").orderBy("id", "first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     twice = single.select("id", "first", F.count("*").over(by).alias("c")).where("c > 1").select("id", "first", F.lit(1).cast("short").alias("n"))
@@ -182,6 +182,7 @@ def long_repeats_removed(docs: DataFrame) -> DataFrame:
     A null text counts as empty; texts under LENGTH bytes keep every byte. Rows that repeat each other are copies of each
     other and lose everything that is long enough. Other columns are ignored; an empty table gives an empty result.
     """
-    runs = repeated(docs).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("gone")).withColumnRenamed("id", "g_id")
+    # equal rows have the same id and the same runs, which count once
+    runs = repeated(docs).groupBy("id").agg(F.collect_set(F.struct("first", "n")).alias("gone")).withColumnRenamed("id", "g_id")
     joined = _row_id(docs).join(runs, F.col("id") == F.col("g_id"), "left")
     return joined.select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -187,3 +187,19 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     cleaned = {r["doc_id"]: r["text"] for r in pii.pii_redacted(docs_of(spark, rows)).collect()}
     assert cleaned[50] == "my phone: <PHONE> and so on" and cleaned[52] == rows[-1][1]
     assert "user3@" not in cleaned[3] and "<EMAIL>" in cleaned[3]
+
+
+def test_thousands_of_equal_rows_share_their_runs(spark):
+    """Each run of a text counts once however many rows repeat it, so work grows with the rows and not with their square."""
+    import time
+
+    rng = random.Random(17)
+    text = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(600))
+    alone = " ".join("".join(rng.choices("klmnopqrst", k=6)) for _ in range(300))
+    rows = [(1, text, "en", "s", 1)] * 3000 + [(2, text[:2000] + alone, "en", "s", 1), (3, alone + "x", "en", "s", 1)]
+    began = time.time()
+    got = suffix_dedup.long_repeats_removed(spark.createDataFrame(rows, DOCS)).collect()
+    assert time.time() - began < 120
+    want = kept_bytes([text, text[:2000] + alone, alone + "x", text])
+    assert len(got) == 3002 and {tuple(r)[1:] for r in got if r["doc_id"] == 1} == {want[0]}
+    assert {r["doc_id"]: tuple(r)[1:] for r in got if r["doc_id"] != 1} == {2: want[1], 3: want[2]}

@@ -296,7 +296,9 @@ def nearest_join(left: DataFrame, right: DataFrame, dims: list[str], reach: floa
     names = [c for c in left.columns if c != key]
     while True:
         r = reach if 2 * r > reach else r
-        met = radius_join(rest, right, dims, r, crowd=crowd)
+        # what is left to settle shrinks, so it is the side that goes into the cells around its own
+        met = radius_join(right, rest, dims, r, crowd=crowd)
+        met = met.select(*[F.col(f"r_{c}").alias(c) for c in left.columns], *[F.col(c).alias(f"r_{c}") for c in right.columns], "distance")
         if k == 1:
             pair = F.struct(*names, *[c for c in met.columns if c.startswith("r_") or c == "distance"])
             found = met.groupBy(key).agg(F.min_by(pair, F.struct("distance", f"r_{other}")).alias("_m")).select(key, "_m.*").withColumn("_rank", F.lit(1))

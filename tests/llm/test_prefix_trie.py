@@ -59,7 +59,7 @@ def got(spark, rows, stretch):
     return sorted((tuple(r[c] for c in COLUMNS) for r in prefix_trie(df, stretch).collect()), key=str)
 
 
-@pytest.mark.parametrize(("seed", "stretch"), [(1, 2048), (2, 2), (3, 3), (4, 5)])
+@pytest.mark.parametrize(("seed", "stretch"), [(1, 2048), (2, 2), (3, 3)])
 def test_equals_plain_version(spark, seed, stretch):
     rows = made(seed, deep=14 if seed == 3 else 9)
     assert got(spark, rows, stretch) == plain(rows)

@@ -253,6 +253,7 @@ def lag_correlation(a: DataFrame, b: DataFrame, lags: DataFrame, by: list[str],
     ends = b.groupBy(*by).agg(F.min("t").alias("_b0"), F.max("t").alias("_b1"), F.avg("v").alias("_bm"), F.count("*").alias("_bn")).join(a.groupBy(*by).agg(F.avg("v").alias("_am")), by)
     ends = ends.join(span, keys) if keys else ends.join(F.broadcast(span))
     ends = ends.withColumn("_size", F.lit(block) if block else F.greatest(2 * (F.col("_l1") - F.col("_l0")), 1000 * (F.col("_b1") - F.col("_b0")) / F.col("_bn"), F.lit(1e-9)))
+    ends = stored(ends, "spans")  # a row for each series, which four joins below read
     cell = lambda t: F.floor(t / F.col("_size"))
     left = a.join(ends, by).groupBy(*by, cell(F.col("t")).alias("_block")).agg(F.collect_list("t").alias("_at"), F.collect_list(F.col("v") - F.col("_am")).alias("_av"))
     w = Window.partitionBy(*by).orderBy("t")
@@ -294,6 +295,7 @@ def least_lag(scores: DataFrame, by: list[str]) -> DataFrame:
 def drift(a: DataFrame, b: DataFrame, by: list[str], center: float = 0.0, coarse: tuple[float, float] = (20.0, 0.033), fine: tuple[float, float] = (3.0, 0.001)) -> DataFrame:
     """Two sweeps over lags: wide and coarse, then narrow and fine around the best; rows (by, lag, r)."""
     spark = a.sparkSession
+    a, b = (stored(df.select(*by, "t", "v"), "signal") for df in (a, b))  # both sweeps read them
     steps = int(round(2 * coarse[0] / coarse[1])) + 1
     wide = spark.range(steps).select((F.lit(center - coarse[0]) + F.col("id") * coarse[1]).alias("lag"))
     first = least_lag(lag_correlation(a, b, wide, by), by)

@@ -196,6 +196,13 @@ def test_urls_by_rule_and_by_template(spark):
     assert {said[i] for i in range(20, 30)} == {"block"} and {said[i] for i in range(120, 130)} == {"allow"}
 
 
+def test_rules_say_what_the_contract_says(spark):
+    urls = ["http://a.com/en/1", "http://example.com/en/7", "http://a.net/de/1", "http://example.net/de/8", "http://example.net/de/7", "http://a.org/es/1"]
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect())
+    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
+    assert got == [(i, *r) for i, r in enumerate(rules)]
+
+
 def test_urls_without_a_rule_are_judged_by_their_tree(spark):
     urls = [f"http://a.com/en/{i}" for i in range(20)] + ["http://a.com/fr/1", "http://a.com/fr/x/y", "http://b.com/fr/1"]
     urls += [f"http://c.org/es/{i}" for i in range(9)] + ["http://c.org/fr/1"]

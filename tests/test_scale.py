@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poseframe.functions import casting
 from poseframe.operators import blocks, clouds, fits, series, spatial
 from poseframe.operators.asof import asof_join, bracketed
 
@@ -287,3 +288,50 @@ def test_last_position_of_a_name_counts(spark):
     got = head_pairs(steps, detected, aligned, matches, positions, np.eye(4).tolist(), ["rec"]).collect()
     assert [r["hdx"] for r in got] == [4.0]
     assert T.BooleanType() == head_pairs(steps, detected, aligned, matches, positions, np.eye(4).tolist(), ["rec"]).schema["valid"].dataType
+
+
+def _crowd_of_rays(spark):
+    rng = np.random.default_rng(5)
+    n = 60
+    ray = np.column_stack([rng.integers(-2, 3, (n, 2)) + rng.choice([0.0, 0.25], (n, 2)), np.full(n, 5.0), rng.choice([-0.5, 0.0, 0.25], (n, 2)), np.full(n, -1.0)])
+    at = rng.integers(-2, 3, (n, 3)) / 1.0
+    tri = np.hstack([at, at + rng.choice([0.0, 1.0, -2.0, 0.5], (n, 3)), at + rng.choice([0.0, 1.0, -1.0, 0.25], (n, 3))])
+    rays = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(ray)], "rid int, ox double, oy double, oz double, dx double, dy double, dz double")
+    tris = spark.createDataFrame([(i, *map(float, t)) for i, t in enumerate(tri)], "fid int, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz"))
+    k, i = np.divmod(np.arange(n * n), n)
+    t = casting.exact_distances(ray[k, :3].T, ray[k, 3:].T, tri[i, :3].T, tri[i, 3:6].T, tri[i, 6:].T).reshape(n, n)
+    return rays, tris, t
+
+
+def test_crowded_rays_and_triangles_meet_in_arrays_and_count_once(spark):
+    rays, tris, t = _crowd_of_rays(spark)
+    want = {i: (row.min(), int(np.isfinite(row).sum())) for i, row in enumerate(t) if np.isfinite(row).any()}
+    for pairs, lot in ((0, 7), (20, 1000), (10**9, 10)):
+        got = spatial.mesh_hits(rays.withColumn("rid", F.struct("rid")), tris, pairs=pairs, lot=lot)
+        plan = got._jdf.queryExecution().toString()
+        assert "fid" not in plan[plan.index("Aggregate") :].split("\n")[0], "no row for a pair is shuffled"
+        assert {r["rid"]["rid"]: (r["t"], r["n_hits"]) for r in got.collect()} == want
+    assert sum(c for _, c in want.values()) > 50
+
+
+def test_crowded_candidates_of_rays_are_those_of_plain_ones(spark):
+    rays, tris, _ = _crowd_of_rays(spark)
+    mesh = tris.withColumns({f"c{x}": (F.col(f"{x}0") + F.col(f"{x}1") + F.col(f"{x}2")) / 3 for x in "xyz"})
+    mesh = mesh.withColumn("nz", F.when(F.col("fid") % 7 != 0, (F.col("fid") % 10 - 5) / 5.0))
+    mesh = mesh.withColumn("z2", F.when(F.col("fid") % 13 != 0, F.col("z2")))
+    rows = lambda **how: sorted(map(tuple, spatial.ray_hits(rays, mesh, zlo=-3.0, zhi=3.0, **how).fillna(-99.0).fillna(False).collect()))
+    plain = rows(pairs=10**9)
+    assert rows(pairs=0, lot=9) == rows(pairs=0) == plain
+    assert sum(r[4] for r in plain) > 200 and sum(r[5] for r in plain) > 10
+
+
+def test_short_floats_lose_no_hit_far_from_the_origin():
+    rng = np.random.default_rng(3)
+    far = np.array([5e5, -4e6, 300.0])
+    tri = np.hstack([far + rng.normal(0, 1, (300, 3)) for _ in range(3)])
+    ray = np.hstack([far + rng.normal(0, 40, (200, 3)), np.zeros((200, 3))])
+    ray[:, 3:] = far + rng.normal(0, 0.5, (200, 3)) - ray[:, :3]
+    i, k = np.divmod(np.arange(200 * 300), 300)
+    t = casting.exact_distances(ray[i, :3].T, ray[i, 3:].T, tri[k, :3].T, tri[k, 3:6].T, tri[k, 6:].T)
+    a, b, c = casting.Triangles(tri).hits(ray)
+    assert set(zip(a, b, c, strict=True)) == {(x, y, z) for x, y, z in zip(i, k, t, strict=True) if z < np.inf} and len(a) > 500

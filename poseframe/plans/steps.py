@@ -19,9 +19,11 @@ def heel_rows(steps: DataFrame, poses: DataFrame, by: list[str], order: str, lea
     """
     one = steps.groupBy(*by, "dji_frame").agg(F.max_by(F.struct("max_pressure_foot", *[c for cols in HEELS.values() for c in cols]), order).alias("s")).select(*by, "dji_frame", "s.*")
     total = poses.groupBy(*by).agg(F.count("*").alias("_n"))
-    met = one.join(poses.withColumnRenamed("frame", "dji_frame"), [*by, "dji_frame"]).join(total, by).where("dji_frame >= 0 and dji_frame < _n")
+    # of a pose only its heels are moved
+    heels = poses.select(*by, F.col("frame").alias("dji_frame"), *[F.get("keypoints", F.lit(3 * heel + k)).alias(f"_{side}{k}") for side, heel in (("l", LEFT_HEEL), ("r", RIGHT_HEEL)) for k in range(3)])
+    met = one.join(heels, [*by, "dji_frame"]).join(total, by).where("dji_frame >= 0 and dji_frame < _n")
     left = F.col("max_pressure_foot") == "LeftFoot"
-    at = lambda k: F.get("keypoints", F.when(left, F.lit(3 * LEFT_HEEL + k)).otherwise(F.lit(3 * RIGHT_HEEL + k)))
+    at = lambda k: F.when(left, F.col(f"_l{k}")).otherwise(F.col(f"_r{k}"))
     shadow = [F.when(left, F.col(a)).otherwise(F.col(b)).alias(f"shadow_{c}") for a, b, c in zip(*HEELS.values(), "xyz", strict=True)]
     rows = met.select(*by, "dji_frame", (F.col("dji_frame") / fps).alias("video_t"), "max_pressure_foot", at(0).alias("heel_x"), at(1).alias("heel_y"), at(2).alias("heel_conf"), *shadow)
     return rows.where(F.col("heel_conf") >= least)

@@ -188,3 +188,15 @@ def test_lags_in_blocks_equal_one_block(spark):
         want = np.corrcoef(va[ok], np.interp(x[ok], tb, vb))[0, 1]
         n, r = got[round(k * 0.3 - 3, 3)]
         assert n == ok.sum() and abs(r - want) < 1e-9
+
+
+def test_of_poses_only_heels_reach_the_join(spark, sf):
+    from poseframe.catalog import BY
+    from poseframe.plans import contacts, steps
+    from poseframe.plans.contact_catalog import _inputs
+
+    rows, poses, cameras, _ = _inputs(spark, sf)
+    poses = poses.localCheckpoint()
+    for out in (steps.heel_rows(rows, poses, BY, "us"), contacts.miss_counts(rows, poses, cameras, BY, "us", 0.3)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "keypoints" not in plan[: plan.rindex("Join")]

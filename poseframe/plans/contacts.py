@@ -74,11 +74,13 @@ def miss_counts(steps: DataFrame, poses: DataFrame, cameras: DataFrame, by: list
 
     spans = poses.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("dji_frame"))
     one = steps.groupBy(*by, "dji_frame").agg(F.max_by("max_pressure_foot", order).alias("_foot"))
-    seen = poses.groupBy(*by, F.col("frame").alias("dji_frame")).agg(F.first("keypoints").alias("_k"), F.lit(True).alias("_pose"))
+    # of a pose only its heels' confidences are moved
+    sure = F.struct(F.col("keypoints").isNull().alias("none"), *[F.get("keypoints", F.lit(3 * heel + 2)).alias(side) for side, heel in (("l", LEFT_HEEL), ("r", RIGHT_HEEL))])
+    seen = poses.groupBy(*by, F.col("frame").alias("dji_frame")).agg(F.first(sure).alias("_k"))
     keys = [c for c in by if c in cameras.columns]
     cams = cameras.select(*keys, F.col("frame").alias("dji_frame"), F.lit(True).alias("_cam")).distinct()
     rows = spans.join(one, [*by, "dji_frame"], "left").join(seen, [*by, "dji_frame"], "left").join(cams, [*keys, "dji_frame"], "left")
-    sure = F.get("_k", F.when(F.col("_foot") == "LeftFoot", F.lit(3 * LEFT_HEEL + 2)).otherwise(F.lit(3 * RIGHT_HEEL + 2)))
-    why = F.when(F.col("_foot").isNull(), "no_row").when(F.col("_pose").isNull() | F.col("_k").isNull(), "no_pose").when(~F.coalesce(sure >= least, F.lit(False)), "low_confidence").when(F.col("_cam").isNull(), "no_camera").otherwise("kept")
+    sure = F.when(F.col("_foot") == "LeftFoot", F.col("_k.l")).otherwise(F.col("_k.r"))
+    why = F.when(F.col("_foot").isNull(), "no_row").when(F.coalesce(F.col("_k.none"), F.lit(True)), "no_pose").when(~F.coalesce(sure >= least, F.lit(False)), "low_confidence").when(F.col("_cam").isNull(), "no_camera").otherwise("kept")
     kinds = ("no_row", "no_pose", "low_confidence", "no_camera", "kept")
     return rows.groupBy(*by).agg(*[F.count_if(why == k).alias(k) for k in kinds])

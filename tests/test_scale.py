@@ -335,3 +335,11 @@ def test_short_floats_lose_no_hit_far_from_the_origin():
     t = casting.exact_distances(ray[i, :3].T, ray[i, 3:].T, tri[k, :3].T, tri[k, 3:6].T, tri[k, 6:].T)
     a, b, c = casting.Triangles(tri).hits(ray)
     assert set(zip(a, b, c, strict=True)) == {(x, y, z) for x, y, z in zip(i, k, t, strict=True) if z < np.inf} and len(a) > 500
+
+
+def test_few_rows_allowed_in_a_cell_make_no_flood_of_copies(spark):
+    p = np.random.default_rng(8).normal(0, 0.1, (400, 2))
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id int, x double, y double")
+    want = int((((p[:, None] - p[None]) ** 2).sum(2) <= 0.01).sum())
+    assert spatial.COPIES >= 125 and spatial.radius_join(df, df, ["x", "y"], 0.1, crowd=3).count() == want
+    assert spatial.radius_join(df, df, ["x", "y"], 0.1, crowd=3, least=3).count() == want  # in lots of three rows

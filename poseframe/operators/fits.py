@@ -1,18 +1,21 @@
 """Rigid fits from sums: whole tables, windows of valid pairs and segments.
 
-Counts, sums and products of paired points determine a fit, so any window is a difference of two prefix rows. Only the
-decomposition of a 3 x 3 matrix runs in NumPy, over Arrow batches of those sums.
+Counts, sums and products of paired points determine a fit, so any window is a difference of two prefix rows. Rows and the pairs
+of their windows meet in one shuffle of points, so sums are never shuffled. Only the decomposition of a 3 x 3 matrix runs in
+NumPy, over Arrow batches of those sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poseframe.functions.scratch import stored
-from poseframe.operators.blocks import ROWS, cut, joined, running_sums, too_long
+from poseframe.operators.blocks import ROWS, blocked, cut, too_long
 
 S, D = ("sx", "sy", "sz"), ("dx", "dy", "dz")
 #: A second pair that a row may have beside its own: it counts in the windows that span the row.
@@ -31,20 +34,6 @@ def second_pairs() -> Column:
     return F.col(HS[0]).isNotNull() & F.col(HD[0]).isNotNull()
 
 
-def centred(df: DataFrame, by: list[str], second: bool = False, rows: int | None = ROWS) -> DataFrame:
-    """df with all points less the means of its series' valid pairs, which are _m_sx .. _m_dz: so sums of products keep their digits."""
-    means = {f"_m_{c}": F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))), F.lit(0.0)) for c in (*S, *D)}
-    if rows is None:
-        w = Window.partitionBy(*by)
-        df = df.withColumns({f"_m_{c}": F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))).over(w), F.lit(0.0)) for c in (*S, *D)})
-    else:
-        df = joined(df, df.groupBy(*by).agg(*[m.alias(n) for n, m in means.items()]), by)
-    less = {c: F.col(c) - F.col(f"_m_{c}") for c in (*S, *D)}
-    if second:
-        less |= {h: F.col(h) - F.col(f"_m_{c}") for h, c in zip((*HS, *HD), (*S, *D), strict=True)}
-    return df.withColumns(less)
-
-
 def uncentred_shift(r: Column, t: Column) -> Column:
     """The shift between points as they were, of a rotation and a shift between centred() ones."""
     moved = [r[3 * i] * F.col("_m_sx") + r[3 * i + 1] * F.col("_m_sy") + r[3 * i + 2] * F.col("_m_sz") for i in range(3)]
@@ -56,13 +45,17 @@ def valid_pairs() -> Column:
     return F.col("sx").isNotNull() & F.col("dx").isNotNull()
 
 
-def pair_sums(df: DataFrame, by: list[str], second: bool = False) -> DataFrame:
-    """The sums of each group's valid pairs, with second ones too if asked for."""
+def _pair_sums(second: bool = False) -> list[Column]:
     aggs = [F.coalesce(F.sum(F.when(valid_pairs(), t)), F.lit(0.0)).alias(n) for t, n in zip(_terms(), SUMS, strict=True)]
     if second:
         more = [F.coalesce(F.sum(F.when(second_pairs(), t)), F.lit(0.0)) for t in _terms(True)]
         aggs = [(a + b).alias(n) for a, b, n in zip(aggs, more, SUMS, strict=True)]
-    return df.groupBy(*by).agg(*aggs)
+    return aggs
+
+
+def pair_sums(df: DataFrame, by: list[str], second: bool = False) -> DataFrame:
+    """The sums of each group's valid pairs, with second ones too if asked for."""
+    return df.groupBy(*by).agg(*_pair_sums(second))
 
 
 def decompose(sums: np.ndarray, with_scale: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,22 +73,30 @@ def decompose(sums: np.ndarray, with_scale: bool) -> tuple[np.ndarray, np.ndarra
     return r, t, c
 
 
-def fitted(sums: DataFrame, with_scale: bool = False, least: int = 3) -> DataFrame:
-    """Adds r (row-major), t and c to rows that hold SUMS (and sum_ss for a scale); null under `least` pairs."""
-    extra = ["sum_ss"] if with_scale else []
+def fitted(sums: DataFrame, with_scale: bool = False, least: int = 3, kept: list[str] | None = None) -> DataFrame:
+    """Adds r (row-major), t and c to rows that hold SUMS (and sum_ss for a scale); null under `least` pairs.
+
+    kept: the columns that stay beside them, all by default.
+    """
+    read = SUMS + (["sum_ss"] if with_scale else [])
+    kept = sums.columns if kept is None else kept
+    sums = sums.select(*kept, *[c for c in read if c not in kept])
+    vector = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[sums.schema[c] for c in kept], T.StructField("r", vector), T.StructField("t", vector), T.StructField("c", T.DoubleType())])
+
+    def lists(x: np.ndarray, few: np.ndarray) -> pa.Array:
+        ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()), mask=pa.array(few))
 
     def run(batches):
-        for pdf in batches:
-            x = pdf[SUMS + extra].to_numpy(float)
+        for b in batches:
+            x = np.stack([b[c].to_numpy(zero_copy_only=False).astype(float) for c in read], 1)
             r, t, c = decompose(x, with_scale)
             few = x[:, 0] < least
-            pdf = pdf.assign(r=list(r.reshape(-1, 9)), t=list(t), c=c)
-            pdf.loc[few, ["r", "t", "c"]] = None
-            pdf["c"] = pdf["c"].astype("Float64")
-            yield pdf
+            new = [lists(r.reshape(-1, 9), few), lists(t, few), pa.array(c, mask=few)]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], *new], [*kept, "r", "t", "c"])
 
-    schema = sums.schema.simpleString()[len("struct<") : -1]
-    return sums.mapInPandas(run, f"{schema},r:array<double>,t:array<double>,c:double")
+    return sums.mapInArrow(run, schema)
 
 
 def global_fit(df: DataFrame, by: list[str], with_scale: bool = False, second: bool = False) -> DataFrame:
@@ -124,69 +125,147 @@ def residual_report(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.sqrt(F.avg(F.col("residual") ** 2)).alias("rmse"), F.avg("residual").alias("mean"), F.max("residual").alias("worst"))
 
 
+def _group(by: list[str]) -> Column:
+    """The keys of a series as one value, in which null equals null."""
+    return F.struct(*by) if by else F.lit(0)
+
+
+def _counted(df: DataFrame, by: list[str], order: str, rows: int | None, wide: Column) -> DataFrame:
+    """df with _k, the valid pairs of a series up to each row, itself included, and _valid, all of them.
+
+    Where series are cut also _widest, the largest `wide` of the series, and _size, the places of a home (see _summed()).
+    """
+    ok = valid_pairs().cast("long")
+    base = cut(df, by, order, rows)
+    first = Window.unboundedPreceding
+    if "_block" not in base.columns:
+        w = Window.partitionBy(*by)
+        return base.withColumns({"_k": F.sum(ok).over(w.orderBy(order).rowsBetween(first, 0)), "_valid": F.sum(ok).over(w)})
+    base = base.withColumn("_g", _group(by))
+    w, keys = Window.partitionBy("_g"), ["_g", "_block"]
+    counts = base.groupBy(*keys).agg(F.sum(ok).alias("_o"), F.max(wide).alias("_widest"))
+    before = F.sum("_o").over(w.orderBy("_block").rowsBetween(first, 0)) - F.col("_o")
+    counts = counts.select(*keys, before.alias("_before"), F.sum("_o").over(w).alias("_valid"), F.greatest(F.lit(1), F.max("_widest").over(w)).alias("_widest"))
+    own = base.withColumn("_k", F.sum(ok).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(first, 0)))
+    out = own.join(counts, keys).withColumn("_k", F.col("_k") + F.col("_before")).drop("_before", "_g", "_block")
+    return out.withColumn("_size", _home_size(rows))
+
+
+def _home_size(rows: int) -> Column:
+    return F.greatest(F.lit(rows).cast("long"), F.col("_widest"))
+
+
+def _wide() -> Column:
+    """How many valid pairs a window _w spans at most; any number where that is null."""
+    return F.coalesce(F.col("_w").cast("long"), F.lit(2**31 - 1))
+
+
+def _bounded(df: DataFrame, by: list[str], order: str, rows: int | None) -> DataFrame:
+    """_counted() rows with lo and hi of windows of _w valid pairs, see window_bounds()."""
+    df = _counted(df, by, order, rows, _wide()).withColumnRenamed("_valid", "n_valid")
+    pos = F.least(F.col("_k") - valid_pairs().cast("long"), F.col("n_valid") - 1)
+    lo = F.greatest(F.lit(0), pos - F.floor(F.col("_w") / 2))
+    hi = F.least(F.col("n_valid"), lo + F.col("_w"))
+    return df.withColumn("hi", hi.cast("int")).withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("_w")).cast("int"))
+
+
 def window_bounds(df: DataFrame, by: list[str], order: str, width: Column, rows: int | None = ROWS) -> DataFrame:
     """Adds lo and hi: the valid pairs, by their place among the valid, of a window of `width` centred on each row.
 
-    pos is the number of valid pairs before the row (the last place at most); the window starts width // 2 before it and
+    The place is the number of valid pairs before the row (the last place at most); the window starts width // 2 before it and
     keeps its width at both ends.
     """
-    ok = valid_pairs().cast("long")
-    base = cut(df.withColumn("_w", width.cast("int")), by, order, rows)
-    if "_block" in base.columns:
-        base = joined(base, base.groupBy(*by).agg(F.sum(ok).alias("n_valid")), by)
+    return _bounded(df.withColumn("_w", width.cast("int")), by, order, rows).drop("_w", "_k", "_widest", "_size")
+
+
+def _summed(df: DataFrame, by: list[str], kept: list[str], second: bool = False, series: DataFrame | None = None) -> DataFrame:
+    """Columns `kept` of _counted() rows with lo and hi, and SUMS over the valid pairs in [lo, hi).
+
+    A series has homes of _size places (one home where it isn't cut). A row asks in the home of its lo for the sums up to lo and up to hi, and pairs
+    go to their own home and to the one before if its windows reach them, so that all meet in one shuffle of points. series: a row
+    (_g, _home, _series) for each home; _series comes to all rows of the home, and points are taken less its means _m_sx .. _m_dz.
+    """
+    points = [*S, *D, *((*HS, *HD) if second else ())]
+    used = (valid_pairs() | second_pairs()) if second else valid_pairs()
+    k = F.col("_k")
+    at = lambda home, place, turn: F.struct(home.cast("long").alias("_home"), place.cast("long").alias("_at"), turn.cast("int").alias("_turn"))
+    # of one place: its valid pair, windows that end with it, second pairs up to the next valid one, windows that start there
+    pair, end, start = F.when(valid_pairs(), 0).otherwise(2), 1, 3
+    if "_size" in df.columns:
+        in_home = lambda place: F.floor(place / F.col("_size"))
+        homes = F.sequence(F.greatest(F.lit(0), F.floor((k - F.col("_widest")) / F.col("_size"))).cast("long"), in_home(k - 1))
     else:
-        rows, base = None, base.withColumn("n_valid", F.sum(ok).over(Window.partitionBy(*by)))
-    df = running_sums(base, by, order, {"_pos": ok}, rows, before=True)
-    df = df.withColumn("_pos", F.least("_pos", F.col("n_valid") - 1))
-    lo = F.greatest(F.lit(0), F.col("_pos") - F.floor(F.col("_w") / 2))
-    hi = F.least(F.col("n_valid"), lo + F.col("_w"))
-    return df.withColumn("hi", hi.cast("int")).withColumn("lo", F.greatest(F.lit(0), F.col("hi") - F.col("_w")).cast("int")).drop("_pos", "_w")
+        in_home = lambda place: F.lit(0)
+        homes = F.array(F.lit(0).cast("long"))
+    pairs = F.when(used & (k > 0), F.transform(homes, lambda h: at(h, k, pair)))
+    home = in_home(F.col("lo"))
+    asked = F.array(at(home, F.col("lo"), F.lit(start)), at(home, F.col("hi"), F.lit(end)))
+    out = df.withColumns({"_g": _group(by), "_id": F.monotonically_increasing_id(), "_row": F.struct(*kept)})
+    out = out.select("_g", "_id", "_row", *points, F.inline(F.concat(F.coalesce(pairs, F.slice(asked, 1, 0)), asked)))
+    is_pair = F.col("_turn").isin(0, 2)
+    out = out.select("_g", "_home", "_at", "_turn", F.when(~is_pair, F.col("_id")).alias("_id"), *[F.when(is_pair, F.col(c)).alias(c) for c in points], F.when(F.col("_turn") == end, F.col("_row")).alias("_row"))
+    upto = Window.partitionBy("_g", "_home").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    if series is not None:
+        out = out.unionByName(series.withColumns({"_at": F.lit(-1).cast("long"), "_turn": F.lit(0)}), allowMissingColumns=True)
+        out = out.withColumn("_series", F.first("_series", ignorenulls=True).over(upto))
+        out = out.withColumns({c: F.col(c) - F.col(f"_series._m_{m}") for c, m in zip(points, [*S, *D] * 2, strict=False)})
+    terms = [F.when(valid_pairs(), t).otherwise(F.lit(0.0)) for t in _terms()]
+    if second:
+        terms = [a + F.when(second_pairs(), b).otherwise(F.lit(0.0)) for a, b in zip(terms, _terms(True), strict=True)]
+    more = ["_series"] if series is not None else []
+    out = out.select("_g", "_home", "_id", "_at", "_turn", "_row", *more, F.struct(*[F.coalesce(F.sum(t).over(upto), F.lit(0.0)).alias(n) for t, n in zip(terms, SUMS, strict=True)]).alias("_hi"))
+    out = out.where(F.col("_turn").isin(start, end))
+    two = Window.partitionBy("_g", "_home", "_id").orderBy(F.desc("_turn"))
+    out = out.withColumns({"_lo": F.lag("_hi").over(two), "_from": F.lag("_at").over(two)}).where(F.col("_turn") == end)
+    some = F.col("_at") > F.col("_from")
+    for c in by:
+        some &= F.col(f"_g.{c}").isNotNull()
+    return out.select("_row", *more, *[F.when(some, F.col(f"_hi.{n}") - F.col(f"_lo.{n}")).otherwise(F.lit(0.0)).alias(n) for n in SUMS])
 
 
 def window_sums(df: DataFrame, by: list[str], order: str, second: bool = False, rows: int | None = ROWS) -> DataFrame:
-    """Rows with lo and hi get SUMS over the valid pairs in [lo, hi): the difference of two prefix rows.
+    """Rows with lo and hi get SUMS over the valid pairs in [lo, hi): the difference of two prefix rows; 0 for a series without a key.
 
-    second: second pairs of the rows from the window's first valid row to its last count as well. Prefix sums run in blocks of at
-    most `rows` rows of a series.
+    second: second pairs of the rows from the window's first valid row to its last count as well. Prefix sums run in homes of at
+    most `rows` pairs of a series, or as many as its widest window has.
     """
-    zero = F.lit(0.0)
-    sums = {f"_s_{n}": F.when(valid_pairs(), t).otherwise(zero) for t, n in zip(_terms(), SUMS, strict=True)} | {"_k": valid_pairs().cast("long")}
-    pre = df
-    if second:
-        pre = pre.withColumns({f"_x_{n}": F.when(second_pairs(), t).otherwise(zero) for t, n in zip(_terms(True), SUMS, strict=True)})
-        sums |= {f"_h_{n}": F.col(f"_x_{n}") for n in SUMS}
-    pre = running_sums(pre, by, order, sums, rows).where(valid_pairs())
-    held = lambda one: F.struct(*[one(n).alias(n) for n in SUMS])
-    if second:
-        # a window that starts after valid row k leaves out what stands before the next valid row
-        before = lambda n: F.col(f"_h_{n}") - F.col(f"_x_{n}")
-        ends = pre.select(*by, "_k", held(lambda n: F.col(f"_s_{n}") + F.col(f"_h_{n}")).alias("_to"), held(lambda n: F.col(f"_s_{n}")).alias("_own"))
-        starts = pre.select(*by, (F.col("_k") - 1).alias("_k"), held(before).alias("_skip"))  # by the valid row before
-        ends = ends.join(starts, [*by, "_k"], "full")
-        from_ = held(lambda n: F.coalesce(F.col(f"_own.{n}"), zero) + F.col(f"_skip.{n}"))
-        ends = ends.select(*by, "_k", "_to", F.when(F.col("_skip").isNotNull(), from_).alias("_from"))
-    else:
-        ends = pre.select(*by, "_k", held(lambda n: F.col(f"_s_{n}")).alias("_to")).withColumn("_from", F.col("_to"))
-    out = df.join(ends.select(*by, F.col("_k").alias("lo"), F.col("_from").alias("_lo")), [*by, "lo"], "left")
-    out = out.join(ends.select(*by, F.col("_k").alias("hi"), F.col("_to").alias("_hi")), [*by, "hi"], "left")
-    return out.withColumns({n: F.coalesce(F.col(f"_hi.{n}"), zero) - F.coalesce(F.col(f"_lo.{n}"), zero) for n in SUMS}).drop("_lo", "_hi")
+    kept = [c for c in df.columns if c not in SUMS]
+    out = _summed(_counted(df, by, order, rows, (F.col("hi") - F.col("lo")).cast("long")), by, kept, second)
+    return out.select("_row.*", *SUMS)
 
 
-def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least: int = 3, second: bool = False, rows: int = ROWS) -> DataFrame:
-    """A fit (r, t, c) for each row from the window around it; where that has too few pairs, the whole series' fit.
+def _windowed(df: DataFrame, by: list[str], order: str, width: Column, second: bool, rows: int, second_in_fit: bool) -> DataFrame:
+    """A row (_row, _r, _t, _m_sx .. _m_dz, SUMS) for each row of df: its columns, its series' fit and means, sums of points less these.
 
-    Of long series the rows with their windows are stored, since sums, fits and rows all come from them.
+    Rows of long series are stored, cut, since counts, fits and windows all come from them. Rows without a key or a place are left out in the end.
     """
     rows = rows if too_long(df, by, rows) else None
-    bounds = window_bounds(centred(df, by, second, rows), by, order, width, rows)
-    bounds = bounds if rows is None else stored(bounds, "windows")
-    sums = window_sums(bounds, by, order, second, rows)
-    kept = [*by, order, *[f"_m_{c}" for c in (*S, *D)]]
-    local = fitted(sums.select(*kept, *SUMS), least=least)
-    local = local.select(*by, order, "r", F.when(F.col("r").isNotNull(), uncentred_shift(F.col("r"), F.col("t"))).alias("t"), "c")
-    whole = global_fit(df, by, second=second).select(*by, F.col("r").alias("_r"), F.col("t").alias("_t"))
-    out = df.join(local, [*by, order]).join(whole, by)
-    return out.withColumn("t", F.coalesce("t", "_t")).withColumn("r", F.coalesce("r", "_r")).withColumn("c", F.coalesce("c", F.lit(1.0))).drop("_r", "_t")
+    base = df.withColumn("_w", width.cast("int"))
+    base = base if rows is None else stored(blocked(base, by, order, rows), "blocks")
+    means = {f"_m_{c}": F.coalesce(F.avg(F.when(valid_pairs(), F.col(c))), F.lit(0.0)) for c in (*S, *D)}
+    sizes = [F.sum(valid_pairs().cast("long")).alias("_valid"), F.greatest(F.lit(1), F.max(_wide())).alias("_widest")]
+    series = base.groupBy(_group(by).alias("_g")).agg(*_pair_sums(second_in_fit), *[m.alias(n) for n, m in means.items()], *sizes)
+    series = fitted(series, kept=["_g", *means, "_valid", "_widest"])
+    last = F.lit(0).cast("long") if rows is None else F.floor(F.col("_valid") / _home_size(rows))
+    series = series.select("_g", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_home"), F.struct(F.col("r").alias("_r"), F.col("t").alias("_t"), *means).alias("_series"))
+    out = _summed(_bounded(base, by, order, rows), by, df.columns, second, series)
+    known = F.lit(True)
+    for c in (*by, order):
+        known &= F.col(f"_row.{c}").isNotNull()
+    return out.where(known).select("_row", "_series.*", *SUMS)
+
+
+def windowed_fit(df: DataFrame, by: list[str], order: str, width: Column, least: int = 3, second: bool = False, rows: int = ROWS, pairs: str | None = None) -> DataFrame:
+    """A fit (r, t, c) for each row from the window around it; where that has too few pairs, the whole series' fit.
+
+    pairs: a name under which rows get the number of pairs in their windows.
+    """
+    sums = _windowed(df, by, order, width, second, rows, second)
+    out = fitted(sums, least=least, kept=["_row", "_r", "_t", *[f"_m_{c}" for c in (*S, *D)], "n"])
+    local = F.col("r").isNotNull()
+    t = F.coalesce(F.when(local, uncentred_shift(F.col("r"), F.col("t"))), F.col("_t"))
+    count = [F.col("n").alias(pairs)] if pairs else []
+    return out.select("_row.*", F.coalesce("r", "_r").alias("r"), t.alias("t"), F.coalesce("c", F.lit(1.0)).alias("c"), *count)
 
 
 def windowed_shift(df: DataFrame, by: list[str], order: str, width: Column, second: bool = False, second_in_rotation: bool | None = None, rows: int = ROWS) -> DataFrame:
@@ -194,16 +273,11 @@ def windowed_shift(df: DataFrame, by: list[str], order: str, width: Column, seco
 
     second_in_rotation: whether second pairs count for the rotation, if not as for the translations.
     """
-    rows = rows if too_long(df, by, rows) else None
-    bounds = window_bounds(centred(df, by, second, rows), by, order, width, rows)
-    bounds = bounds if rows is None else stored(bounds, "windows")
-    sums = window_sums(bounds, by, order, second, rows)
-    fit = global_fit(df, by, second=second if second_in_rotation is None else second_in_rotation).select(*by, "r", F.col("t").alias("_t"))
-    out = sums.select(*by, order, "n", *SUMS[1:7], *[f"_m_{c}" for c in (*S, *D)]).join(fit, by)
+    out = _windowed(df, by, order, width, second, rows, second if second_in_rotation is None else second_in_rotation)
     mean = lambda c: F.when(F.col("n") > 0, F.col(f"sum_{c}") / F.col("n"))
-    t = F.array(*[mean(D[i]) - (F.col("r")[3 * i] * mean("sx") + F.col("r")[3 * i + 1] * mean("sy") + F.col("r")[3 * i + 2] * mean("sz")) for i in range(3)])
-    out = out.select(*by, order, "r", F.when(F.col("n") > 0, uncentred_shift(F.col("r"), t)).otherwise(F.col("_t")).alias("t"))
-    return df.join(out, [*by, order])
+    r = F.col("_r")
+    t = F.array(*[mean(D[i]) - (r[3 * i] * mean("sx") + r[3 * i + 1] * mean("sy") + r[3 * i + 2] * mean("sz")) for i in range(3)])
+    return out.select("_row.*", r.alias("r"), F.when(F.col("n") > 0, uncentred_shift(r, t)).otherwise(F.col("_t")).alias("t"))
 
 
 def segment_fit(df: DataFrame, by: list[str], label: str, second: bool = False) -> DataFrame:

@@ -43,11 +43,10 @@ def noisy_residuals(spark, sf):
 def noisy_windows(spark, sf):
     """What the fit in each row's window leaves of its noisy pair, windows cut from a series in blocks."""
     p = _pairs(spark, sf)
-    n = fits.window_sums(fits.window_bounds(p, BY, "us", F.lit(12), rows=30), BY, "us", rows=30).select("event_id", F.col("n").cast("long").alias("n"))
-    f = fits.windowed_fit(p, BY, "us", F.lit(12), rows=30)
+    f = fits.windowed_fit(p, BY, "us", F.lit(12), rows=30, pairs="n")
     x, y, _ = fits.applied(F.col("r"), F.col("t"), F.col("c"))
     d = F.sqrt((F.col("dx") - x) ** 2 + (F.col("dy") - y) ** 2)
-    return f.join(n, "event_id").where("n >= 3").select("event_id", F.round(d, 4).alias("residual"), "n")
+    return f.where("n >= 3").select("event_id", F.round(d, 4).alias("residual"), F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT p_partkey, CASE WHEN length(p_partkey::VARCHAR) < 12 THEN lpad(p_partkey::VARCHAR, 12, '0') ELSE p_partkey::VARCHAR END AS name, p_size | 1 AS kernel, CASE p_size % 3 WHEN 0 THEN 'LeftHeel' WHEN 1 THEN 'RightHeel' ELSE 'none' END AS joint FROM part")

@@ -343,3 +343,35 @@ def test_few_rows_allowed_in_a_cell_make_no_flood_of_copies(spark):
     want = int((((p[:, None] - p[None]) ** 2).sum(2) <= 0.01).sum())
     assert spatial.COPIES >= 125 and spatial.radius_join(df, df, ["x", "y"], 0.1, crowd=3).count() == want
     assert spatial.radius_join(df, df, ["x", "y"], 0.1, crowd=3, least=3).count() == want  # in lots of three rows
+
+
+@pytest.mark.parametrize("second", [False, True])
+@pytest.mark.parametrize("rows", [9, 10_000])
+def test_windows_meet_their_pairs_in_one_shuffle(spark, monkeypatch, rows, second):
+    kept = []
+    for m in (fits, blocks):
+        monkeypatch.setattr(m, "stored", lambda df, name, real=m.stored: kept.append(name) or real(df, name))
+    rng = np.random.default_rng(5)
+    src, dst = rng.normal(size=(80, 3)), rng.normal(size=(80, 3))
+    ok, has, width = rng.random(80) < 0.7, rng.random(80) < 0.4, rng.choice([2, 5, 14, 30], 80)
+    none = [None] * 3
+    data = [(1, i, int(width[i]), *(src[i].tolist() if ok[i] else none), *dst[i].tolist(), *((dst[i].tolist() + src[i].tolist()) if has[i] else none * 2)) for i in range(80)]
+    df = spark.createDataFrame(data, "k int, step int, w int, " + ", ".join(f"{c} double" for c in (*fits.S, *fits.D, *fits.HS, *fits.HD)))
+    out = fits.windowed_fit(df, ["k"], "step", F.col("w"), second=second, rows=rows, pairs="pairs")
+    got = {r["step"]: r for r in out.collect()}
+    bounds = {r["step"]: (r["lo"], r["hi"]) for r in fits.window_bounds(df, ["k"], "step", F.col("w"), rows=rows).collect()}
+    places = np.flatnonzero(ok)
+    assert len(got) == 80
+    for i in range(80):
+        lo, hi = bounds[i]
+        at = [(src[j], dst[j]) for j in places[lo:hi]]
+        if second:
+            at += [(dst[j], src[j]) for j in range(places[lo], places[hi - 1] + 1) if has[j]]
+        assert got[i]["pairs"] == len(at)
+        if len(at) >= 3:
+            a, b = (np.array(x) for x in zip(*at, strict=True))
+            u, _, vt = np.linalg.svd((b - b.mean(0)).T @ (a - a.mean(0)))
+            r = (u * [1, 1, np.sign(np.linalg.det(u) * np.linalg.det(vt))]) @ vt
+            assert np.allclose(np.reshape(got[i]["r"], (3, 3)), r, atol=1e-6) and np.allclose(got[i]["t"], b.mean(0) - r @ a.mean(0), atol=1e-6)
+    assert kept.count("windows") == 0 and kept.count("blocks") <= 2  # one for the fits, one for window_bounds() here
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1

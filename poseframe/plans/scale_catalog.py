@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from poseframe import catalog as C
-from poseframe.catalog import BY, ORACLES, kind, pairs_of, points, query, r6, series_of, table
+from poseframe.catalog import BY, ORACLES, kind, pairs_of, points, query, r6, r6_many, series_of, table
 from poseframe.operators import clouds, fits, heat, series, spatial
 from poseframe.operators.asof import resample_linear
 
@@ -100,7 +100,7 @@ def turn_segments_cut(spark, sf):
 def radius_crowded(spark, sf):
     """A radius join whose cells are all crowded, so that they are cut and dealt into lots."""
     p = points(spark, sf).select("vec_id", "x", "y")
-    return spatial.radius_join(p, p, ["x", "y"], 0.05, crowd=3).select("vec_id", "r_vec_id", r6(F.col("distance")).alias("distance"))
+    return spatial.radius_join(p, p, ["x", "y"], 0.05, crowd=3).select("vec_id", "r_vec_id", r6_many(F.col("distance")).alias("distance"))
 
 
 @query(ORACLES["gaze_density"])

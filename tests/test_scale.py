@@ -375,3 +375,18 @@ def test_windows_meet_their_pairs_in_one_shuffle(spark, monkeypatch, rows, secon
             assert np.allclose(np.reshape(got[i]["r"], (3, 3)), r, atol=1e-6) and np.allclose(got[i]["t"], b.mean(0) - r @ a.mean(0), atol=1e-6)
     assert kept.count("windows") == 0 and kept.count("blocks") <= 2  # one for the fits, one for window_bounds() here
     assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1
+
+
+def test_distances_of_many_pairs_are_rounded_as_in_sql(spark, sf):
+    import duckdb
+
+    from poseframe import catalog
+    from poseframe.plans import scale_catalog
+
+    # decimal ties, of which some lie below the half once multiplied
+    values = [(2 * i + 1) / 2e6 for i in range(0, 400_000, 37)] + [0.0, 1e-7, 4.999e-7, 0.05]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(catalog.r6_many(F.col("v")).alias("x")).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()]
+    # a decimal text for each pair took most of the join's time
+    for q in (catalog.radius_2d, scale_catalog.radius_crowded):
+        assert "round(" not in q(spark, sf)._jdf.queryExecution().optimizedPlan().toString()

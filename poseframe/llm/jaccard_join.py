@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +48,15 @@ SKETCH_BITS = (6, 20)
 PARITY = [f"p{i}" for i in range(8)]
 #: Centers that a set is compared with in each turn of merging; what is still apart then is compared in full.
 TURNS = (1, 8)
+#: Pairs of sets that a task looks at before it keeps each once.
+PAIRS_AT_ONCE = 1 << 20
 #: Bands by the largest set in them, up to sets of about 10**9 features.
 TOPS = [1, 2, 3, 4, 5, 6, 8]
 while TOPS[-1] < 2 * 10**9:
     TOPS.append(TOPS[-1] * 4 // 3)
 NO_ID = -(2**63)
 #: In the first feature that two similar sets share, by an order of all features, each still has enough of them to come.
-FIRST_MET = "place_a is null or place_b is null or 7 * (1 + least(n_a - place_a, n_b - place_b)) >= 3 * (n_a + n_b)"
+FIRST_MET = "7 * (1 + least(n_a - place_a, n_b - place_b)) >= 3 * (n_a + n_b)"
 
 
 def _scheme(band: int) -> tuple[int, int, int]:
@@ -262,6 +265,47 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(still, "sig", "left_semi")
 
 
+def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components in lists of sets, each once for about PAIRS_AT_ONCE that were looked at."""
+    for b in batches:
+        size = pc.list_value_length(b.column(0)).to_numpy()
+        names, which = np.unique(pc.list_flatten(b.column(0)).to_numpy(), return_inverse=True)
+        comp, start = pc.list_flatten(b.column(1)).to_numpy(), np.cumsum(size) - size
+        found, held = [], 0
+        for k in np.unique(size[size > 1]):
+            one, two = np.triu_indices(k, 1)
+            every, step = start[size == k], max(1, PAIRS_AT_ONCE // len(one))
+            for lo in range(0, len(every), step):
+                at = every[lo : lo + step, None]
+                x, y = (at + one).ravel(), (at + two).ravel()
+                x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+                found.append(np.unique(np.minimum(which[x], which[y]) * len(names) + np.maximum(which[x], which[y])))
+                held += len(found[-1])
+                if held > PAIRS_AT_ONCE:
+                    yield _named(found, names)
+                    found, held = [], 0
+        yield _named(found, names)
+
+
+def _named(found: list[np.ndarray], names: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+    return pa.RecordBatch.from_arrays([pa.array(names[both // max(len(names), 1)]), pa.array(names[both % max(len(names), 1)])], ["a", "b"])
+
+
+def pairs_in_lists(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different components in signatures of rows (sig, cls, comp) of few sets each; stored.
+
+    Lists of the same sets lie next to each other, so that tasks return a pair a few times and not for each signature.
+    """
+    lists = rows.groupBy("sig").agg(F.collect_list(F.struct("cls", "comp")).alias("sets"))
+    lists = stored(lists.select("sig", F.array_min("sets.cls").alias("low"), F.col("sets.cls").alias("cls"), F.col("sets.comp").alias("comp")), "join-lists")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = lists.repartitionByRange(parts, "low", "sig").sortWithinPartitions("low").select("cls", "comp")
+    out = stored(near.mapInArrow(_pairs_of_lists, "a long, b long").distinct(), "join-met")
+    drop_stored(lists)
+    return out
+
+
 class _Links:
     """Links found so far between classes, the pairs that were compared, and the components."""
 
@@ -312,16 +356,21 @@ class _Links:
     def across(self, rows: DataFrame) -> None:
         """Compare pairs of different components in the signatures of rows (sig, cls, comp, place): all that can be similar.
 
-        Sizes and parities rule most unlike pairs out where they meet, and features their places in the common order.
+        Sizes and parities rule most unlike pairs out where they meet, and features their places in the common order. A
+        signature without places has CROWD sets at most; its pairs are taken from lists, so that sizes and parities are looked
+        up for a pair and not for each of the many signatures that long texts share.
         """
         known = self.sets.select("cls", "n", *PARITY)
-        rows = rows.join(known, "cls")
-        left = rows.withColumnsRenamed({"cls": "a", **{c: f"{c}_a" for c in rows.columns if c not in ("sig", "cls")}})
-        right = rows.withColumnsRenamed({"cls": "b", **{c: f"{c}_b" for c in rows.columns if c not in ("sig", "cls")}})
+        sides = [known.withColumnsRenamed({"cls": x, **{c: f"{c}_{x}" for c in known.columns[1:]}}) for x in "ab"]
         apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col(f"{PARITY[0]}_a").bitwiseXOR(F.col(f"{PARITY[0]}_b"))))
-        alike = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-        met = left.join(right, "sig").where("a < b and comp_a != comp_b").where(alike).where(FIRST_MET).where(apart * 7 <= F.col("n_a") + F.col("n_b"))
-        self.compare(met.select("a", "b"))
+        alike = F.expr("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)") & (apart * 7 <= F.col("n_a") + F.col("n_b"))
+        listed = pairs_in_lists(rows.where("place is null"))
+        met = listed.join(sides[0], "a").join(sides[1], "b").where(alike).select("a", "b")
+        placed = rows.where("place is not null").join(known, "cls")
+        left, right = (placed.withColumnsRenamed({"cls": x, **{c: f"{c}_{x}" for c in placed.columns if c not in ("sig", "cls")}}) for x in "ab")
+        first = left.join(right, "sig").where("a < b and comp_a != comp_b").where(alike).where(FIRST_MET)
+        self.compare(met.union(first.select("a", "b")))
+        drop_stored(listed)
 
     def drop(self) -> None:
         drop_stored(*self.edges, *self.tested)

@@ -47,6 +47,22 @@ def test_jaccard_on_the_table(spark, sf):
     assert got == components([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_pairs_that_share_many_signatures_meet_once(spark):
+    """40 sets in 2,000 signatures of up to 20: a pair is looked at once, however many signatures it shares."""
+    rng = random.Random(5)
+    rows = [(s, c, c // 8) for s in range(2000) for c in rng.sample(range(40), rng.randint(2, 20))]
+    of: dict[int, list[int]] = {}
+    for s, c, _ in rows:
+        of.setdefault(s, []).append(c)
+    want = {(a, b) for cs in of.values() for a in cs for b in cs if a < b and a // 8 != b // 8}
+    table = spark.createDataFrame([(s, c, None, comp) for s, c, comp in rows], "sig long, cls long, place long, comp long")
+    sets = spark.createDataFrame([(c, 1000, *[0] * len(jaccard_join.PARITY)) for c in range(40)], "cls long, n long, " + ", ".join(f"{p} long" for p in jaccard_join.PARITY))
+    links, seen = jaccard_join._Links(sets), []
+    links.compare = lambda pairs: seen.extend((r["a"], r["b"]) for r in pairs.collect())
+    links.across(table)
+    assert sorted(seen) == sorted(want)
+
+
 def test_signatures_meet_whenever_sets_are_similar(spark):
     import numpy as np
 

@@ -265,26 +265,36 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(still, "sig", "left_semi")
 
 
-def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different components in lists of sets, each once for about PAIRS_AT_ONCE that were looked at."""
-    for b in batches:
-        size = pc.list_value_length(b.column(0)).to_numpy()
-        names, which = np.unique(pc.list_flatten(b.column(0)).to_numpy(), return_inverse=True)
-        comp, start = pc.list_flatten(b.column(1)).to_numpy(), np.cumsum(size) - size
-        found, held = [], 0
-        for k in np.unique(size[size > 1]):
-            one, two = np.triu_indices(k, 1)
-            every, step = start[size == k], max(1, PAIRS_AT_ONCE // len(one))
-            for lo in range(0, len(every), step):
-                at = every[lo : lo + step, None]
-                x, y = (at + one).ravel(), (at + two).ravel()
-                x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
-                found.append(np.unique(np.minimum(which[x], which[y]) * len(names) + np.maximum(which[x], which[y])))
-                held += len(found[-1])
-                if held > PAIRS_AT_ONCE:
-                    yield _named(found, names)
-                    found, held = [], 0
-        yield _named(found, names)
+def _pairs_of_lists(turn: int | None):
+    """Pairs (a, b) of different components in lists (sig, cls, comp): all, or with a turn each set and its list's center."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.list_value_length(b.column(1)).to_numpy()
+            cls, comp = pc.list_flatten(b.column(1)).to_numpy(), pc.list_flatten(b.column(2)).to_numpy()
+            names, which = np.unique(cls, return_inverse=True)
+            start = np.cumsum(size) - size
+            seed = b.column(0).to_numpy().view(np.uint64) + np.uint64(turn or 0)
+            luck = mix64(cls.view(np.uint64) ^ mix64(np.repeat(seed, size)))
+            found, held = [], 0
+            for k in np.unique(size[size > 1]):
+                one, two = np.triu_indices(k, 1) if turn is None else (np.arange(k), None)
+                every, step = start[size == k], max(1, PAIRS_AT_ONCE // len(one))
+                for lo in range(0, len(every), step):
+                    at = every[lo : lo + step, None]
+                    x = at + one
+                    y = at + two if turn is None else np.broadcast_to(at + luck[x].argmin(axis=1)[:, None], x.shape)
+                    x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+                    if turn is None:
+                        x, y = np.where(which[x] < which[y], x, y), np.where(which[x] < which[y], y, x)
+                    found.append(np.unique(which[x] * len(names) + which[y]))
+                    held += len(found[-1])
+                    if held > PAIRS_AT_ONCE:
+                        yield _named(found, names)
+                        found, held = [], 0
+            yield _named(found, names)
+
+    return run
 
 
 def _named(found: list[np.ndarray], names: np.ndarray) -> pa.RecordBatch:
@@ -292,16 +302,17 @@ def _named(found: list[np.ndarray], names: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[both // max(len(names), 1)]), pa.array(names[both % max(len(names), 1)])], ["a", "b"])
 
 
-def pairs_in_lists(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components in signatures of rows (sig, cls, comp) of few sets each; stored.
+def pairs_in_lists(rows: DataFrame, turn: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of different components in signatures of rows (sig, cls, comp) of few sets each; stored.
 
-    Lists of the same sets lie next to each other, so that tasks return a pair a few times and not for each signature.
+    All pairs with a < b, or with a turn only those of a set a and the center b that its signature has in this turn. Lists of
+    the same sets lie next to each other, so that tasks return a pair a few times and not for each signature.
     """
     lists = rows.groupBy("sig").agg(F.collect_list(F.struct("cls", "comp")).alias("sets"))
     lists = stored(lists.select("sig", F.array_min("sets.cls").alias("low"), F.col("sets.cls").alias("cls"), F.col("sets.comp").alias("comp")), "join-lists")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = lists.repartitionByRange(parts, "low", "sig").sortWithinPartitions("low").select("cls", "comp")
-    out = stored(near.mapInArrow(_pairs_of_lists, "a long, b long").distinct(), "join-met")
+    near = lists.repartitionByRange(parts, "low", "sig").sortWithinPartitions("low").select("sig", "cls", "comp")
+    out = stored(near.mapInArrow(_pairs_of_lists(turn), "a long, b long").distinct(), "join-met")
     drop_stored(lists)
     return out
 
@@ -337,20 +348,23 @@ class _Links:
         return stored(_open(_with_comp(rows, self.comp)), "join-open")
 
     def stars(self, rows: DataFrame) -> DataFrame:
-        """Merge sets of the signatures of rows (sig, cls, more) by comparing each with some centers; opened() of what is left.
+        """Merge sets of the signatures of rows (sig, cls, place) by comparing each with some centers; opened() of what is left.
 
         A signature has a center of its own by hash, so a set that meets many others is compared with different ones.
         """
         left = self.opened(rows)
         for turn, most in enumerate(TURNS):
             luck = F.xxhash64(F.lit(turn), "sig", "cls")
-            centers = left.groupBy("sig").agg(F.min_by(F.struct("cls", "comp"), luck).alias("c")).select("sig", F.col("c.cls").alias("b"), F.col("c.comp").alias("c_comp"))
-            met = left.join(centers, "sig").where("comp != c_comp").select(F.col("cls").alias("a"), "b").distinct()
+            placed = left.where("place is not null")
+            centers = placed.groupBy("sig").agg(F.min_by(F.struct("cls", "comp"), luck).alias("c")).select("sig", F.col("c.cls").alias("b"), F.col("c.comp").alias("c_comp"))
+            listed = pairs_in_lists(left.where("place is null"), turn)
+            met = listed.union(placed.join(centers, "sig").where("comp != c_comp").select(F.col("cls").alias("a"), "b")).distinct()
             ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64(F.lit(turn), "a", "b"), "b")))
             if self.compare(ranked.where(F.col("k") <= most).select("a", "b")):
                 now = self.opened(left.drop("comp"))
                 drop_stored(left)
                 left = now
+            drop_stored(listed)
         return left
 
     def across(self, rows: DataFrame) -> None:

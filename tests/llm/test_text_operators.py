@@ -61,6 +61,13 @@ def test_pairs_that_share_many_signatures_meet_once(spark):
     links.compare = lambda pairs: seen.extend((r["a"], r["b"]) for r in pairs.collect())
     links.across(table)
     assert sorted(seen) == sorted(want)
+    first = [(r["a"], r["b"]) for r in jaccard_join.pairs_in_lists(table, 0).collect()]
+    assert len(first) == len(set(first)) and {tuple(sorted(p)) for p in first} <= want
+    at_centers = {s: {c for a, c in first if a in of[s] and c in of[s]} for s in of}
+    comp_of = {c: c // 8 for c in range(40)}
+    for s, cs in of.items():  # some set of each open signature is compared with all that are apart from it
+        if len({comp_of[c] for c in cs}) > 1:
+            assert any(all((a, c) in first for a in cs if comp_of[a] != comp_of[c]) for c in at_centers[s])
 
 
 def test_signatures_meet_whenever_sets_are_similar(spark):

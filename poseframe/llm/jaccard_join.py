@@ -403,24 +403,62 @@ def rare_first(dense: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(shared.where("place <= n - ceil(3 * n / 4) + 1").select("sig", "cls", "place"), "join-rare")
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """Rows (sig, cls) without signatures that the same sets share as another one, by two hashes of these sets and their number."""
-    of = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "cls"))
-    members = rows.groupBy("sig").agg(of(1).alias("h1"), of(2).alias("h2"), F.count("*").alias("n"))
-    return rows.join(members.groupBy("h1", "h2", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+def _covering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lists (sig, cls), the longest first, those that hold some pair that none before them in the batch does."""
+    for b in batches:
+        size, cls = pc.list_value_length(b.column(1)).to_numpy(), pc.list_flatten(b.column(1)).to_numpy()
+        names, which = np.unique(cls, return_inverse=True)
+        start, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+        ends = np.cumsum((size * (size - 1) // 2)[order], dtype=np.int64)
+        keep, seen, lo = np.zeros(len(size), bool), np.zeros(0, np.int64), 0
+        while lo < len(order):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+            pairs, whose = [], []
+            for k in np.unique(size[order[lo:hi]])[::-1]:
+                at = order[lo:hi][size[order[lo:hi]] == k]
+                one, two = np.triu_indices(k, 1)
+                pairs.append((which[start[at, None] + one] * len(names) + which[start[at, None] + two]).ravel())
+                whose.append(np.repeat(at, len(one)))
+            found, first = np.unique(np.concatenate(pairs), return_index=True)
+            keep[np.concatenate(whose)[first[~np.isin(found, seen, assume_unique=True)]]] = True
+            # forgetting only keeps more lists
+            seen, lo = np.union1d(seen, found) if len(seen) <= 4 * PAIRS_AT_ONCE else found, hi
+        yield b.filter(pa.array(keep))
+
+
+def cover_of_lists(lists: DataFrame) -> DataFrame:
+    """Some of lists (sig, cls), cls sorted, that hold every pair that all of them hold; stored.
+
+    Long near copies share thousands of signatures, each by other ones of them. Lists with the same smallest set lie next to
+    each other, then those with the same largest one, and lists whose pairs others hold too are left out.
+    """
+    for end in (1, -1):
+        near = lists.withColumn("end", F.element_at("cls", end)).repartitionByRange("end", "sig").sortWithinPartitions("end")
+        left = stored(near.select("sig", "cls").mapInArrow(_covering, "sig long, cls array<long>"), "join-cover")
+        drop_stored(lists)
+        lists = left
+    return lists
+
+
+def _lists_of_few(rows: DataFrame) -> DataFrame:
+    """Rows (sig, cls) as lists, without signatures of over CROWD sets; lists of the same sets once, by the smallest signature; stored."""
+    nth = F.row_number().over(Window.partitionBy("sig").orderBy("cls"))
+    lists = rows.withColumn("nth", nth).where(F.col("nth") <= CROWD + 1).groupBy("sig").agg(F.sort_array(F.collect_list("cls")).alias("cls"))
+    return stored(lists.where(F.size("cls") <= CROWD).groupBy("cls").agg(F.min("sig").alias("sig")).select("sig", "cls"), "join-once")
 
 
 def link_classes(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Components (node, comp) of the classes in shared (sig, cls, dense); None if nothing links."""
     links = _Links(sets)
-    real = stored(_once(shared.where("not dense").select("sig", "cls")), "join-once")
+    real = shared.where("not dense").select("sig", "cls")
     crowded = stored(real.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("sig"), "join-crowded")
     dense = stored(shared.where("dense").select("cls").union(real.join(crowded, "sig", "left_semi").select("cls")).distinct(), "join-dense")
     rare = rare_first(dense, sets)
-    rows = real.join(crowded, "sig", "left_anti").select("sig", "cls", F.lit(None).cast("long").alias("place")).union(rare.select("sig", "cls", F.col("place").cast("long")))
+    cover = cover_of_lists(_lists_of_few(real))
+    rows = cover.select("sig", F.explode("cls").alias("cls"), F.lit(None).cast("long").alias("place")).union(rare.select("sig", "cls", F.col("place").cast("long")))
     left = links.stars(rows)
     links.across(left)
-    drop_stored(real, crowded, dense, rare, left)
+    drop_stored(cover, crowded, dense, rare, left)
     links.drop()
     return links.comp
 

@@ -70,6 +70,21 @@ def test_pairs_that_share_many_signatures_meet_once(spark):
             assert any(all((a, c) in first for a in cs if comp_of[a] != comp_of[c]) for c in at_centers[s])
 
 
+def test_lists_of_a_family_shrink_to_a_cover_of_their_pairs(spark, monkeypatch):
+    """30 families of 20 sets in 100 signatures each, of up to 15: few lists hold all pairs, also where little is remembered."""
+    rng = random.Random(6)
+    lists = [(f * 100 + s, sorted(rng.sample(range(f * 20, f * 20 + 20), rng.randint(2, 15)))) for f in range(30) for s in range(100)]
+    rows = [(s, c, False) for s, cs in lists for c in cs] + [(9999, c, False) for c in range(2000, 2000 + jaccard_join.CROWD + 1)]
+    pairs_of = lambda found: {(a, b) for _, cs in found for a in cs for b in cs if a < b}
+    for at_once in (jaccard_join.PAIRS_AT_ONCE, 100):
+        monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", at_once)
+        few = jaccard_join._lists_of_few(spark.createDataFrame(rows, "sig long, cls long, dense boolean").select("sig", "cls"))
+        got = [(r["sig"], r["cls"]) for r in jaccard_join.cover_of_lists(few).collect()]
+        assert pairs_of(got) == pairs_of(lists)
+        if at_once > 100:
+            assert 4 * sum(len(cs) for _, cs in got) < sum(len(cs) for _, cs in lists)
+
+
 def test_signatures_meet_whenever_sets_are_similar(spark):
     import numpy as np
 

@@ -47,7 +47,7 @@ def heel_hits(heels: DataFrame, cameras: DataFrame, tris: DataFrame, by: list[st
     rays = stored(heel_rays(heels, cameras, by, fix).withColumn("rid", F.struct(*by, "dji_frame")), "heel-rays")
     box = tris.agg(F.min(F.least("z0", "z1", "z2")).alias("lo"), F.max(F.greatest("z0", "z1", "z2")).alias("hi")).first()  # one row
     lo, hi = (0.0 if x is None else float(x) for x in box)
-    met = ray_hits(rays.select("rid", *[f"{a}{c}" for a in "od" for c in "xyz"]), tris, radius=radius, zlo=lo - PADDING, zhi=hi + PADDING, ground=ground)
+    met = ray_hits(rays.select("rid", *[f"{a}{c}" for a in "od" for c in "xyz"]), tris, radius=radius, zlo=lo - PADDING, zhi=hi + PADDING, ground=ground, hits=False)
     found = met.select("rid", *[F.col(f"h{c}").alias(f"hit_{c}") for c in "xyz"], F.coalesce("on_ground", F.lit(False)).alias("hit_is_ground"), "n_candidates")
     hits = rays.drop(*[f"{a}{c}" for a in "od" for c in "xyz"]).join(found, "rid").drop("rid")
     out = outliers_blanked(stored(hits, "heel-hits"), [*by, "max_pressure_foot"], "dji_frame", ["hit_x", "hit_y", "hit_z"], width, times)

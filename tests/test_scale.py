@@ -325,6 +325,88 @@ def test_crowded_candidates_of_rays_are_those_of_plain_ones(spark):
     assert sum(r[4] for r in plain) > 200 and sum(r[5] for r in plain) > 10
 
 
+def _cloud_of_triangles(m, n, seed=7):
+    """Triangles (some without extent, some at one place, of three kinds) and rays that go down, up, level and straight, with their samples."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(0, 0.5, (m + 2, 3))
+    tri = np.hstack([v[:-2], v[1:-1], v[2:]])
+    tri[::50, 3:6] = tri[::50, :3]
+    tri[::40] = tri[0]
+    ray = np.hstack([rng.normal(0, 0.5, (n, 2)), np.full((n, 1), 6.0), rng.uniform(-0.4, 0.4, (n, 2)), np.full((n, 1), -1.0)])
+    ray[::7, 2], ray[::7, 5] = -5.0, 0.9
+    ray[1::11, 3:5] = 0.0
+    ray[2::13, 2], ray[2::13, 5] = 0.1, 0.0
+    lo, step = np.where(ray[:, 5] == 0, 0.0, 3.5), np.where(ray[:, 5] == 0, 0.4, 5 / 19)
+    return ray, lo, step, tri, rng.choice([-1.0, 0.0, 1.0], m, p=[0.05, 0.25, 0.7])
+
+
+def test_counts_by_squares_and_first_hits_by_fronts_are_those_of_all_pairs():
+    for m, n in ((1, 50), (40, 200), (6000, 300)):
+        ray, lo, step, tri, kinds = _cloud_of_triangles(m, n)
+        centres = (tri[:, :2] + tri[:, 3:5] + tri[:, 6:8]) / 3
+        with np.errstate(all="ignore"):
+            places = casting.Places(centres, 0.5)
+            count = places.counts(ray, lo, step, 20)
+            kind, best = casting.first_hits(places, ray, lo, step, 20, tri[places.order], kinds[places.order])
+            i, k = np.divmod(np.arange(n * m), m)
+            near = casting._near_exact(ray[i], lo[i], step[i], centres[k], 0.5, 20)
+            t = np.where(near, casting.exact_distances(ray[i, :3].T, ray[i, 3:].T, tri[k, :3].T, tri[k, 3:6].T, tri[k, 6:].T), np.inf).reshape(n, m)
+        assert (count == near.reshape(n, m).sum(1)).all()
+        least = np.where(np.isfinite(t), kinds, np.inf).min(1)
+        assert (kind == least).all() and (best == np.where(kinds == least[:, None], t, np.inf).min(1)).all()
+    assert np.isfinite(best).sum() > 100 and count.max() > 1000 and set(kind[np.isfinite(kind)]) == {-1.0, 0.0, 1.0}
+
+
+def test_a_ray_looks_at_few_of_many_triangles(monkeypatch):
+    seen = {}
+
+    def watch(owner, name, much):
+        plain = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a: (seen.__setitem__(name, seen.get(name, 0) + much(*a)), plain(*a))[1])
+
+    watch(casting.Triangles, "hits", lambda mesh, rays, *_: len(rays) * mesh.det.shape[1])
+    watch(casting.Places, "_of_leaves", lambda p, rays, lo, step, n, lines, level, i, node, *_: int(level["n"][node].sum()))
+    watch(casting.Lines, "away", lambda lines, i, px, py: np.size(px))
+    looked = []
+    for m in (5000, 80_000):
+        rng = np.random.default_rng(2)
+        v = rng.normal(0, 0.5, (m + 2, 3))
+        tri = np.hstack([v[:-2], v[1:-1], v[2:]])
+        ray = np.hstack([rng.normal(0, 0.2, (400, 2)), np.full((400, 1), 6.0), rng.uniform(-0.05, 0.05, (400, 2)), np.full((400, 1), -1.0)])
+        seen.clear()
+        with np.errstate(all="ignore"):
+            places = casting.Places((tri[:, :2] + tri[:, 3:5] + tri[:, 6:8]) / 3, 0.5)
+            count = places.counts(ray, np.full(400, 3.5), np.full(400, 5 / 19), 20)
+            casting.first_hits(places, ray, np.full(400, 3.5), np.full(400, 5 / 19), 20, tri[places.order], np.zeros(m))
+        looked.append(sum(seen.values()) / 400)
+        assert count.mean() > 0.4 * m
+    assert looked[1] < 0.2 * 80_000 and looked[1] < 6 * looked[0], "not sixteen times as many"
+
+
+def test_hits_without_their_number_are_those_with_it(spark):
+    rays, tris, _ = _crowd_of_rays(spark)
+    mesh = tris.withColumns({f"c{x}": (F.col(f"{x}0") + F.col(f"{x}1") + F.col(f"{x}2")) / 3 for x in "xyz"})
+    mesh = mesh.withColumn("nz", F.when(F.col("fid") % 7 != 0, (F.col("fid") % 10 - 5) / 5.0))
+    mesh = mesh.withColumn("z2", F.when(F.col("fid") % 13 != 0, F.col("z2")))
+    rows = lambda **how: sorted(map(tuple, spatial.ray_hits(rays, mesh, zlo=-3.0, zhi=3.0, **how).drop("n_hits").fillna(-99.0).fillna(False).collect()))
+    plain = rows(pairs=10**9)
+    assert rows(hits=False, pairs=0, lot=9, room=7) == rows(hits=False, pairs=0) == rows(hits=False) == plain
+    assert "n_hits" not in spatial.ray_hits(rays, mesh, hits=False).columns and sum(r[4] for r in plain) > 200
+
+
+def test_a_ray_is_in_each_cell_around_its_samples_once(spark):
+    ray, *_ = _cloud_of_triangles(1, 120)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(ray)], "rid int, ox double, oy double, oz double, dx double, dy double, dz double")
+    got = [(r["rid"], r["_cx"], r["_cy"]) for r in spatial._sample_cells(df, 0.5, -2.0, 2.0, 20).collect()]
+    spans = {r["rid"]: (r["_lo"], r["_hi"]) for r in spatial.slab_spans(df, -2.0, 2.0).collect()}
+    want = set()
+    for i, (lo, hi) in spans.items():
+        t = lo + (hi - lo) / 19 * np.arange(20)
+        at = np.floor(np.stack([ray[i, 0] + ray[i, 3] * t, ray[i, 1] + ray[i, 4] * t], 1) / 0.5).astype(int)
+        want |= {(i, x + a, y + b) for x, y in at.tolist() for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_short_floats_lose_no_hit_far_from_the_origin():
     rng = np.random.default_rng(3)
     far = np.array([5e5, -4e6, 300.0])

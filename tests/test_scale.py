@@ -394,6 +394,20 @@ def test_hits_without_their_number_are_those_with_it(spark):
     assert "n_hits" not in spatial.ray_hits(rays, mesh, hits=False).columns and sum(r[4] for r in plain) > 200
 
 
+def test_steps_of_contacts_through_trees_are_those_of_pairs(spark, monkeypatch):
+    from poseframe.plans import contact_catalog, contacts
+
+    rows = lambda: sorted(map(tuple, contact_catalog.contact_steps(spark, "/root/testdata/sf0.001").fillna(-99.0).collect()))
+    plain, asked = rows(), []
+
+    def crowded(*a, **how):
+        asked.append(how["hits"])
+        return spatial.ray_hits(*a, **how, pairs=0, lot=50, room=100)
+
+    monkeypatch.setattr(contacts, "ray_hits", crowded)
+    assert rows() == plain and len(plain) > 100 and asked == [False], "the number of hits isn't used, so not all are looked for"
+
+
 def test_a_ray_is_in_each_cell_around_its_samples_once(spark):
     ray, *_ = _cloud_of_triangles(1, 120)
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(ray)], "rid int, ox double, oy double, oz double, dx double, dy double, dz double")
